@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galena.llm import op1_secrets
+from galena.llm import op1_secrets, op2_language, op6_packing, op10_media
 from galena.llm._base import table
 
 
@@ -14,8 +14,20 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_secrets.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op2_language.digest(table(spark, sf_dir, "documents"))
+
+
+def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_packing.pack(table(spark, sf_dir, "documents"))
+
+
+def op10_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_media.digest(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan,)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op6_pack, op10_media_webp)}
 
 
 def oracle_sql() -> dict[str, str]:
