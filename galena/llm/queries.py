@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galena.llm import op1_secrets, op2_language, op6_packing, op10_media
+from galena.llm import op1_secrets, op2_language, op4_quality, op5_toxicity, op6_packing, op7_neardup, op8_warc, op9_urls, op10_media
 from galena.llm._base import table
 
 
@@ -18,16 +18,36 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_language.digest(table(spark, sf_dir, "documents"))
 
 
+def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op4_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_toxicity_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op5_toxicity.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op6_packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_neardup.digest(table(spark, sf_dir, "documents"))
+
+
+def op8_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_warc.digest(table(spark, sf_dir, "pages"))
+
+
+def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op10_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_media.digest(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op6_pack, op10_media_webp)}
+    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_quality_score, op5_toxicity_score, op6_pack, op7_near_duplicates, op8_warc_archive, op9_url_filter, op10_media_webp)}
 
 
 def oracle_sql() -> dict[str, str]:
