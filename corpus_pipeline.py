@@ -1,12 +1,50 @@
-"""The corpus pipeline: five stages over the table of documents."""
+"""The corpus pipeline: five stages over the table of documents.
+
+Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept,
+and returns the columns of ``docs``; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from galena.llm import op1_secrets, op2_language, op3_decontamination, op6_packing, op7_neardup
 from galena.llm._base import materialize, shared_dir, table
 
-STAGES: list = []
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    return op2_language.keep_known(docs)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates stays: that with the smallest id."""
+    return op7_neardup.keep_one(docs)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold an item of the benchmark go."""
+    return op3_decontamination.keep_clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are replaced within the texts; every document stays."""
+    return op1_secrets.redact(docs)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The texts as pieces of near-equal windows."""
+    return op6_packing.pack(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontaminate", decontaminate),
+    ("secrets", secrets),
+    ("packing", packing),
+]
+#: Two of the stages are beyond SQL; tests hold the pipeline against brute force.
 ORACLE_SQL = None
 
 

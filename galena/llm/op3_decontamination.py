@@ -38,9 +38,9 @@ from pyspark.sql import functions as F
 SEED, EDITS, RECALL = 12, 0.1, 0.99
 #: Share of an item's runs that a window has to share: at a tenth of edits about a quarter stays whole.
 RUNS = 0.04
-WALKS, SAMPLED, PER_WALK = 4, 4, 8
+SAMPLED, PER_WALK = 4, 1
 #: Share of embedded positions that still agree at the largest edit share.
-AGREE = 0.62
+AGREE = 0.55
 BLOCK_CHARS = 8 << 20
 BITS = 22
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -82,7 +82,7 @@ def seeds(symbols: np.ndarray) -> np.ndarray:
 
 def tables() -> int:
     """Tables, of ``SAMPLED`` positions each, that reach the target recall."""
-    return min(WALKS * PER_WALK, math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED)))
+    return math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
 
 
 def embed(rows: np.ndarray, lengths: np.ndarray, walk: int, steps: int) -> np.ndarray:
@@ -113,7 +113,7 @@ def table_hashes(symbols: list[np.ndarray]) -> np.ndarray:
             rows = np.zeros((len(part), size), np.uint8)
             for k, x in enumerate(part):
                 rows[k, : lengths[x]] = (symbols[x] * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8) | np.uint8(1)
-            for walk in range(WALKS):
+            for walk in range(-(-tables() // PER_WALK)):
                 bits = embed(rows, lengths[part], walk, size).astype(np.uint64)
                 for t in range(walk * PER_WALK, min(tables(), (walk + 1) * PER_WALK)):
                     h = np.full(len(part), np.uint64(t * 64 + size.bit_length()))
@@ -123,6 +123,11 @@ def table_hashes(symbols: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def bag(symbols: np.ndarray) -> np.ndarray:
+    """How often each symbol occurs, by its lowest eight bits."""
+    return np.bincount((symbols & np.uint32(255)).astype(np.int64), minlength=256)
+
+
 def edit_window(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int, int] | None:
     """(edits, start, end) of the substring of ``text`` nearest to ``item``, if within ``most`` edits."""
     n = len(text)
@@ -162,6 +167,7 @@ class Items:
         self.filter = np.zeros(1 << BITS, bool)
         self.filter[(self.hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
         self.signs = table_hashes(self.symbols)
+        self.bags = [bag(s) for s in self.symbols]
         self.buckets: dict[int, list[int]] = defaultdict(list)
         for k, sign in enumerate(self.signs):
             for h in sign.tolist():
@@ -212,8 +218,14 @@ class Items:
             for j in {c for h in signs[n] for c in self.buckets.get(h, ())} if n in signs else (k,):
                 item, (symbols, offsets) = self.symbols[j], folded[x]
                 most = int(EDITS * len(item))
-                a = max(0, s - most)
-                got = edit_window(item, symbols[a : s + len(item) + most], most)
+                a = max(0, s - most) if n in signs else s
+                near = symbols[a : s + len(item) + most]
+                if n not in signs:
+                    got = (0, 0, len(item))
+                elif np.maximum(self.bags[j] - bag(near), 0).sum() > most:  # so many symbols of the item are missing
+                    continue
+                else:
+                    got = edit_window(item, near, most)
                 if got:
                     self._keep(out[x], self.ids[j], int(offsets[a + got[1]]), int(offsets[a + got[2] - 1]) + 1, got[0])
         for found, (symbols, offsets) in zip(out, folded, strict=True):
@@ -258,7 +270,7 @@ def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str =
         @F.pandas_udf(SPAN)
         def leaks(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
             for batch in batches:
-                rows = (r for at in range(0, len(batch), 500) for r in shared.value.find_all(batch.iloc[at : at + 500].tolist()))
+                rows = (r for at in range(0, len(batch), 4000) for r in shared.value.find_all(batch.iloc[at : at + 4000].tolist()))
                 yield pd.Series([[dict(zip(("item_id", "start", "end", "edits"), r, strict=True)) for r in found] for found in rows], dtype=object)
 
         columns.append(leaks(F.col(text)))

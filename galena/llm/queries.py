@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from galena.llm import op1_secrets, op2_language, op4_quality, op5_toxicity, op6_packing, op7_neardup, op8_warc, op9_urls, op10_media
+from galena.llm import op1_secrets, op2_language, op3_decontamination, op4_quality, op5_toxicity, op6_packing, op7_neardup, op8_warc, op9_urls, op10_media
 from galena.llm._base import table
 
 
@@ -18,6 +18,10 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op2_language.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op3_decontamination.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,9 +50,38 @@ def op10_media_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op10_media.digest(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (
+    op1_secret_scan,
+    op2_language_id,
+    op3_decontaminate,
+    op4_quality_score,
+    op5_toxicity_score,
+    op6_pack,
+    op7_near_duplicates,
+    op8_warc_archive,
+    op9_url_filter,
+    op10_media_webp,
+)
+
+#: Payloads of 1000 bytes or more are stored once, by the row with the largest id.
+OP8_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS b FROM pages
+), d AS (
+  SELECT page_id, octet_length(b) AS n, sha1(b) AS h FROM p
+), w AS (
+  SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM d
+)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
+  CASE WHEN n >= 1000 AND last <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN n >= 1000 AND last <> page_id THEN last END AS refers_to
+FROM w
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_secret_scan, op2_language_id, op4_quality_score, op5_toxicity_score, op6_pack, op7_near_duplicates, op8_warc_archive, op9_url_filter, op10_media_webp)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op8_warc_archive": OP8_SQL}
