@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession
 
+from galena import registry
+from galena.plans import graph, relational, text  # noqa: F401  they register themselves
 
-def oracle_sql() -> dict:
-    return {}
 
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(registry.QUERIES)
 
-def flagship(spark, sf_dir: str):
-    return next(iter(queries().values()))(spark, sf_dir)
+
+def oracle_sql() -> dict[str, str]:
+    return dict(registry.ORACLES)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The impact of a change, with its risk."""
+    return graph.impact(spark, sf_dir)
