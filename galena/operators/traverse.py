@@ -39,6 +39,7 @@ def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "downst
     hop = hop.distinct()
     if blocked is not None:
         hop = hop.join(blocked.select(F.col("id").alias("dst")), "dst", "left_anti")
+    hop = cut(hop)  # read once a level
     visited = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     frontier = visited
     for level in range(1, depth + 1):

@@ -214,23 +214,23 @@ def GR21_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey // 20 AS src, l_partkey // 20 + 1 + l_suppkey % 3 AS dst FROM lineitem),
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey % 12 AS src, l_partkey % 12 + 1 + l_suppkey % 3 AS dst FROM lineitem),
 n AS (SELECT src AS id FROM e UNION SELECT dst FROM e), w(id, level) AS (SELECT id, 0 FROM n UNION SELECT e.dst, w.level + 1 FROM w JOIN e ON e.src = w.id)
 SELECT id, max(level) AS level FROM w GROUP BY id
 """
 )
 def GR27_topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     l = load(spark, sf_dir, "lineitem")
-    return traverse.levels(l.select(F.expr("l_partkey div 20").alias("src"), F.expr("l_partkey div 20 + 1 + l_suppkey % 3").alias("dst")))
+    return traverse.levels(l.select(F.expr("l_partkey % 12").alias("src"), F.expr("l_partkey % 12 + 1 + l_suppkey % 3").alias("dst")))
 
 
-COMMITS = """c AS (SELECT o_orderkey AS id, o_orderkey - 1 AS parent FROM orders WHERE o_orderkey <= 300 UNION ALL SELECT o_orderkey, o_orderkey - 7 FROM orders WHERE o_orderkey <= 300 AND o_orderkey % 5 = 0)"""
+COMMITS = """c AS (SELECT o_orderkey AS id, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey <= 300 UNION ALL SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey <= 300 AND o_orderkey % 5 = 0)"""
 
 
 def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders").filter("o_orderkey <= 300").select(F.col("o_orderkey").cast("string").alias("child"), F.col("o_orderkey").alias("k"))
-    both = o.select("child", (F.col("k") - 1).cast("string").alias("parent"))
-    return both.unionByName(o.filter("k % 5 = 0").select("child", (F.col("k") - 7).cast("string").alias("parent")))
+    both = o.select("child", F.expr("k div 2").cast("string").alias("parent"))
+    return both.unionByName(o.filter("k % 5 = 0").select("child", F.expr("k div 3").cast("string").alias("parent")))
 
 
 @query(
@@ -243,13 +243,13 @@ def GR30_commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     f"""
-WITH RECURSIVE {COMMITS}, w(child, id, depth) AS (SELECT * FROM (VALUES (60, 60, 0), (44, 44, 0)) UNION SELECT w.child, c.parent, w.depth + 1 FROM w JOIN c ON c.id = w.id WHERE w.depth < 60),
+WITH RECURSIVE {COMMITS}, w(child, id, depth) AS (SELECT * FROM (VALUES (60, 60, 0), (44, 44, 0)) UNION SELECT w.child, c.parent, w.depth + 1 FROM w JOIN c ON c.id = w.id WHERE w.depth < 20),
 m AS (SELECT child, id, min(depth) AS depth FROM w GROUP BY child, id)
 SELECT CAST(a.id AS VARCHAR) AS ancestor, a.depth AS da, b.depth AS db FROM m a JOIN m b ON a.id = b.id WHERE a.child = 60 AND b.child = 44 ORDER BY db, da, ancestor LIMIT 1
 """
 )
 def GR31_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.common_ancestor(_commits(spark, sf_dir), "60", "44", 60).select("ancestor", "da", "db")
+    return traverse.common_ancestor(_commits(spark, sf_dir), "60", "44", 20).select("ancestor", "da", "db")
 
 
 @query(
@@ -261,5 +261,5 @@ SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey <= 300 AND
 def GR32_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = _commits(spark, sf_dir)
     heads = spark.createDataFrame([("200",), ("33",)], "id string")
-    live = traverse.bfs(p.select(F.col("child").alias("src"), F.col("parent").alias("dst")), heads, 400).select("id")
+    live = traverse.bfs(p.select(F.col("child").alias("src"), F.col("parent").alias("dst")), heads, 20).select("id")
     return p.select(F.col("child").alias("id")).distinct().join(live, "id", "left_anti")

@@ -455,7 +455,7 @@ def SET09_dedupe_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(string_split(lower(p_name), ' ')), x -> NOT list_contains(string_split(lower(p_type), ' '), x))), ',') AS missing FROM part
+SELECT p_partkey, array_to_string(list_sort(list_filter(list_distinct(string_split(lower(p_name), ' ')), lambda x: NOT list_contains(string_split(lower(p_type), ' '), x))), ',') AS missing FROM part
 """
 )
 def SET11_key_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
