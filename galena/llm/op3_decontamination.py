@@ -261,19 +261,22 @@ def blocks(benchmark: DataFrame, item: str = "item_id") -> Iterator[Items]:
 SPAN = "array<struct<item_id:long,start:int,end:int,edits:int>>"
 
 
-def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "leaks") -> DataFrame:
-    """``docs`` with the array ``into`` of (item_id, start, end, edits): every item that the text holds."""
-    columns = []
-    for items in blocks(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(items)
+def _marker(shared):
+    """A function of a text column: the items of a broadcast block that each text holds."""
+
+    @F.pandas_udf(SPAN)
+    def leaks(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in batches:
+            rows = (r for at in range(0, len(batch), 4000) for r in shared.value.find_all(batch.iloc[at : at + 4000].tolist()))
+            yield pd.Series([[dict(zip(("item_id", "start", "end", "edits"), r, strict=True)) for r in found] for found in rows], dtype=object)
 
-        @F.pandas_udf(SPAN)
-        def leaks(batches: Iterator[pd.Series], shared=shared) -> Iterator[pd.Series]:
-            for batch in batches:
-                rows = (r for at in range(0, len(batch), 4000) for r in shared.value.find_all(batch.iloc[at : at + 4000].tolist()))
-                yield pd.Series([[dict(zip(("item_id", "start", "end", "edits"), r, strict=True)) for r in found] for found in rows], dtype=object)
+    return leaks
 
-        columns.append(leaks(F.col(text)))
+
+def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "leaks") -> DataFrame:
+    """``docs`` with the array ``into`` of (item_id, start, end, edits): every item that the text holds."""
+    context = docs.sparkSession.sparkContext
+    columns = [_marker(context.broadcast(items))(F.col(text)) for items in blocks(benchmark)]
     return docs.withColumn(into, F.concat(*columns) if columns else F.array().cast(SPAN))
 
 
