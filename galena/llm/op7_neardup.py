@@ -9,10 +9,12 @@
    population count which estimates their similarity; pairs far below the
    threshold go. The rest are confirmed on full sets, and confirmed links are
    joined to components by alternating stars.
-4. Buckets whose members are still in several components are searched
-   exhaustively, in blocks: only pairs across components whose sketches are
-   similar are confirmed. So no link between different sets that share a bucket
-   is lost, and no bucket is expanded into all its pairs.
+4. Buckets whose members are still in several components are searched in blocks:
+   a pair across components is looked at in the first band that it shares. A first
+   pass over the sketches tells which members have such a pair that is similar
+   enough, a second brings their full sets to the blocks; only confirmed links
+   leave a block. So no link between different sets that share a bucket is lost,
+   and no bucket is expanded into rows for all its pairs.
 
 With 32 bands of 4 rows, two sets of similarity 0.8 share no bucket with a
 probability of 5e-8. Nothing is collected but the bitmap of the ids whose sets
@@ -41,7 +43,8 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Standard deviations by which an estimate may fall short of the threshold.
 MARGIN = 4.0
-BLOCK = 256
+#: Members, and shingles, of a block.
+BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 FILTER_BYTES = 8 << 20
 M = np.uint64(0x9E3779B97F4A7C15)
 SIGNATURE = "n long, key binary, sketch array<long>, bands array<long>"
@@ -143,16 +146,17 @@ def _stars(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, folder: str) -> DataFrame:
-    """(u, v) for every node u that isn't the smallest of its component, v."""
-    state, k = None, 0
-    edges = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct()
+    """(u, v) for every node u that isn't the smallest of its component, v.
+
+    The stars alternate until every u has one v, which is no u itself.
+    """
+    edges, k = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v"), 0
     while True:
-        edges = materialize(edges, f"stars-{k}", folder)
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == state or not now[0]:
+        edges = materialize(_stars(edges), f"stars-{k}", folder)
+        ends = edges.select(F.explode(F.array(F.struct(F.col("u").alias("id"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("v").alias("id"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e"))
+        if ends.groupBy("e.id").agg(F.sum("e.o").alias("o"), F.sum("e.i").alias("i")).filter("o > 1 or (o > 0 and i > 0)").isEmpty():
             return edges
-        state, k = now, k + 1
-        edges = _stars(edges)
+        k += 1
 
 
 def _shared(a: str, b: str, percent: int) -> Column:
@@ -165,19 +169,15 @@ def _near(a: str, b: str, most: int) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda acc, x: acc + x) <= most
 
 
-def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
-    """The pairs (u, v) of ids of ``reps`` whose full sets have the similarity.
+def full_sets(docs: DataFrame, ids: DataFrame, n: int, words: int) -> DataFrame:
+    """(id, x): the full sets of the documents whose ids occur in ``ids`` (id), of ``n`` rows, and of a few more.
 
-    A bitmap of the ids that occur, of bounded size, keeps other sets out of the join.
+    A bitmap of bounded size tells them apart, so that no text is shuffled.
     """
     spark = docs.sparkSession
-    n = pairs.count()
-    if not n:
-        return pairs.select("u", "v")
-    bits = min(8 * FILTER_BYTES, 1 << max(16, (32 * n).bit_length()))
+    bits = min(8 * FILTER_BYTES, 1 << max(16, (16 * n).bit_length()))
     slot = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
-    ids = pairs.select(F.explode(F.array("u", "v")).alias("id")).select(slot("id").alias("h"))
-    words64 = ids.groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+    words64 = ids.select(slot("id").alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
     bitmap = np.zeros(bits // 64, np.int64)
     for r in words64.toLocalIterator():
         bitmap[r["w"]] = r["b"]
@@ -192,53 +192,112 @@ def confirm(docs: DataFrame, reps: DataFrame, pairs: DataFrame, words: int, perc
                 part = batch.iloc[k : k + 1000]
                 yield pd.DataFrame({"id": part["doc_id"], "x": [shingles(t, words).view(np.int64) for t in part["text"]]})
 
-    sets = docs.filter("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("h")).mapInPandas(build, "id long, x array<long>")
-    sets = materialize(sets, "sets", folder)
+    return docs.filter("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("h")).mapInPandas(build, "id long, x array<long>")
+
+
+def confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int, folder: str) -> DataFrame:
+    """The pairs (u, v) of ids whose full sets have the similarity."""
+    ids = pairs.select(F.explode(F.array("u", "v")).alias("id"))
+    sets = materialize(full_sets(docs, ids, 2 * pairs.count(), words), "sets", folder)
     first, second = sets.select(F.col("id").alias("u"), F.col("x").alias("a")), sets.select(F.col("id").alias("v"), F.col("x").alias("b"))
     return pairs.select("u", "v").join(first, "u").join(second, "v").filter(_shared("a", "b", percent)).select("u", "v").distinct()
 
 
-def _across(members: DataFrame, most: int) -> DataFrame:
-    """Pairs (u, v) of a bucket's members in different components with near sketches; block against block."""
-    counts = members.groupBy("bucket").agg(F.count("*").alias("c"))
-    blocks = F.ceil(F.col("c") / BLOCK).cast("int")
+CELL = ["bucket", "i", "j"]
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    return rows.repartition(*CELL).sortWithinPartitions(*CELL)
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of each cell together, from batches in the order of the cells."""
+    held = None
+    for batch in batches:
+        batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
+        cell = batch[CELL]
+        edge = np.flatnonzero((cell != cell.shift()).any(axis=1).to_numpy())
+        for a, b in zip(edge[:-1], edge[1:], strict=True):
+            yield batch.iloc[a:b]
+        held = batch.iloc[edge[-1] :] if len(edge) else None
+    if held is not None and len(held):
+        yield held
+
+
+def _partners(cell: pd.DataFrame, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(row, rows) of a cell's pairs across components with near sketches that share no earlier band."""
+    rep, comp, own = (cell[c].to_numpy() for c in ("rep", "comp", "own"))
+    if (comp == comp[0]).all():
+        return
+    sketch, bands = (np.stack(cell[c].to_numpy()) for c in ("sketch", "bands"))
+    sketch, band = sketch.view(np.uint64), int((bands[0] == cell["bucket"].iloc[0]).argmax())
+    two = cell["i"].iloc[0] != cell["j"].iloc[0]
+    for k in range(len(cell)):
+        ok = (comp != comp[k]) & (rep > rep[k])
+        if two:
+            ok &= own != own[k]
+        at = np.flatnonzero(ok)
+        if len(at):
+            at = at[np.bitwise_count(sketch[at] ^ sketch[k]).sum(axis=1) <= most]
+        if len(at) and band:
+            at = at[~(bands[at, :band] == bands[k, :band]).any(axis=1)]
+        if len(at):
+            yield k, at
+
+
+def across(docs: DataFrame, members: DataFrame, most: int, words: int, percent: int, folder: str) -> DataFrame:
+    """The links (u, v) between ``members`` (bucket, rep, comp, n, sketch, bands) of a bucket in different components."""
+    counts = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     cells = (
         members.join(counts, "bucket")
-        .withColumn("i", F.pmod(F.xxhash64("rep"), blocks).cast("int"))
-        .withColumn("j", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bucket", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.col("i").alias("own"), "rep", "comp", "sketch")
-        .repartition("bucket", "i", "j")
-        .sortWithinPartitions("bucket", "i", "j")
+        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sketch", "bands")
     )
 
-    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def pairs(cell: pd.DataFrame) -> pd.DataFrame:
-            rep, comp, own = (cell[c].to_numpy() for c in ("rep", "comp", "own"))
-            sketch = np.stack(cell["sketch"].to_numpy()).view(np.uint64)
-            rows = []
-            for k in range(len(cell)):
-                ok = (comp != comp[k]) & (rep > rep[k])
-                if cell["i"].iloc[0] != cell["j"].iloc[0]:
-                    ok &= own != own[k]
-                at = np.flatnonzero(ok)
-                if len(at):
-                    at = at[np.bitwise_count(sketch[at] ^ sketch[k]).sum(axis=1) <= most]
-                    rows.append((np.full(len(at), rep[k]), rep[at]))
-            u, v = (np.concatenate(c) for c in zip(*rows, strict=True)) if rows else (np.empty(0, np.int64),) * 2
-            return pd.DataFrame({"u": u, "v": v})
-
-        held = None
-        for batch in batches:
-            batch = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            cell = batch[["bucket", "i", "j"]]
-            edge = np.flatnonzero((cell != cell.shift()).any(axis=1).to_numpy())
-            for a, b in zip(edge[:-1], edge[1:], strict=True):
-                yield pairs(batch.iloc[a:b])
-            held = batch.iloc[edge[-1] :] if len(edge) else None
-        if held is not None and len(held):
-            yield pairs(held)
+    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in _cells(batches):
+            use = np.zeros(len(cell), bool)
+            for k, at in _partners(cell, most):
+                use[k] = use[at] = True
+            if use.any():
+                yield cell[use]
+
+    found = materialize(_by_cell(cells).mapInPandas(look, cells.schema), "found", folder)
+    ids = found.select(F.col("rep").alias("id")).distinct()
+    sets = materialize(full_sets(docs, ids, ids.count(), words), "sets", folder)
+
+    def link(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for cell in _cells(batches):
+            rep, comp, sets = (cell[c].to_numpy() for c in ("rep", "comp", "x"))
+            top = {c: c for c in set(comp.tolist())}
 
-    return cells.mapInPandas(compare, "u long, v long").distinct()
+            def root(c: int, top=top) -> int:
+                while top[c] != c:
+                    c = top[c]
+                return c
+
+            rows = []
+            for k, at in _partners(cell, most):
+                for m in at.tolist():
+                    a, b = root(comp[k]), root(comp[m])
+                    if a == b:  # already linked within this cell
+                        continue
+                    x, y = sets[k], sets[m]
+                    if len(x) > len(y):
+                        x, y = y, x
+                    if 100 * len(x) < percent * len(y):
+                        continue
+                    place = np.searchsorted(y, x)
+                    both = int(np.count_nonzero(y[np.minimum(place, len(y) - 1)] == x))
+                    if 100 * both >= percent * (len(x) + len(y) - both):
+                        top[max(a, b)] = min(a, b)
+                        rows.append((rep[k], rep[m]))
+            if rows:
+                yield pd.DataFrame(rows, columns=["u", "v"])
+
+    full = found.join(sets.select(F.col("id").alias("rep"), F.array_sort("x").alias("x")), "rep").select(*found.columns, "x")
+    return _by_cell(full).mapInPandas(link, "u long, v long").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -260,18 +319,15 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     sketches = reps.select("rep", "sketch")
     left, right = sketches.toDF("u", "a"), sketches.toDF("v", "b")
     pairs = materialize(pairs.join(left, "u").join(right, "v").filter(_near("a", "b", most)).select("u", "v"), "pairs", folder)
-    links = materialize(confirm(docs, reps, pairs, words, percent, f"{folder}/first"), "links", folder)
+    links = materialize(confirm(docs, pairs, words, percent, f"{folder}/first"), "links", folder)
     labels = components(links, f"{folder}/first")
 
     named = lambda rows, key: rows.join(labels.select(F.col("u").alias(key), F.col("v").alias("comp")), key, "left").withColumn("comp", F.coalesce("comp", key))
     labelled = named(members.select("bucket", "rep"), "rep")
     mixed = labelled.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    rest = _across(labelled.join(mixed, "bucket").join(sketches, "rep"), most)
-    seen = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    rest = materialize(rest.join(seen, ["u", "v"], "left_anti"), "rest", folder)
-    more = confirm(docs, reps, rest, words, percent, f"{folder}/second")
-    if more is not rest:
-        more = materialize(more, "more", folder)
+    rest = labelled.join(mixed, "bucket").join(reps, "rep").select("bucket", "rep", "comp", "n", "sketch", "bands")
+    more = materialize(across(docs, rest, most, words, percent, f"{folder}/second"), "more", folder)
+    if not more.isEmpty():
         labels = components(links.unionByName(more), f"{folder}/second")
     final = materialize(named(keys.select("key", "rep"), "rep").select("key", "comp"), "final", folder)
     out = signed.select("doc_id", "n", "key").join(final, "key", "left")
