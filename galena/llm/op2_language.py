@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._base import fold
+from galena.llm._base import fold, release
 
 UND = "und"
 BLOCK = 1 << 20
@@ -140,6 +140,7 @@ def document_frequencies(texts: DataFrame, dim: int) -> tuple[int, np.ndarray]:
                     rows += 1
         k = np.flatnonzero(df)
         yield pd.DataFrame({"k": np.append(k, -1), "n": np.append(df[k], rows)})
+        release()
 
     df, rows = np.zeros(dim, np.int64), 0
     for r in texts.select("text").mapInPandas(count, "k int, n long").groupBy("k").agg(F.sum("n").alias("n")).collect():
@@ -178,6 +179,8 @@ def train(
         t = temperature(np.array([x[k][1] @ w[x[k][0]] for k in np.flatnonzero(held)]), np.array(y)[held]) if held.any() else 1.0
         k = np.flatnonzero(np.any(w != 0, axis=1))
         yield pd.DataFrame({"k": np.append(k, -1), "w": [*map(list, w[k]), [t]]})
+        x.clear()
+        release()
 
     model = LanguageModel(classes, idf, np.zeros((dim, len(classes))))
     for r in sample.select("text", "lang").coalesce(1).mapInPandas(fit, "k int, w array<double>").collect():
@@ -195,6 +198,7 @@ def predict(docs: DataFrame, model: LanguageModel, text: str = "text", into: str
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             yield pd.DataFrame([model(t) for t in batch], columns=["lang_pred", "score"])
+        release()
 
     return docs.withColumn(into, judge(F.col(text)))
 

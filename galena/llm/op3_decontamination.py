@@ -35,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from galena.llm._base import release
+
 SEED, EDITS, RECALL = 12, 0.1, 0.99
 #: Share of an item's runs that a window has to share: at a tenth of edits about a quarter stays whole.
 RUNS = 0.04
@@ -204,9 +206,13 @@ class Items:
 
     def find_all(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text the (item id, start, end, edits) of the items that it holds, with its own offsets."""
-        folded, looks, out = [fold(t) for t in texts], [], [{} for _ in texts]
-        for x, (symbols, _) in enumerate(folded):
-            for k, s in self.windows(symbols):
+        folded, looks, out = {}, [], [{} for _ in texts]
+        for x, text in enumerate(texts):
+            symbols, offsets = fold(text)
+            found = self.windows(symbols)
+            if found or self.short:
+                folded[x] = symbols, offsets.astype(np.int32)
+            for k, s in found:
                 s, size = max(0, s), len(self.symbols[k])
                 window = symbols[s : s + size]
                 if len(window) >= (1 - EDITS) * size:
@@ -228,8 +234,8 @@ class Items:
                     got = edit_window(item, near, most)
                 if got:
                     self._keep(out[x], self.ids[j], int(offsets[a + got[1]]), int(offsets[a + got[2] - 1]) + 1, got[0])
-        for found, (symbols, offsets) in zip(out, folded, strict=True):
-            padded = np.concatenate([[GAP], symbols, [GAP]]).astype(np.uint32).tobytes() if self.short else b""
+        for x, (symbols, offsets) in folded.items() if self.short else ():
+            found, padded = out[x], np.concatenate([[GAP], symbols, [GAP]]).astype(np.uint32).tobytes()
             for item_id, item in self.short:
                 want = np.concatenate([[GAP], item, [GAP]]).astype(np.uint32).tobytes()
                 p = padded.find(want)
@@ -269,6 +275,7 @@ def _marker(shared):
         for batch in batches:
             rows = (r for at in range(0, len(batch), 4000) for r in shared.value.find_all(batch.iloc[at : at + 4000].tolist()))
             yield pd.Series([[dict(zip(("item_id", "start", "end", "edits"), r, strict=True)) for r in found] for found in rows], dtype=object)
+        release()
 
     return leaks
 

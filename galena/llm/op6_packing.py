@@ -32,6 +32,8 @@ import pandas as pd
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from galena.llm._base import release
+
 # Unicode white space, as the tokenizer's pattern sees it.
 WHITE = r"\t-\r \x85\xa0" + "".join(map(chr, (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
 #: White-space separated chunks; the tokenizer's own pattern never joins characters across their edges.
@@ -49,7 +51,7 @@ def tokenizer_file() -> str:
 class _Chunks(dict):
     """Chunk -> ids, kept for chunks met before; bounded."""
 
-    def __init__(self, encode, most: int = 250_000):
+    def __init__(self, encode, most: int = 120_000):
         super().__init__()
         self.encode, self.most = encode, most
 
@@ -208,5 +210,7 @@ def pack(
                     packer.rows = []
         packer.close()
         yield pd.DataFrame(packer.rows, columns=names).astype({"doc_id": "Int64"})
+        encode.chunks.clear()
+        release()
 
     return docs.select("doc_id", "text").mapInPandas(run, fields)

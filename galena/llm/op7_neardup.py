@@ -36,7 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._base import materialize, shared_dir
+from galena.llm._base import materialize, release, shared_dir
 
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
@@ -67,7 +67,7 @@ class _Words(dict):
     def __missing__(self, word: bytes) -> int:
         h = xxhash.xxh3_64_intdigest(word)
         if len(word) <= 40:
-            if len(self) >= 500_000:
+            if len(self) >= 100_000:
                 self.clear()
             self[word] = h
         return h
@@ -131,6 +131,8 @@ def sign(docs: DataFrame, words: int) -> DataFrame:
                 else:
                     rows.append((0, b"", np.empty(0, np.int64), np.empty(0, np.int64)))
             yield pd.DataFrame(rows, columns=["n", "key", "sketch", "bands"])
+        _words.clear()
+        release()
 
     return docs.select("doc_id", signature("text").alias("s")).select("doc_id", "s.*")
 
@@ -191,6 +193,8 @@ def full_sets(docs: DataFrame, ids: DataFrame, n: int, words: int) -> DataFrame:
             for k in range(0, len(batch), 1000):
                 part = batch.iloc[k : k + 1000]
                 yield pd.DataFrame({"id": part["doc_id"], "x": [shingles(t, words).view(np.int64) for t in part["text"]]})
+        _words.clear()
+        release()
 
     return docs.filter("doc_id is not null").select("doc_id", "text", slot("doc_id").alias("h")).mapInPandas(build, "id long, x array<long>")
 
