@@ -1,8 +1,9 @@
 """WARC archives: written with revisit records for repeated payloads, read back by a salvaging reader.
 
 Records are rows of text whose separator is the format's own blank line, so any
-Hadoop file system can hold the archives. Small and large records go to separate
-files with bounded numbers of records, so that a file fits in memory.
+Hadoop file system can hold the archives. A file has a bounded number of records;
+those of more than ``SMALL`` bytes are dealt to twice as many files for each doubling,
+so that a file fits in memory.
 
 The reader checks the version line, the header fields, the length, the closing
 blank line and the payload's digest. After a failed check it looks for the next
@@ -34,8 +35,10 @@ CRLF = "\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-#: Payload bytes up to which a record is small, and records in a file of small and of large ones.
-SMALL, SMALL_FILE, LARGE_FILE = 32 << 10, 1000, 16
+#: Payload bytes up to which a record is small, and records in a file.
+SMALL, MOST = 32 << 10, 1000
+#: Compressed bytes that are opened at a time.
+STEP = 1 << 16
 
 
 def _header(page_id: Column, kind: Column, sha1_hex: Column, length: Column, block: Column, uri: Column, refers: Column) -> Column:
@@ -71,10 +74,12 @@ def write(planned: DataFrame, folder: str) -> None:
     kind = F.when(F.col("refers_to").isNull(), F.lit("response")).otherwise(F.lit("revisit"))
     block = F.when(F.col("refers_to").isNull(), F.col("html")).otherwise(F.lit(""))
     header = _header(F.col("page_id"), kind, F.col("digest"), F.col("n"), F.octet_length(block), F.col("url"), F.col("refers_to"))
-    records = planned.select(F.concat(header, block).alias("value"), (F.octet_length(block) > SMALL).alias("large"))
-    for name, large, most in (("small", False, SMALL_FILE), ("large", True, LARGE_FILE)):
-        writer = records.filter(F.col("large") == large).select("value").write
-        writer.option("lineSep", 2 * CRLF).option("maxRecordsPerFile", most).option("compression", "none").text(f"{folder}/{name}")
+    size = F.octet_length(block)
+    over = F.when(size > SMALL, F.ceil(F.log2(size / SMALL))).otherwise(F.lit(0)).cast("int")
+    records = planned.select("page_id", F.concat(header, block).alias("value"), over.alias("over"))
+    records = records.select("value", "over", F.expr("pmod(xxhash64(page_id), shiftleft(1L, over))").alias("part"))
+    writer = records.write.partitionBy("over", "part").option("lineSep", 2 * CRLF)
+    writer.option("maxRecordsPerFile", MOST).option("compression", "none").text(folder)
 
 
 @dataclass
@@ -150,18 +155,20 @@ def salvage_gzip(data: bytes) -> Salvage:
     """The same for an archive of gzip members, one for each record; offsets are those of the compressed bytes."""
     out, at, bad, why = Salvage(), 0, -1, ""
     while at < len(data):
-        opener, found = zlib.decompressobj(31), "no member"
+        opener, found, plain, end = zlib.decompressobj(31), "no member", [], at
         try:
-            plain = opener.decompress(data[at:])
+            while end < len(data) and not opener.eof:
+                plain.append(opener.decompress(data[end : end + STEP]))
+                end = min(len(data), end + STEP)
+            end -= len(opener.unused_data)
             if opener.eof:
-                found = read_record(plain, 0)
+                found = read_record(b"".join(plain), 0)
         except zlib.error as e:
             found = str(e)
         if isinstance(found, Record):
             if bad >= 0:
                 out.gaps.append((bad, at, why))
                 bad = -1
-            end = len(data) - len(opener.unused_data)
             out.records.append(Record(at, end, found.fields, found.block))
             at = end
             continue
