@@ -25,6 +25,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +38,8 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes up to which a record is small, and records in a file.
 SMALL, MOST = 32 << 10, 1000
+#: Bytes of the bitmap of repeated digests.
+FILTER_BYTES = 1 << 20
 #: Compressed bytes that are opened at a time.
 STEP = 1 << 16
 
@@ -59,14 +62,38 @@ def _header(page_id: Column, kind: Column, sha1_hex: Column, length: Column, blo
     return F.concat(*lines)
 
 
+def repeated(groups: DataFrame) -> Column:
+    """Whether a row's digest may be in ``groups`` (digest); false only if it isn't.
+
+    A bitmap of ``FILTER_BYTES`` at most is broadcast, so that records of other
+    digests need no shuffle.
+    """
+    spark, bits = groups.sparkSession, 8 * FILTER_BYTES
+    slot = F.pmod(F.xxhash64("digest"), F.lit(bits))
+    words = groups.select(slot.alias("h")).groupBy(F.shiftright("h", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("b"))
+    bitmap = np.zeros(bits // 64, np.int64)
+    for r in words.toLocalIterator():
+        bitmap[r["w"]] = r["b"]
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(h: pd.Series) -> pd.Series:
+        k = h.to_numpy()
+        return pd.Series((shared.value.view(np.uint64)[k >> 6] >> (k & 63).astype(np.uint64)) & np.uint64(1) == 1)
+
+    return test(slot)
+
+
 def plan(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, url, html, the payload's digest and length, and ``refers_to``: the id of the response that it revisits."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
     groups = rows.filter((F.col("n") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies"))
-    joined = rows.join(groups.filter("copies > 1").drop("copies"), "digest", "left")
+    groups = groups.filter("copies > 1").drop("copies")
+    marked = rows.withColumn("again", repeated(groups))
     refers = F.when((F.col("n") >= least) & F.col("page_id").isNotNull() & (F.col("last") != F.col("page_id")), F.col("last"))
-    return joined.withColumn("refers_to", refers).drop("last")
+    joined = marked.filter("again").drop("again").join(groups, "digest", "left").withColumn("refers_to", refers).drop("last")
+    return marked.filter("not again").drop("again").withColumn("refers_to", F.lit(None).cast("long")).unionByName(joined)
 
 
 def write(planned: DataFrame, folder: str) -> None:
