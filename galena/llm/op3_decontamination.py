@@ -1,23 +1,24 @@
 """Benchmark decontamination: near copies of benchmark items within documents.
 
 Texts are folded first (letters and digits in lower case, one gap for anything
-else, with a map back to the offsets). A document's windows begin where it shares a
-share ``RUNS`` of an item's runs of ``SEED`` symbols in about the same alignment: the
-runs' places give the offset at which the item would begin, and the window there has
-the item's size.
+else, with a map back to the offsets). An item is laid out in pieces of ``PIECE``
+symbols (fewer for the shortest items). An edit spoils one piece at most, so a copy
+within ``EDITS`` keeps all pieces but as many as it has edits, and these lie at offsets
+that differ by no more than the edits: where a document has fewer there is no copy.
+Around the places that are left, windows of the item's size begin at every half of
+the allowed shift.
 
 CGK's random walk embeds windows and items: at each step it writes the symbol under
-its pointer and moves on or not, by a random bit for the step and the symbol. Strings
-at a small edit distance get strings at a small Hamming distance, which sampled
-positions can find: each of several tables hashes ``SAMPLED`` positions, and a window
-that meets an item in any table is a candidate. The number of tables follows from
-the target recall at the largest edit share. Candidates are verified by their exact
-edit distance, with free ends.
+its pointer and moves on or not, by a random bit for the step and the symbol. Strings at a small edit distance
+get strings at a small Hamming distance, which sampled positions can find: each of
+several tables hashes ``SAMPLED`` positions, and a window that meets an item in any
+table is a candidate. The number of tables follows from the target recall at the
+largest edit share. Candidates are verified by their exact edit distance, with free ends.
 
 The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters, each of which
 is broadcast and compared with all documents.
 
-Defined cases: null or empty texts match nothing; an item shorter than a seed, when
+Defined cases: null or empty texts match nothing; an item shorter than ``SEED``, when
 folded, matches where its words occur exactly; an item without letters or digits
 matches nothing; repeated documents and items each give their rows; extra columns
 are not read.
@@ -38,8 +39,7 @@ from pyspark.sql import functions as F
 from galena.llm._base import release
 
 SEED, EDITS, RECALL = 12, 0.1, 0.99
-#: Share of an item's runs that a window has to share: at a tenth of edits about a quarter stays whole.
-RUNS = 0.04
+PIECE = 7
 SAMPLED, PER_WALK = 4, 1
 #: Share of embedded positions that still agree at the largest edit share.
 AGREE = 0.55
@@ -70,18 +70,25 @@ def fold(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return points[at], at
 
 
-def seeds(symbols: np.ndarray) -> np.ndarray:
-    """A hash of the ``SEED`` symbols from each place on."""
-    if len(symbols) < SEED:
+def seeds(symbols: np.ndarray, size: int) -> np.ndarray:
+    """A hash of the ``size`` symbols from each place on."""
+    n = len(symbols) - size + 1
+    if n <= 0:
         return np.empty(0, np.uint64)
     a = symbols.astype(np.uint64) + np.uint64(1)
-    two = a[:-1] * P + a[1:]
-    four = (two[:-2] ^ (two[:-2] >> np.uint64(29))) * P + two[2:]
-    eight = (four[:-4] ^ (four[:-4] >> np.uint64(31))) * P + four[4:]
-    out = (eight[: len(a) - SEED + 1] ^ (eight[: len(a) - SEED + 1] >> np.uint64(30))) * P + four[8 : 8 + len(a) - SEED + 1]
+    out = a[:n]
+    for k in range(1, size):
+        out = (out ^ (out >> np.uint64(29))) * P + a[k : k + n]
     return out ^ (out >> np.uint64(32))
 
 
+def piece(n: int) -> tuple[int, int]:
+    """(size of the pieces of an item of ``n`` symbols, how many of them any copy within ``EDITS`` keeps)."""
+    most = int(EDITS * n)
+    size = min(PIECE, n // (most + 1))
+    return size, n // size - most
+
+
 def tables() -> int:
     """Tables, of ``SAMPLED`` positions each, that reach the target recall."""
     return math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
@@ -162,12 +169,18 @@ class Items:
                 self.symbols.append(symbols)
             elif len(symbols):
                 self.short.append((item_id, symbols))
-        at = [(seeds(s), np.full(len(s) - SEED + 1, k), np.arange(len(s) - SEED + 1)) for k, s in enumerate(self.symbols)]
-        hashes, which, place = (np.concatenate([a[j] for a in at]) if at else np.empty(0, np.int64) for j in range(3))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.which, self.place = hashes[order].astype(np.uint64), which[order], place[order]
-        self.filter = np.zeros(1 << BITS, bool)
-        self.filter[(self.hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
+        self.most = np.array([int(EDITS * len(s)) for s in self.symbols], np.int64)
+        self.need = np.array([piece(len(s))[1] for s in self.symbols], np.int64)
+        #: size of pieces -> (their hashes in order, item, place, a filter by the lowest bits)
+        self.pieces: dict[int, tuple[np.ndarray, ...]] = {}
+        sizes = [piece(len(s))[0] for s in self.symbols]
+        for size in sorted(set(sizes)):
+            at = [(seeds(s, size)[::size], np.full(len(s) // size, k), np.arange(len(s) // size) * size) for k, s in enumerate(self.symbols) if sizes[k] == size]
+            hashes, which, place = (np.concatenate([a[j] for a in at]) for j in range(3))
+            order = np.argsort(hashes, kind="stable")
+            known = np.zeros(1 << BITS, bool)
+            known[(hashes & np.uint64((1 << BITS) - 1)).astype(np.int64)] = True
+            self.pieces[size] = hashes[order], which[order], place[order], known
         self.signs = table_hashes(self.symbols)
         self.bags = [bag(s) for s in self.symbols]
         self.buckets: dict[int, list[int]] = defaultdict(list)
@@ -175,33 +188,28 @@ class Items:
             for h in sign.tolist():
                 self.buckets[h].append(k)
 
-    def windows(self, symbols: np.ndarray) -> list[tuple[int, int]]:
-        """(item, start) of the windows to look at."""
-        h = seeds(symbols)
-        at = np.flatnonzero(self.filter[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)]) if len(h) else np.empty(0, np.int64)
-        if not len(at):
-            return []
-        lo, hi = np.searchsorted(self.hashes, h[at], "left"), np.searchsorted(self.hashes, h[at], "right")
-        n = hi - lo
-        entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        item, start = self.which[entry], np.repeat(at, n) - self.place[entry]
-        pairs, count = np.unique(item * (1 << 40) + start + (1 << 32), return_counts=True)
-        # of starts within the allowed shift of each other, the one with the most runs
-        out, k, first, best, most, total = [], -1, 0, 0, 0, 0
-
-        def close() -> None:
-            if k >= 0 and total >= RUNS * (len(self.symbols[k]) - SEED + 1):
-                out.append((k, best))
-
-        for pair, c in zip(pairs.tolist(), count.tolist(), strict=True):
-            own, s = pair >> 40, (pair & ((1 << 40) - 1)) - (1 << 32)
-            if own != k or s - first > max(4, 2 * int(EDITS * len(self.symbols[own]))):
-                close()
-                k, first, best, most, total = own, s, s, c, 0
-            total += c
-            if c > most:
-                best, most = s, c
-        close()
+    def places(self, symbols: np.ndarray) -> list[tuple[int, int, int]]:
+        """(item, first, last) of the offsets around which the text keeps enough of the item's pieces."""
+        keys = []
+        for size, (hashes, which, place, known) in self.pieces.items():
+            h = seeds(symbols, size)
+            at = np.flatnonzero(known[(h & np.uint64((1 << BITS) - 1)).astype(np.int64)])
+            lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+            n = hi - lo
+            entry = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            keys.append(which[entry] * (1 << 40) + np.repeat(at, n) - place[entry] + (1 << 32))
+        key = np.sort(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+        item = key >> 40
+        # from each offset on, the pieces within the allowed shift
+        end = np.searchsorted(key, key + self.most[item], "right")
+        good = np.flatnonzero(end - np.arange(len(key)) >= self.need[item])
+        out = []
+        for k, first, last in zip(item[good].tolist(), key[good].tolist(), key[end[good] - 1].tolist(), strict=True):
+            first, last = first - (k << 40) - (1 << 32), last - (k << 40) - (1 << 32)
+            if out and out[-1][0] == k and first <= out[-1][2]:
+                out[-1] = k, out[-1][1], max(last, out[-1][2])
+            else:
+                out.append((k, first, last))
         return out
 
     def find_all(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
@@ -209,31 +217,39 @@ class Items:
         folded, looks, out = {}, [], [{} for _ in texts]
         for x, text in enumerate(texts):
             symbols, offsets = fold(text)
-            found = self.windows(symbols)
+            found = self.places(symbols)
             if found or self.short:
                 folded[x] = symbols, offsets.astype(np.int32)
-            for k, s in found:
-                s, size = max(0, s), len(self.symbols[k])
-                window = symbols[s : s + size]
-                if len(window) >= (1 - EDITS) * size:
-                    looks.append((x, k, s, np.append(window, np.full(size - len(window), GAP, np.uint32)).astype(np.uint32)))
-        odd = [n for n, (_, k, _, w) in enumerate(looks) if not np.array_equal(w, self.symbols[k])]
-        signs = dict(zip(odd, table_hashes([looks[n][3] for n in odd]).tolist(), strict=True)) if odd else {}
-        for n, (x, k, s, _) in enumerate(looks):
-            # an equal window meets its item in every table
-            for j in {c for h in signs[n] for c in self.buckets.get(h, ())} if n in signs else (k,):
-                item, (symbols, offsets) = self.symbols[j], folded[x]
-                most = int(EDITS * len(item))
-                a = max(0, s - most) if n in signs else s
-                near = symbols[a : s + len(item) + most]
-                if n not in signs:
-                    got = (0, 0, len(item))
-                elif np.maximum(self.bags[j] - bag(near), 0).sum() > most:  # so many symbols of the item are missing
+            for k, first, last in found:
+                size, most = len(self.symbols[k]), int(self.most[k])
+                near = max(0, first - most), last + size + most
+                if np.maximum(self.bags[k] - bag(symbols[slice(*near)]), 0).sum() > most:  # so many symbols of the item are missing
+                    continue
+                p = symbols[slice(*near)].tobytes().find(self.symbols[k].tobytes())
+                while p >= 0 and p % 4:
+                    p = symbols[slice(*near)].tobytes().find(self.symbols[k].tobytes(), p + 1)
+                if p >= 0:  # an equal window meets its item in every table
+                    s = near[0] + p // 4
+                    self._keep(out[x], self.ids[k], int(offsets[s]), int(offsets[s + size - 1]) + 1, 0)
                     continue
-                else:
-                    got = edit_window(item, near, most)
-                if got:
-                    self._keep(out[x], self.ids[j], int(offsets[a + got[1]]), int(offsets[a + got[2] - 1]) + 1, got[0])
+                step = max(1, most // 2)
+                for s in sorted({max(0, s) for s in range(first - most // step * step, last + most + 1, step)}):
+                    window = symbols[s : s + size]
+                    if len(window) >= size - most - step:
+                        looks.append((x, k, near, s, np.append(window, np.full(size - len(window), GAP, np.uint32)).astype(np.uint32)))
+        signs = table_hashes([w for *_, w in looks]).tolist() if looks else []
+        verify = set()
+        for (x, k, near, s, _), sign in zip(looks, signs, strict=True):
+            for j in {c for h in sign for c in self.buckets.get(h, ())}:
+                most = int(self.most[j])
+                verify.add((x, j, *(near if j == k else (max(0, s - most), s + len(self.symbols[j]) + most))))
+        for x, j, a, b in sorted(verify):
+            (symbols, offsets), most = folded[x], int(self.most[j])
+            if np.maximum(self.bags[j] - bag(symbols[a:b]), 0).sum() > most:
+                continue
+            got = edit_window(self.symbols[j], symbols[a:b], most)
+            if got:
+                self._keep(out[x], self.ids[j], int(offsets[a + got[1]]), int(offsets[a + got[2] - 1]) + 1, got[0])
         for x, (symbols, offsets) in folded.items() if self.short else ():
             found, padded = out[x], np.concatenate([[GAP], symbols, [GAP]]).astype(np.uint32).tobytes()
             for item_id, item in self.short:

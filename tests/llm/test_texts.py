@@ -110,6 +110,25 @@ def test_decontamination_recall():
     assert hit >= 0.95 * len(items)
 
 
+def found_with(seed, sizes, places, count=40):
+    """The share of items found in texts that hold them with a tenth of their symbols replaced, at ``places`` (of size, edits)."""
+    rnd = random.Random(seed)
+    prose = lambda n: "".join(rnd.choices("abcdefghilmnoprst", k=n))
+    items = [prose(rnd.choice(sizes)) for _ in range(count)]
+    texts = []
+    for t in items:
+        copy = list(t)
+        for k in places(len(t), int(op3.EDITS * len(t))):
+            copy[k] = "x"
+        texts.append(prose(500) + "".join(copy) + prose(300))
+    return sum(any(f[0] == k for f in got) for k, got in enumerate(op3.Items(list(enumerate(items))).find_all(texts))) / count
+
+
+def test_decontamination_of_even_edits():
+    """A copy with an edit in every eleven symbols shares no run of eleven with its item."""
+    assert found_with(7, range(100, 256), lambda n, m: range(5, 11 * min(m, n // 11), 11)) >= 0.95
+
+
 def test_quality(spark):
     rnd = random.Random(7)
     good = lambda: ". ".join(prose(rnd, "en", 12) for _ in range(5))
