@@ -9,7 +9,9 @@ Around the places that are left, windows of the item's size begin at every half
 the allowed shift.
 
 CGK's random walk embeds windows and items: at each step it writes the symbol under
-its pointer and moves on or not, by a random bit for the step and the symbol. Strings at a small edit distance
+its pointer and moves on or not, by a random bit for the step and the symbol. It takes
+two steps a symbol on average; positions are sampled over these 2 n steps, and what
+follows up to CGK's 3 n, mostly padding, is not walked. Strings at a small edit distance
 get strings at a small Hamming distance, which sampled positions can find: each of
 several tables hashes ``SAMPLED`` positions, and a window that meets an item in any
 table is a candidate. The number of tables follows from the target recall at the
@@ -40,9 +42,9 @@ from galena.llm._base import release
 
 SEED, EDITS, RECALL = 12, 0.1, 0.99
 PIECE = 7
-SAMPLED, PER_WALK = 4, 1
+SAMPLED = 4
 #: Share of embedded positions that still agree at the largest edit share.
-AGREE = 0.55
+AGREE = 0.4
 BLOCK_CHARS = 8 << 20
 BITS = 22
 P = np.uint64(0x9E3779B97F4A7C15)
@@ -94,41 +96,42 @@ def tables() -> int:
     return math.ceil(math.log(1 - RECALL) / math.log(1 - AGREE**SAMPLED))
 
 
-def embed(rows: np.ndarray, lengths: np.ndarray, walk: int, steps: int) -> np.ndarray:
-    """CGK embeddings of the strings in ``rows``, padded with zeros; [strings, steps]."""
-    coins = np.random.default_rng(1000 + walk).integers(0, 2, (steps, 256), dtype=np.int64)
-    out, at, every = np.zeros((len(rows), steps), np.uint8), np.zeros(len(rows), np.int64), np.arange(len(rows))
-    width = rows.shape[1]
+@lru_cache(maxsize=8)
+def _coins(block: int) -> np.ndarray:
+    """The random bits of 128 steps, [steps, tables, symbols]; each table has a walk of its own."""
+    return np.random.default_rng(1000 + block).integers(0, 2, (128, tables(), 256), np.uint8)
+
+
+def embed(rows: np.ndarray, steps: int) -> np.ndarray:
+    """CGK embeddings of the strings in ``rows``, each with zeros at its end; [steps, strings, tables]."""
+    shape = len(rows), tables()
+    out, at, walk = np.zeros((steps, *shape), np.uint8), np.zeros(shape, np.int64), np.arange(shape[1])[None, :]
+    first, last, flat = (np.arange(len(rows)) * rows.shape[1])[:, None], rows.shape[1] - 1, rows.ravel()
     for k in range(steps):
-        symbol = np.where(at < lengths, rows[every, np.minimum(at, width - 1)], 0)
-        out[:, k] = symbol
-        at += coins[k][symbol]
+        out[k] = flat[first + np.minimum(at, last)]
+        at += _coins(k // 128)[k % 128].ravel()[walk * 256 + out[k]]
     return out
 
 
 def table_hashes(symbols: list[np.ndarray]) -> np.ndarray:
-    """The bit-sampling hashes of strings, [strings, tables].
-
-    Embeddings and sampled positions depend on the class of a string's length only
-    (the power of two above it), so that strings of one size are treated alike.
-    """
+    """The bit-sampling hashes of strings, [strings, tables]; only strings of one length meet."""
     out = np.empty((len(symbols), tables()), np.uint64)
     lengths = np.fromiter(map(len, symbols), np.int64, len(symbols))
-    sizes = np.array([1 << (int(n) - 1).bit_length() for n in lengths], np.int64)
-    for size in np.unique(sizes).tolist():
-        own = np.flatnonzero(sizes == size)
-        for at in range(0, len(own), 4096):
-            part = own[at : at + 4096]
-            rows = np.zeros((len(part), size), np.uint8)
-            for k, x in enumerate(part):
-                rows[k, : lengths[x]] = (symbols[x] * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8) | np.uint8(1)
-            for walk in range(-(-tables() // PER_WALK)):
-                bits = embed(rows, lengths[part], walk, size).astype(np.uint64)
-                for t in range(walk * PER_WALK, min(tables(), (walk + 1) * PER_WALK)):
-                    h = np.full(len(part), np.uint64(t * 64 + size.bit_length()))
-                    for p in np.random.default_rng(t).integers(0, size, SAMPLED):
-                        h = (h ^ (h >> np.uint64(29))) * P + bits[:, p]
-                    out[part, t] = h
+    share = np.random.default_rng(0).random((SAMPLED, tables()))
+    order, at = np.argsort(lengths, kind="stable")[::-1], 0
+    while at < len(order):
+        size = int(lengths[order[at]])
+        part = order[at : at + max(1, (32 << 20) // (2 * size * tables()))]
+        at += len(part)
+        rows = np.zeros((len(part), size + 1), np.uint8)
+        for k, x in enumerate(part):
+            rows[k, : lengths[x]] = (symbols[x] * np.uint32(2654435761) >> np.uint32(24)).astype(np.uint8) | np.uint8(1)
+        bits = embed(rows, 2 * size)
+        every, t = np.arange(len(part))[:, None], np.arange(tables())[None, :]
+        h = (t + 1).astype(np.uint64) * P + lengths[part][:, None].astype(np.uint64)
+        for u in share:
+            h = (h ^ (h >> np.uint64(29))) * P + bits[(u[None, :] * 2 * lengths[part][:, None]).astype(np.int64), every, t]
+        out[part] = h
     return out
 
 

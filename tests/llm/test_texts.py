@@ -129,6 +129,17 @@ def test_decontamination_of_even_edits():
     assert found_with(7, range(100, 256), lambda n, m: range(5, 11 * min(m, n // 11), 11)) >= 0.95
 
 
+@pytest.mark.parametrize("end", ["front", "back", "even"])
+def test_decontamination_of_edits_at_an_end(end):
+    """Edits that lie close together at one end, or spread evenly, leave enough of the embedding."""
+    rnd = random.Random(9)
+
+    def places(n, m):
+        return {"front": rnd.sample(range(n // 2), m), "back": rnd.sample(range(n - n // 2, n), m), "even": range(5, n, 10)[:m]}[end]
+
+    assert found_with(8, (129, 200, 256, 384), places, 60) >= 0.98
+
+
 def test_quality(spark):
     rnd = random.Random(7)
     good = lambda: ". ".join(prose(rnd, "en", 12) for _ in range(5))
