@@ -21,16 +21,20 @@ def merge_orders(lists: list[list[str]]) -> list[str] | None:
     return out
 
 
-def c3(name: str, parents: dict[str, list[str]], path: tuple[str, ...] = ()) -> list[str] | None:
-    """The linear order of a class and its ancestors; None for a cycle or inconsistent parents."""
+def c3(name: str, parents: dict[str, list[str]], path: tuple[str, ...] = (), known: dict[str, list[str] | None] | None = None) -> list[str] | None:
+    """The linear order of a class and its ancestors; None for a cycle or inconsistent parents.
+
+    ``known`` keeps the orders of ancestors, which many classes share.
+    """
+    known = {} if known is None else known
     if name in path:
         return None
-    own = parents.get(name, [])
-    orders = [c3(p, parents, (*path, name)) for p in own]
-    if any(o is None for o in orders):
-        return None
-    merged = merge_orders([*orders, own])
-    return None if merged is None else [name, *merged]
+    if name not in known:
+        own = parents.get(name, [])
+        orders = [c3(p, parents, (*path, name), known) for p in own]
+        merged = None if any(o is None for o in orders) else merge_orders([*orders, own])
+        known[name] = None if merged is None else [name, *merged]
+    return known[name]
 
 
 def linearize(heritage: DataFrame, seeds: DataFrame, depth: int = 32) -> DataFrame:

@@ -222,10 +222,10 @@ def SET05_modification_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def GR20_class_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C3 orders of a small heritage over parts: each inherits from two smaller ones."""
-    p = load(spark, sf_dir, "part").filter("p_partkey between 4 and 60").select(F.col("p_partkey").alias("k"))
-    up = p.select(F.col("k").cast("string").alias("child"), F.expr("array(k div 2, k div 3)").alias("ps")).select("child", F.posexplode("ps").alias("position", "p"))
-    heritage = up.select("child", F.col("p").cast("string").alias("parent"), "position")
+    """C3 orders of the heritage over all parts: each inherits from those of its half and its third that are parts."""
+    p = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    up = p.select(F.col("k").cast("string").alias("child"), F.expr("array_distinct(array(k div 2, k div 3))").alias("ps")).select("child", F.posexplode("ps").alias("position", "p"))
+    heritage = up.join(p.withColumnRenamed("k", "p"), "p", "left_semi").select("child", F.col("p").cast("string").alias("parent"), "position")
     return resolve.linearize(heritage, p.select(F.col("k").cast("string").alias("id"))).select("id", F.array_join("order", ">").alias("order"))
 
 

@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from galena.model import TABLES
+from galena.operators import resolve
 from galena.plans import catalogue
 
 SF = "/root/testdata/sf0.001"
@@ -39,6 +40,14 @@ def test_rows_only(spark):
         catalogue.queries()[name](spark, SF).collect()
 
 
+def test_class_orders_of_all_parts(spark):
+    keys = {r["p_partkey"] for r in spark.read.parquet(f"{SF}/part.parquet").collect()}
+    parents = {str(k): [str(p) for p in dict.fromkeys((k // 2, k // 3)) if p in keys] for k in keys}
+    got = {r["id"]: r["order"] for r in catalogue.queries()["GR20_class_orders"](spark, SF).collect()}
+    want = {k: resolve.c3(k, parents) for k in parents}
+    assert got == {k: o and ">".join(o) for k, o in want.items()}
+
+
 def test_entry(spark):
     import __spark_entry__ as e
 
