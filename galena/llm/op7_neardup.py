@@ -348,12 +348,24 @@ def digest(docs: DataFrame, words: int = 2) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; of rows that repeat an id, one."""
+    """The rows of ``docs`` whose id is the smallest of its group; of rows that repeat an id and a text, one.
+
+    Where ids repeat, each id and text gets a number in the order of the ids, and the numbers stand for the ids.
+    """
+    again = docs.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
+    if not again:
+        return _smallest(docs, words, percent)
+    folder, names = shared_dir(docs.sparkSession), docs.columns
+    known = docs.filter("doc_id is not null").select("doc_id", F.coalesce(F.md5("text"), F.lit("")).alias("digest"), "text", F.struct(*names).alias("row"))
+    # ids that are given after a sort rise with it, partition by partition
+    numbers = materialize(known.select("doc_id", "digest").distinct().orderBy("doc_id", "digest").withColumn("number", F.monotonically_increasing_id()), "numbers", folder)
+    numbered = known.join(numbers, ["doc_id", "digest"]).select(F.col("number").alias("doc_id"), "text", "row").dropDuplicates(["doc_id"])
+    kept = _smallest(materialize(numbered, "numbered", folder), words, percent)
+    return kept.select("row.*").unionByName(docs.filter("doc_id is null"))
+
+
+def _smallest(docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The rows of ``docs`` whose id, which no other row has, is the smallest of its group."""
     found = materialize(near_duplicates(docs, words, percent), "groups")
     gone = found.filter("doc_id != component_id").select("doc_id").distinct()
-    out = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").limit(1).count()
-    if not again:
-        return out
-    known = out.filter("doc_id is not null").dropDuplicates(["doc_id"])
-    return known.unionByName(out.filter("doc_id is null"))
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

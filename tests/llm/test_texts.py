@@ -304,6 +304,18 @@ def test_near_duplicates(spark, words):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_keep_one_of_an_id_with_two_texts(spark):
+    rnd = random.Random(14)
+    text = lambda: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(100))
+    first, own, two, three = (text() for _ in range(4))
+    near = first + " more"
+    rows = [(3, first), (5, near), (5, own), (6, first), (6, two), (7, three), (7, three), (7, own), (8, None), (8, None), (None, first)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("number", F.lit(0))
+    kept = op7.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert Counter((r["doc_id"], r["text"]) for r in kept.collect()) == Counter([(3, first), (5, own), (6, two), (7, three), (8, None), (None, first)])
+
+
 def test_near_duplicates_edge_cases(spark):
     rows = [(None, "same words here now ok"), (None, "same words here now ok"), (5, "same words here now ok"), (2, "same words here now ok"), (2, "same words here now ok"), (9, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
