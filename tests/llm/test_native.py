@@ -5,6 +5,7 @@ import math
 import random
 import re
 import string
+import time
 from collections import Counter
 
 import numpy as np
@@ -76,6 +77,40 @@ def test_window_entropy_is_that_of_brute_force(spark):
     assert np.allclose(got, [best_entropy(v, 24) for v in values])
 
 
+def test_entropy_over_blocks_is_that_of_brute_force(spark):
+    rnd = random.Random(2)
+    low = "ab" * (op1.BLOCK // 2 + 10)
+    best = "".join(rnd.sample(string.ascii_letters, 24))
+    values = [low + best + low, low[: op1.BLOCK - 12] + best + low, low[: op1.BLOCK] + best, ""]
+    got = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v string").select(op1.window_entropy(F.col("v"), op1.BASE64_CLASS)).collect()]
+    assert np.allclose(got, [best_entropy(v, 24) if v else 0 for v in values])
+
+
+def test_what_a_class_needs_must_be_in_the_run(spark):
+    run = "ABCDEFGH23456789JKLMNPQRSTUVWXYZ7531"
+    rows = [(1, run), (2, f"{run} then lower"), (3, f"{run}x"), (None, f"{run}x")]
+    got = {r["doc_id"]: r["spans"] for r in op1.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "", 2: "", 3: f"entropy_base64:0:{len(run) + 1}", None: f"entropy_base64:0:{len(run) + 1}"}
+
+
+def test_long_texts_cost_in_proportion(spark):
+    """Numbers, capitals and very many matches; a quadratic scan of any of them takes minutes."""
+    texts = {1: "12345 6.7\n" * 40_000, 2: "ABCDEFGHJK" * 40_000, 3: "token=abcdef12\n" * 25_000, 4: "ab/Cd_" * 60_000 + "x"}
+    df = spark.createDataFrame([(k, t, len(t)) for k, t in texts.items()], "doc_id long, text string, n_chars long").repartition(4)
+    began = time.time()
+    got = {r["doc_id"]: r for r in op1.digest(df).collect()}
+    clean = {r["doc_id"]: r["n_chars"] for r in op1.redact(df).collect()}
+    assert time.time() - began < 60
+    assert [got[k]["n_assign"] for k in sorted(texts)] == [0, 0, 25_000, 0]
+    assert clean == {1: 400_000, 2: 400_000, 3: 25_000 * len("[secret]\n"), 4: 360_001}
+
+
+def test_redaction_of_overlaps_and_wide_characters(spark):
+    rows = [(1, "é𝄞 token=" + "ab12" * 8 + " ü", "s"), (2, "token=abcdefé token=abcdef", "s"), (3, "x" + "0f" * 20, None)]
+    got = {r["doc_id"]: r["text"] for r in op1.redact(spark.createDataFrame(rows, "doc_id long, text string, base string")).collect()}
+    assert got == {1: "é𝄞 [secret] ü", 2: "[secret]é [secret]", 3: "x[secret]"}
+
+
 def test_redaction(spark):
     df = spark.createDataFrame([(1, "a token=abcdef b", 16, "s"), (2, "clean", 5, None), (3, None, None, "t")], "doc_id long, text string, n_chars long, source string")
     got = {r["doc_id"]: r for r in op1.redact(df).collect()}
