@@ -2,19 +2,25 @@
 
 Statistics of the whole text (lengths, character classes, repetition, entropy) are
 transformed to compact ranges. Class means and covariances come from moments summed
-over all labelled training rows. Each covariance is shrunk towards the pooled one
-and towards a multiple of the identity; a score is the logistic of the difference of
-the log densities, whose Mahalanobis terms use Cholesky factors computed once.
-
-Defined cases: a null or empty text has the statistics of an empty text; labels
-that are null are ignored and a document's repeated labels count as their largest;
-without rows of both classes every score is the share of label 1 (0.5 without
-labels); repeated documents each give a row; an empty table gives an empty result.
+over all labelled training rows. A class's covariance is shrunk towards the pooled
+one as if ``PRIOR`` further rows had the pooled covariance, whatever its number of
+rows, and then by the share ``RIDGE`` towards a multiple of the identity. A score is
+the logistic of the difference of the log densities, whose Mahalanobis terms use
+Cholesky factors computed once. The statistics aren't normal, so the difference is
+divided by a temperature: that of ``HEATS`` with the least log loss over all labelled
+training rows.
+
+Defined cases: a null or empty text has the statistics of an empty text; a text of
+any length is measured whole; a null id is passed on and has no label; labels that
+are null are ignored and a document's repeated labels count as their largest;
+without two rows of each class every score is the share of label 1 (0.5 without
+labels); of equally good temperatures the lower one is taken; repeated documents
+each give a row and each count in training; an empty table gives an empty result;
+only ``doc_id``, ``text`` and the label are read, so other columns cannot clash.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,7 +43,9 @@ _CLASS[[9, 10, 11, 12, 13, 32]] = SPACE
 _CLASS[48:58] = DIGIT
 _CLASS[[*range(65, 91), *range(97, 123)]] = LETTER
 _CLASS[[ord(c) for c in ".,;:!?'\"()-"]] = STOP
-WORD = re.compile(r"\S+")
+#: Rows of the pooled covariance that each class's own is mixed with, and the identity's share.
+PRIOR, RIDGE = 21, 0.05
+HEATS = (1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0)
 
 
 def statistics(text: str | None) -> np.ndarray:
@@ -90,18 +98,20 @@ class Discriminant:
     log_dets: tuple = ()
     heat: float = 1.0
 
+    def margins(self, x: np.ndarray) -> np.ndarray:
+        """log density of class 1 less that of class 0, of the rows of ``x``."""
+        if not self.means:
+            return np.zeros(len(x))
+        z = np.clip((x - self.centre) / self.scale, -8, 8)
+        zero, one = (((z - m) @ f.T) for m, f in zip(self.means, self.factors, strict=True))
+        return 0.5 * ((zero**2).sum(axis=1) - (one**2).sum(axis=1) + self.log_dets[0] - self.log_dets[1])
+
     def __call__(self, x: np.ndarray) -> np.ndarray:
         """Scores of the rows of ``x``."""
-        logit = np.full(len(x), self.odds)
-        if self.means:
-            z = np.clip((x - self.centre) / self.scale, -8, 8)
-            zero, one = (((z - m) @ f.T) for m, f in zip(self.means, self.factors, strict=True))
-            d = 0.5 * ((zero**2).sum(axis=1) - (one**2).sum(axis=1) + self.log_dets[0] - self.log_dets[1])
-            logit = self.odds + d / self.heat
-        return 1 / (1 + np.exp(-np.clip(logit, -60, 60)))
+        return 1 / (1 + np.exp(-np.clip(self.odds + self.margins(x) / self.heat, -60, 60)))
 
 
-def fit(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, pooled: float = 0.2, ridge: float = 0.05) -> Discriminant:
+def fit(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, prior: float = PRIOR, ridge: float = RIDGE) -> Discriminant:
     """From the number, sum and sum of outer products of the rows of class 0 and 1."""
     total = counts.sum()
     if counts.min() < 2:
@@ -119,17 +129,22 @@ def fit(counts: np.ndarray, sums: np.ndarray, squares: np.ndarray, pooled: float
     within = sum(n * s for n, s in zip(counts, covariances, strict=True)) / total
     factors, dets = [], []
     for c in (0, 1):
-        own = pooled if counts[c] > 10 * len(centre) else 0.7
-        s = (1 - own) * covariances[c] + own * within
+        s = (counts[c] * covariances[c] + prior * within) / (counts[c] + prior)
         s = (1 - ridge) * s + ridge * max(np.trace(s) / len(s), 1e-3) * np.eye(len(s))
         low = np.linalg.cholesky(s)
         factors.append(np.linalg.inv(low))
         dets.append(2 * float(np.log(np.diagonal(low)).sum()))
-    return Discriminant(float(np.log(counts[1] / counts[0])), centre, scale, tuple(means), tuple(factors), tuple(dets), heat=2.0)
+    return Discriminant(float(np.log(counts[1] / counts[0])), centre, scale, tuple(means), tuple(factors), tuple(dets))
+
+
+def losses(model: Discriminant, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The summed log loss of the rows for each of ``HEATS``."""
+    sign, margin = np.where(y == 1, 1, -1), model.margins(x)
+    return np.array([np.logaddexp(0, -sign * np.clip(model.odds + margin / heat, -60, 60)).sum() for heat in HEATS])
 
 
 def train(measured: DataFrame, labels: DataFrame, column: str = "quality") -> Discriminant:
-    """Moments of all rows of ``measured`` (doc_id, x) that have a label, summed by the cluster."""
+    """Moments, and then log losses, of all rows of ``measured`` (doc_id, x) that have a label, summed by the cluster."""
     known = labels.filter(F.col(column).isNotNull()).groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
     d = len(STATISTICS)
 
@@ -142,12 +157,25 @@ def train(measured: DataFrame, labels: DataFrame, column: str = "quality") -> Di
                 total[c] += np.concatenate([[len(own)], own.sum(axis=0), (own.T @ own).ravel()])
         yield pd.DataFrame({"y": [0, 1], "m": list(total)})
 
-    rows = measured.join(known, "doc_id").select("x", "y").mapInPandas(moments, "y int, m array<double>")
-    rows = rows.select("y", F.posexplode("m")).groupBy("y", "pos").agg(F.sum("col").alias("s")).collect()
+    rows = materialize(measured.join(known, "doc_id").select("x", "y"), "labelled")
+    sums = rows.mapInPandas(moments, "y int, m array<double>").select("y", F.posexplode("m")).groupBy("y", "pos").agg(F.sum("col").alias("s"))
     m = np.zeros((2, 1 + d + d * d))
-    for r in rows:
+    for r in sums.collect():
         m[r["y"], r["pos"]] = r["s"]
-    return fit(m[:, 0], m[:, 1 : 1 + d], m[:, 1 + d :].reshape(2, d, d))
+    model = fit(m[:, 0], m[:, 1 : 1 + d], m[:, 1 + d :].reshape(2, d, d))
+    if not model.means:
+        return model
+
+    def loss(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(len(HEATS))
+        for batch in batches:
+            if len(batch):
+                total += losses(model, np.stack(batch["x"].to_numpy()), batch["y"].to_numpy())
+        yield pd.DataFrame({"pos": np.arange(len(HEATS)), "loss": total})
+
+    found = rows.mapInPandas(loss, "pos int, loss double").groupBy("pos").agg(F.sum("loss").alias("s")).orderBy("s", "pos").first()
+    model.heat = HEATS[found["pos"]]
+    return model
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
