@@ -8,12 +8,20 @@ so that a file fits in memory.
 The reader checks the version line, the header fields, the length, the closing
 blank line and the payload's digest. After a failed check it looks for the next
 valid version line (in compressed archives: the next member that can be opened),
-goes on from there, and logs the bytes in between as a quarantined gap.
+goes on from there, and logs the bytes in between as a quarantined gap. All records
+of a compressed member are read, and the gaps within it are logged with it. The query
+keeps the log of gaps as a table beside the archives, and fails if a page is missing.
+
+Of payloads that repeat, the ``HOT`` most frequent are known to every task, so that
+one payload of many pages is neither shuffled nor gathered; the others are joined by
+their digest.
 
 Defined cases: a null html counts as empty; of equal payloads of ``least`` bytes
 or more the one with the largest id is the response, rows that repeat an id with
 an equal payload all are; a null id is written as an empty field and never chosen
-as another's response; an empty table gives no archive and no record.
+as another's response; a page of any length is one record, of a file of its own if
+it is very long; an empty table gives no archive and no record; other columns of
+pages are not read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -30,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._base import shared_dir
+from galena.llm._base import materialize, release, shared_dir
 
 CRLF = "\r\n"
 VERSION = re.compile(rb"WARC/1\.[01]\r\n")
@@ -38,8 +46,8 @@ DATE = "1970-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 #: Payload bytes up to which a record is small, and records in a file.
 SMALL, MOST = 32 << 10, 1000
-#: Bytes of the bitmap of repeated digests.
-FILTER_BYTES = 1 << 20
+#: Bytes of the bitmap of repeated digests, and the number of digests that are broadcast as they are.
+FILTER_BYTES, HOT = 1 << 20, 10_000
 #: Compressed bytes that are opened at a time.
 STEP = 1 << 16
 
@@ -88,12 +96,17 @@ def plan(pages: DataFrame, least: int = 1000) -> DataFrame:
     """page_id, url, html, the payload's digest and length, and ``refers_to``: the id of the response that it revisits."""
     html = F.coalesce("html", F.lit(""))
     rows = pages.select("page_id", "url", html.alias("html"), F.sha1(html.cast("binary")).alias("digest"), F.octet_length(html).alias("n"))
-    groups = rows.filter((F.col("n") >= least) & F.col("page_id").isNotNull()).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies"))
-    groups = groups.filter("copies > 1").drop("copies")
-    marked = rows.withColumn("again", repeated(groups))
-    refers = F.when((F.col("n") >= least) & F.col("page_id").isNotNull() & (F.col("last") != F.col("page_id")), F.col("last"))
-    joined = marked.filter("again").drop("again").join(groups, "digest", "left").withColumn("refers_to", refers).drop("last")
-    return marked.filter("not again").drop("again").withColumn("refers_to", F.lit(None).cast("long")).unionByName(joined)
+    may = (F.col("n") >= least) & F.col("page_id").isNotNull()
+    groups = rows.filter(may).groupBy("digest").agg(F.max("page_id").alias("last"), F.count("*").alias("copies")).filter("copies > 1")
+    groups = materialize(groups, "repeated")
+    hot = groups.orderBy(F.desc("copies"), "digest").limit(HOT).select("digest", F.col("last").alias("hot"))
+    known = rows.join(F.broadcast(hot), "digest", "left")  # HOT rows at most
+    refers = lambda last: F.when(may & (F.col(last) != F.col("page_id")), F.col(last))
+    settled = known.filter("hot is not null").withColumn("refers_to", refers("hot"))
+    marked = known.filter("hot is null").withColumn("again", repeated(groups.join(F.broadcast(hot), "digest", "left_anti")))
+    joined = marked.filter("again").drop("again").join(groups.drop("copies"), "digest", "left").withColumn("refers_to", refers("last")).drop("last")
+    once = marked.filter("not again").drop("again").withColumn("refers_to", F.lit(None).cast("long"))
+    return once.unionByName(joined).unionByName(settled).drop("hot")
 
 
 def write(planned: DataFrame, folder: str) -> None:
@@ -178,31 +191,40 @@ def salvage(data: bytes) -> Salvage:
     return out
 
 
+#: A member's first bytes: deflate, no reserved flag.
+MEMBER = re.compile(rb"\x1f\x8b\x08[\x00-\x1f]", re.S)
+
+
+def _open(data: bytes, at: int) -> tuple[bytes, int] | str:
+    """(plain bytes, end) of the member at ``at``, or why there is none."""
+    opener, plain, end = zlib.decompressobj(31), [], at
+    try:
+        while end < len(data) and not opener.eof:
+            plain.append(opener.decompress(data[end : end + STEP]))
+            end = min(len(data), end + STEP)
+    except zlib.error as e:
+        return str(e)
+    return (b"".join(plain), end - len(opener.unused_data)) if opener.eof else "the member ends early"
+
+
 def salvage_gzip(data: bytes) -> Salvage:
-    """The same for an archive of gzip members, one for each record; offsets are those of the compressed bytes."""
+    """The same for an archive of gzip members, each with one or more records; offsets are those of the member in the compressed bytes."""
     out, at, bad, why = Salvage(), 0, -1, ""
     while at < len(data):
-        opener, found, plain, end = zlib.decompressobj(31), "no member", [], at
-        try:
-            while end < len(data) and not opener.eof:
-                plain.append(opener.decompress(data[end : end + STEP]))
-                end = min(len(data), end + STEP)
-            end -= len(opener.unused_data)
-            if opener.eof:
-                found = read_record(b"".join(plain), 0)
-        except zlib.error as e:
-            found = str(e)
-        if isinstance(found, Record):
+        found = _open(data, at)
+        inner = salvage(found[0]) if isinstance(found, tuple) else None
+        if inner and inner.records:
             if bad >= 0:
                 out.gaps.append((bad, at, why))
                 bad = -1
-            out.records.append(Record(at, end, found.fields, found.block))
-            at = end
+            out.records += [Record(at, found[1], r.fields, r.block) for r in inner.records]
+            out.gaps += [(at, found[1], f"bytes {a} to {b} of the member: {reason}") for a, b, reason in inner.gaps]
+            at = found[1]
             continue
         if bad < 0:
-            bad, why = at, found
-        at = data.find(b"\x1f\x8b\x08", at + 1)
-        at = at if at >= 0 else len(data)
+            bad, why = at, found if isinstance(found, str) else inner.gaps[0][2] if inner.gaps else "an empty member"
+        m = MEMBER.search(data, at + 1)
+        at = m.start() if m else len(data)
     if bad >= 0:
         out.gaps.append((bad, len(data), why))
     return out
@@ -233,14 +255,31 @@ def read(spark, folder: str, with_block: bool = False) -> DataFrame:
                     size = len(r.block) if f.get("warc-type") == "response" else int(f.get("x-payload-length", "0"))
                     rows.append(("record", path, r.start, r.end, None, _id(f.get("warc-record-id", "")), f.get("warc-type"), size, whole, _id(f.get("warc-refers-to", "")), *[r.block] * with_block))
                 yield pd.DataFrame(rows, columns=names).astype({c: "Int64" for c in ("page_id", "payload_bytes", "refers_to")})
+        release()
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path", "content")
     return files.mapInPandas(run, schema)
 
 
+class MissingError(RuntimeError):
+    """Pages whose records could not be read back."""
+
+
+def archive(pages: DataFrame, folder: str) -> DataFrame:
+    """Write ``pages`` to archives below ``folder``, read them back, and give a row for each record.
+
+    Gaps go to the table ``gaps`` in the folder; a record too few is an error.
+    """
+    write(plan(pages), f"{folder}/warc")
+    found = materialize(read(pages.sparkSession, f"{folder}/warc"), "found", folder)
+    gaps = materialize(found.filter("kind = 'gap'").select("path", "start", "end", "reason"), "gaps", folder)
+    records, wanted = found.filter("kind = 'record'"), pages.count()
+    if (n := records.count()) != wanted:
+        raise MissingError(f"{n} of {wanted} pages were read back; {gaps.count()} gaps are in {folder}/gaps")
+    return records
+
+
 def digest(pages: DataFrame) -> DataFrame:
     """One row per page, as read back from the archives that are written here."""
-    folder = f"{shared_dir(pages.sparkSession)}/warc"
-    write(plan(pages), folder)
-    rows = read(pages.sparkSession, folder).filter("kind = 'record'")
+    rows = archive(pages, shared_dir(pages.sparkSession))
     return rows.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
