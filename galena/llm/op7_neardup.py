@@ -10,20 +10,27 @@
    threshold go. The rest are confirmed on full sets, and confirmed links are
    joined to components by alternating stars.
 4. Buckets whose members are still in several components are searched in blocks:
-   a pair across components is looked at in the first band that it shares. A first
-   pass over the sketches tells which members have such a pair that is similar
+   a pair across components is looked at in the first band that it shares. The
+   members of a bucket's largest component meet only those of the others, so a
+   bucket of one large group and some strays costs little more than its rows. A
+   first pass over the sketches tells which members have such a pair that is similar
    enough, a second brings their full sets to the blocks; only confirmed links
-   leave a block. So no link between different sets that share a bucket is lost,
-   and no bucket is expanded into rows for all its pairs.
-
-With 32 bands of 4 rows, two sets of similarity 0.8 share no bucket with a
-probability of 5e-8. Nothing is collected but the bitmap of the ids whose sets
-are needed, of ``FILTER_BYTES`` at most.
-
-Defined cases: a text without words (or null) has no shingle and no link; a row
-with a null id is never linked (null component, kept); rows that repeat an id are
-told apart by their texts; an empty table gives an empty result; other columns are
-not read.
+   leave a block. No bucket is expanded into rows for all its pairs: with m members
+   outside its largest component, of n, it gives n + m * n / ``BLOCK`` narrow rows.
+
+What can be missed, of pairs at the threshold itself: with 32 bands of 4 rows two
+sets of similarity 0.8 share no bucket with a probability of 5e-8, and the sketches
+of two such sets differ in more bits than are allowed (``MARGIN``) with one below
+1e-6. Both fall fast as the similarity rises. Shingles are 64-bit hashes; that two of
+a pair of sets with n shingles collide has a probability of n * n / 2**64. Nothing
+is collected but the bitmap of the ids whose sets are needed, of ``FILTER_BYTES``.
+
+Defined cases: a text without words (or null) has no shingle and no link; a text of
+any length is read whole; a row with a null id is never linked (null component,
+kept); rows that repeat an id are told apart by their texts in ``keep_one``, and
+share a component in ``near_duplicates`` if their texts do; of equal sets the
+smallest id stands for all; an empty table gives an empty result; other columns are
+not read, so names cannot clash.
 """
 
 from __future__ import annotations
@@ -42,7 +49,7 @@ BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 #: Standard deviations by which an estimate may fall short of the threshold.
-MARGIN = 4.0
+MARGIN = 5.0
 #: Members, and shingles, of a block.
 BLOCK, BLOCK_SHINGLES = 2048, 2_000_000
 FILTER_BYTES = 8 << 20
@@ -233,8 +240,8 @@ def _partners(cell: pd.DataFrame, most: int) -> Iterator[tuple[int, np.ndarray]]
     rep, comp, own = (cell[c].to_numpy() for c in ("rep", "comp", "own"))
     if (comp == comp[0]).all():
         return
-    sketch, bands = (np.stack(cell[c].to_numpy()) for c in ("sketch", "bands"))
-    sketch, band = sketch.view(np.uint64), int((bands[0] == cell["bucket"].iloc[0]).argmax())
+    sketch, bands = (np.stack(cell[c].to_numpy()) for c in ("sketch", "earlier"))
+    sketch, band = sketch.view(np.uint64), bands.shape[1]
     two = cell["i"].iloc[0] != cell["j"].iloc[0]
     for k in range(len(cell)):
         ok = (comp != comp[k]) & (rep > rep[k])
@@ -244,20 +251,32 @@ def _partners(cell: pd.DataFrame, most: int) -> Iterator[tuple[int, np.ndarray]]
         if len(at):
             at = at[np.bitwise_count(sketch[at] ^ sketch[k]).sum(axis=1) <= most]
         if len(at) and band:
-            at = at[~(bands[at, :band] == bands[k, :band]).any(axis=1)]
+            at = at[~(bands[at] == bands[k]).any(axis=1)]
         if len(at):
             yield k, at
 
 
+def _dealt(members: DataFrame) -> DataFrame:
+    """``members`` (bucket, rep, comp, n, sketch, bands), once for each cell (bucket, i, j) of two blocks in which a row has to be.
+
+    Blocks of a bucket's largest component come last, and meet those of the others only.
+    """
+    parts = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    total = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp", "s")).alias("l"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    blocks = lambda c, s: F.greatest(F.ceil(c / BLOCK), F.ceil(s / BLOCK_SHINGLES)).cast("int")
+    few, many = blocks(F.col("c") - F.col("l.c"), F.col("s") - F.col("l.s")), blocks(F.col("l.c"), F.col("l.s"))
+    counts = total.select("bucket", F.col("l.comp").alias("large"), few.alias("few"), many.alias("many"))
+    inside = F.col("comp") == F.col("large")
+    own = F.when(inside, F.col("few") + F.pmod(F.xxhash64("rep"), F.col("many"))).otherwise(F.pmod(F.xxhash64("rep"), F.col("few"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(inside, F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    earlier = F.slice("bands", 1, F.array_position("bands", F.col("bucket")).cast("int") - 1)
+    rows = members.join(counts, "bucket").withColumns({"own": own, "earlier": earlier, "other": F.explode(others)})
+    return rows.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sketch", "earlier")
+
+
 def across(docs: DataFrame, members: DataFrame, most: int, words: int, percent: int, folder: str) -> DataFrame:
     """The links (u, v) between ``members`` (bucket, rep, comp, n, sketch, bands) of a bucket in different components."""
-    counts = members.groupBy("bucket").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    cells = (
-        members.join(counts, "bucket")
-        .withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        .select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "comp", "sketch", "bands")
-    )
+    cells = _dealt(members)
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for cell in _cells(batches):
