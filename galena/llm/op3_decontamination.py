@@ -17,13 +17,21 @@ several tables hashes ``SAMPLED`` positions, and a window that meets an item in
 table is a candidate. The number of tables follows from the target recall at the
 largest edit share. Candidates are verified by their exact edit distance, with free ends.
 
-The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters, each of which
-is broadcast and compared with all documents.
-
-Defined cases: null or empty texts match nothing; an item shorter than ``SEED``, when
-folded, matches where its words occur exactly; an item without letters or digits
-matches nothing; repeated documents and items each give their rows; extra columns
-are not read.
+The places that are left by the pieces are a bound, not a sample: hashing each window
+of each document for each item length would find no other copy, at some hundred
+thousand steps of a walk for each symbol of text.
+
+The benchmark is read in blocks of at most ``BLOCK_CHARS`` characters. Each is built,
+broadcast, compared with all documents and dropped before the next one, so that
+neither the driver nor a worker holds more than one.
+
+Defined cases: null or empty texts match nothing; a text of any length is read whole;
+an item shorter than ``SEED``, when folded, matches where its words occur exactly; an
+item without letters or digits, or with a null id, matches nothing; of an item's
+matches in a text the one with the fewest edits is given, and of these the first;
+repeated documents and items each give their rows; a null doc_id is passed on; an
+empty table gives an empty result; extra columns are not read by ``digest``, and
+``mark`` replaces one that has its result's name.
 """
 
 from __future__ import annotations
@@ -31,14 +39,14 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm._base import release
+from galena.llm._base import materialize, release, shared_dir
 
 SEED, EDITS, RECALL = 12, 0.1, 0.99
 PIECE = 7
@@ -299,21 +307,58 @@ def _marker(shared):
     return leaks
 
 
+class _Shared:
+    """The blocks of the benchmark, broadcast one at a time."""
+
+    def __init__(self, docs: DataFrame, benchmark: DataFrame):
+        self.context, self.blocks, self.held = docs.sparkSession.sparkContext, blocks(benchmark), None
+        self.next = next(self.blocks, None)
+
+    def take(self):
+        """(function of a text column, whether it is the last one) for the next block; what used the one before must be done."""
+        if self.held is not None:
+            self.held.destroy()
+        self.held = self.context.broadcast(self.next)
+        self.next = None
+        self.next = next(self.blocks, None)
+        return _marker(self.held), self.next is None
+
+
 def mark(docs: DataFrame, benchmark: DataFrame, text: str = "text", into: str = "leaks") -> DataFrame:
-    """``docs`` with the array ``into`` of (item_id, start, end, edits): every item that the text holds."""
-    context = docs.sparkSession.sparkContext
-    columns = [_marker(context.broadcast(items))(F.col(text)) for items in blocks(benchmark)]
-    return docs.withColumn(into, F.concat(*columns) if columns else F.array().cast(SPAN))
+    """``docs`` with the array ``into`` of (item_id, start, end, edits): every item that the text holds.
+
+    With more than one block the rows are written after each but the last.
+    """
+    shared, folder, k = _Shared(docs, benchmark), shared_dir(docs.sparkSession), 0
+    out, last = docs.withColumn(into, F.array().cast(SPAN)), shared.next is None
+    while not last:
+        leaks, last = shared.take()
+        out = out.withColumn(into, F.concat(into, leaks(F.col(text))))
+        if not last:
+            out, k = materialize(out, f"marked-{k}", folder), k + 1
+    return out
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each contaminated document and item."""
-    found = mark(docs.select("doc_id", "text"), benchmark).select("doc_id", F.explode("leaks").alias("l"))
-    return found.select("doc_id", "l.item_id", "l.start", "l.end", "l.edits")
+    """One row for each contaminated document and item; with more than one block, each reads the texts and writes its rows."""
+    docs, shared, folder = docs.select("doc_id", "text"), _Shared(docs, benchmark), shared_dir(docs.sparkSession)
+    parts, last = [], shared.next is None
+    while not last:
+        leaks, last = shared.take()
+        found = docs.select("doc_id", F.explode(leaks("text")).alias("l")).select("doc_id", "l.item_id", "l.start", "l.end", "l.edits")
+        parts.append(found if last else materialize(found, f"found-{len(parts)}", folder))
+    if not parts:
+        return docs.limit(0).select("doc_id", *(F.lit(None).cast(t).alias(n) for n, t in (("item_id", "long"), ("start", "int"), ("end", "int"), ("edits", "int"))))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark; the columns stay."""
-    names = docs.columns
-    out = mark(docs.select("text", F.struct(*names).alias("_row")), benchmark, into="_leaks")
-    return out.filter(F.size("_leaks") == 0).select("_row.*")
+    """The rows of ``docs`` that hold no item of the benchmark; the columns stay. With more than one block the rows that are left are written after each but the last."""
+    names, shared, folder, k = docs.columns, _Shared(docs, benchmark), shared_dir(docs.sparkSession), 0
+    out, last = docs.select("text", F.struct(*names).alias("_row")), shared.next is None
+    while not last:
+        leaks, last = shared.take()
+        out = out.withColumn("_leaks", leaks("text")).filter(F.size("_leaks") == 0).drop("_leaks")
+        if not last:
+            out, k = materialize(out, f"clean-{k}", folder), k + 1
+    return out.select("_row.*")

@@ -46,6 +46,48 @@ def test_salvage_of_compressed_archives():
     assert sum(r.end - r.start for r in got.records) + sum(b - a for a, b, _ in got.gaps) == len(data)
 
 
+def test_salvage_of_members_with_several_records():
+    parts = [record(f"payload {k}".encode() * 20) for k in range(5)]
+    hurt = parts[2].replace(b"payload 2", b"payload X", 1)
+    data = gzip.compress(parts[0] + parts[1]) + gzip.compress(hurt + parts[3] + b"rest") + gzip.compress(b"") + gzip.compress(parts[4])
+    got = op8.salvage_gzip(data)
+    assert [r.block[:9] for r in got.records] == [b"payload 0", b"payload 1", b"payload 3", b"payload 4"]
+    reasons = [g[2] for g in got.gaps]
+    assert [("the digest differs" in r, "no version line" in r, r == "an empty member") for r in reasons] == [(True, False, False), (False, True, False), (False, False, True)]
+    whole = op8.salvage_gzip(gzip.compress(b"".join(parts)))
+    assert len(whole.records) == 5 and not whole.gaps
+
+
+@pytest.mark.parametrize("hot", [0, 1, 100])
+def test_plan_of_repeated_payloads(spark, monkeypatch, hot):
+    """The same rows, however many of the repeated payloads are broadcast."""
+    monkeypatch.setattr(op8, "HOT", hot)
+    rows = [(k, "u", ("a", "b", "c")[k % 3] * 1200 if k % 4 else f"{k}" * 900) for k in range(120)] + [(7, "u", "b" * 1200), (None, "u", "b" * 1200)]
+    got = op8.plan(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    last = {}
+    for k, _, t in rows:
+        if k is not None and len(t) >= 1000:
+            last[t] = max(k, last.get(t, k))
+    want = [(k, t, last[t] if k is not None and last.get(t, k) != k else None) for k, _, t in rows]
+    assert sorted(((r["page_id"], r["html"], r["refers_to"]) for r in got), key=str) == sorted(want, key=str)
+
+
+def test_a_lost_page_is_an_error_and_its_gap_is_logged(spark, tmp_path, monkeypatch):
+    pages = spark.createDataFrame([(k, "u", f"page {k}") for k in range(20)], "page_id long, url string, html string")
+    write = op8.write
+
+    def damaged(planned, folder):
+        write(planned, folder)
+        path = next(p for p in (tmp_path / "warc").rglob("*.txt") if p.stat().st_size)
+        path.with_name(f".{path.name}.crc").unlink(missing_ok=True)
+        path.write_bytes(path.read_bytes().replace(b"WARC/1.1", b"WARC/9.9", 1))
+
+    monkeypatch.setattr(op8, "write", damaged)
+    with pytest.raises(op8.MissingError, match="19 of 20"):
+        op8.archive(pages, str(tmp_path))
+    assert [r["reason"] for r in spark.read.parquet(f"{tmp_path}/gaps").collect()] == ["no version line"]
+
+
 def test_archive_round_trip(spark, tmp_path):
     big = "é" * 700
     rows = [(1, "http://a", big), (2, "http://b\r\nX: y", big), (5, None, big), (3, "u", "small"), (4, "u", "small"), (6, "u", None), (7, "u", ""), (8, "u", "x" * 100_000), (9, "u", "a\r\n\r\nWARC/1.1\r\nb" * 100), (None, "u", big), (5, None, big)]
@@ -262,6 +304,68 @@ def test_palette(n):
     assert webp.decode_vp8l(stream(w))[2].tolist() == pixels
 
 
+def means(media):
+    """What a stream uses: its transforms, and whether it has a colour cache."""
+    r = webp.BitReader(media[20:])
+    r.read(8)
+    width, height = r.read(14) + 1, r.read(14) + 1
+    r.read(4)
+    used = set()
+    while r.read(1):
+        kind = r.read(2)
+        used.add(kind)
+        if kind in (webp.PREDICTOR, webp.CROSS_COLOUR):
+            bits = r.read(3) + 2
+            webp.read_image(r, -(-width >> bits), -(-height >> bits), False)
+        elif kind == webp.PALETTE:
+            n = r.read(8) + 1
+            webp.read_image(r, n, 1, False)
+    return used, r.read(1) == 1
+
+
+@pytest.mark.parametrize("kind", ["noise", "few", "pattern", "slope", "colours", "one", "text"])
+def test_writer_round_trips_and_uses_what_pays(kind):
+    rng = np.random.default_rng(len(kind))
+    for k in range(25):
+        width, height = (int(v) for v in rng.integers(1, 70, 2))
+        n = width * height
+        y, x = np.mgrid[0:height, 0:width]
+        if kind == "noise":
+            p = rng.integers(0, 1 << 32, n, dtype=np.uint32)
+        elif kind == "few":
+            p = rng.choice(rng.integers(0, 1 << 32, int(rng.integers(2, 30)), dtype=np.uint32), n)
+        elif kind == "pattern":
+            p = np.resize(rng.integers(0, 1 << 32, 500, dtype=np.uint32), n)
+        elif kind in ("slope", "colours"):
+            green = (2 * x + 3 * y + rng.integers(0, 3, (height, width))) & 255
+            red, blue = (green if kind == "colours" else (x + y) & 255), (x * y >> 3) & 255
+            p = (0xFF000000 | red << 16 | green << 8 | blue).astype(np.uint32).ravel()
+        elif kind == "one":
+            p = np.full(n, rng.integers(0, 1 << 32), np.uint32)
+        else:
+            words = " ".join(rng.choice(["some", "words", "of", "a", "text", "come", "again"], n)).encode()[: 3 * n]
+            p = op10.webp.decode(webp.encode_rgb(words, 1))[0][2][: n // width * width] if n >= width else np.zeros(0, np.uint32)
+            p = p[: n // width * width]
+        media = webp.encode(p, width)
+        (w, h, got), = webp.decode(media)
+        assert (w, h) == (width, len(p) // width) and np.array_equal(got, p), (kind, k)
+        if n > 1500:
+            used, cached = means(media)
+            assert {"few": webp.PALETTE in used, "one": not used, "slope": webp.PREDICTOR in used, "colours": {webp.PREDICTOR, webp.CROSS_COLOUR} <= used, "text": cached}.get(kind, True)
+
+
+def test_extended_containers_are_read():
+    plain = webp.encode(np.arange(12, dtype=np.uint32), 4)
+    chunk = lambda name, c: name + struct.pack("<I", len(c)) + c + bytes(len(c) & 1)
+    file = lambda *parts: b"RIFF" + struct.pack("<I", 4 + sum(map(len, parts))) + b"WEBP" + b"".join(parts)
+    picture = plain[12:]
+    for media, n in ((file(chunk(b"VP8X", bytes(10)), chunk(b"ICCP", b"abc"), picture, chunk(b"EXIF", b"x")), 1), (file(chunk(b"VP8X", bytes(10)), chunk(b"ANIM", bytes(6)), chunk(b"ANMF", bytes(16) + picture), chunk(b"ANMF", bytes(16) + picture)), 2)):
+        got = webp.decode(media)
+        assert len(got) == n and all(g[2].tolist() == list(range(12)) for g in got)
+    with pytest.raises(webp.CorruptError, match="lossy"):
+        webp.decode(file(chunk(b"VP8 ", b"abcd")))
+
+
 def test_corrupt_streams_are_refused():
     good = op10.store(op10.payload("some text " * 50)[1])
     for bad in (b"", b"RIFF", good[:-40], good[:20] + b"\0" + good[21:], b"X" + good[1:]):

@@ -74,7 +74,7 @@ def test_edit_window_is_that_of_brute_force():
         assert levenshtein_within(item, text[a:b]) == best
 
 
-def test_decontamination(spark):
+def test_decontamination(spark, monkeypatch):
     rnd = random.Random(5)
     word = lambda: "".join(rnd.choices("abcdefghiklmnoprstuvw", k=rnd.randint(2, 9)))
     item = [" ".join(word() for _ in range(30)) for _ in range(6)] + ["Tiny item"]
@@ -92,6 +92,12 @@ def test_decontamination(spark):
     kept = op3.keep_clean(docs, bench)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {0, 4, 5, 8, 10}
     assert op3.digest(docs, bench.limit(0)).count() == 0 and op3.digest(docs.limit(0), bench).count() == 0
+    assert op3.digest(docs, bench.limit(0)).schema == op3.digest(docs, bench).schema
+    monkeypatch.setattr(op3, "BLOCK_CHARS", 100)  # each item is a block
+    assert Counter((r["doc_id"], r["item_id"]) for r in op3.digest(docs, bench).collect()) == got
+    assert {r["doc_id"] for r in op3.keep_clean(docs, bench).collect()} == {0, 4, 5, 8, 10}
+    marked = {r["doc_id"]: sorted(x["item_id"] for x in r["leaks"]) for r in op3.mark(docs, bench).collect()}
+    assert marked[6] == [3, 4] and marked[0] == []
 
 
 def test_decontamination_recall():
@@ -124,6 +130,28 @@ def found_with(seed, sizes, places, count=40):
     return sum(any(f[0] == k for f in got) for k, got in enumerate(op3.Items(list(enumerate(items))).find_all(texts))) / count
 
 
+@pytest.mark.parametrize("length", [12, 16, 22, 32, 60, 120, 250, 400])
+def test_decontamination_recall_by_length_and_edits(length):
+    """Every kind of edit, up to the allowed share, spread at random or evenly; only copies that brute force finds within it count."""
+    rnd = random.Random(length)
+    letters = "abcdefghilmnoprst "
+    prose = lambda n: "".join(rnd.choices(letters, k=n))
+    items, texts = [], []
+    for k in range(60):
+        item = rnd.choice("abc") + prose(length - 2) + rnd.choice("abc")
+        item = " ".join(item.split())
+        most, copy = int(op3.EDITS * len(op3.fold(item)[0])), list(item)
+        places = rnd.sample(range(len(copy)), most) if k % 2 else range(2, len(copy), max(1, len(copy) // max(1, most)))[:most]
+        for p in sorted(places, reverse=True):
+            copy[p : p + rnd.randint(0, 1)] = rnd.choice(["x", "x", "y", ""])
+        items.append(item)
+        texts.append(prose(200) + "".join(copy) + prose(200))
+    found = op3.Items(list(enumerate(items))).find_all(texts)
+    near = [k for k, (i, t) in enumerate(zip(items, texts, strict=True)) if op3.edit_window(op3.fold(i)[0], op3.fold(t)[0], int(op3.EDITS * len(op3.fold(i)[0])))]
+    assert len(near) > 45
+    assert sum(any(f[0] == k for f in found[k]) for k in near) >= 0.95 * len(near)
+
+
 def test_decontamination_of_even_edits():
     """A copy with an edit in every eleven symbols shares no run of eleven with its item."""
     assert found_with(7, range(100, 256), lambda n, m: range(5, 11 * min(m, n // 11), 11)) >= 0.95
@@ -156,43 +184,100 @@ def test_quality(spark):
     assert op4.digest(docs.limit(0), labels).count() == 0
 
 
-def test_discriminant_density():
+def moments_of(x):
+    return np.array([float(len(a)) for a in x]), np.array([a.sum(axis=0) for a in x]), np.array([a.T @ a for a in x])
+
+
+@pytest.mark.parametrize("n", [(500, 500), (30, 4000), (5, 3)])
+def test_discriminant_is_the_difference_of_log_densities(n):
+    """Margins against densities that are written out with determinants and inverses, by one law at every size."""
     rnd = np.random.default_rng(2)
     d = len(op4.STATISTICS)
-    x = [rnd.normal(size=(500, d)) * s + m for s, m in ((1.0, 0.0), (2.0, 0.5))]
-    model = op4.fit(np.array([500.0, 500.0]), np.array([a.sum(axis=0) for a in x]), np.array([a.T @ a for a in x]))
-    assert (model(x[0]) < 0.5).mean() > 0.9 and (model(x[1]) >= 0.5).mean() > 0.9
-    for low in model.factors:
-        assert np.allclose(low, np.tril(low))
+    x = [rnd.normal(size=(k, d)) * s + m for k, s, m in zip(n, (1.0, 2.0), (0.0, 0.5), strict=True)]
+    model = op4.fit(*moments_of(x))
+    whole = np.concatenate(x)
+    centre, scale = whole.mean(axis=0), whole.std(axis=0)
+    z = [(a - centre) / scale for a in x]
+    within = sum(len(a) * np.cov(a.T, bias=True) for a in z) / len(whole)
+    points, want = rnd.normal(size=(20, d)), []
+    logs = []
+    for a in z:
+        s = (len(a) * np.cov(a.T, bias=True) + op4.PRIOR * within) / (len(a) + op4.PRIOR)
+        s = (1 - op4.RIDGE) * s + op4.RIDGE * np.trace(s) / d * np.eye(d)
+        u = (points - centre) / scale - a.mean(axis=0)
+        logs.append(-0.5 * (np.einsum("ij,jk,ik->i", u, np.linalg.inv(s), u) + np.linalg.slogdet(s)[1]))
+    want = logs[1] - logs[0]
+    assert np.allclose(model.margins(points), want)
+    model.heat = 3.0
+    assert np.allclose(model(points), 1 / (1 + np.exp(-(np.log(n[1] / n[0]) + want / 3))))
+    y = np.array([0, 1] * 10)
+    p = [1 / (1 + np.exp(-np.clip(model.odds + want / h, -60, 60))) for h in op4.HEATS]
+    assert np.allclose(op4.losses(model, points, y), [-(np.log(np.where(y == 1, q, 1 / (1 + np.exp(np.clip(model.odds + want / h, -60, 60)))))).sum() for q, h in zip(p, op4.HEATS, strict=True)])
+
+
+def test_quality_over_a_table_is_that_of_brute_force(spark):
+    """Scores of the query against a model fitted here on the same folds."""
+    rnd = random.Random(18)
+    text = lambda k: " ".join(rnd.choices(WORDS["en"], k=rnd.randint(5, 60))) + (" ### 12 $$" * rnd.randint(1, 5) if k % 4 == 0 else ".")
+    rows = [(k, text(k)) for k in range(300)]
+    docs, labels = spark.createDataFrame([(*r, "c") for r in rows], "doc_id long, text string, x string"), spark.createDataFrame([(k, int(k % 4 > 0)) for k in range(0, 300, 2)], "doc_id long, quality int")
+    held = {k: zlib.crc32(str(k).encode()) % 3 == 1 for k, _ in rows}
+    x = np.stack([op4.statistics(t) for _, t in rows])
+    learned = [k for k in range(0, 300, 2) if not held[k]]
+    y = np.array([int(k % 4 > 0) for k in learned])
+    model = op4.fit(*moments_of([x[learned][y == c] for c in (0, 1)]))
+    model.heat = op4.HEATS[int(op4.losses(model, x[learned], y).argmin())]
+    got = {r["doc_id"]: r for r in op4.digest(docs, labels).collect()}
+    assert np.allclose([got[k]["score"] for k in range(300)], model(x), atol=1e-9)
+    assert all(got[k]["held_out"] == held[k] for k in held)
 
 
 def distance(a, b):
-    row = list(range(len(b) + 1))
-    for k, c in enumerate(a):
-        new = [k + 1]
-        for j, e in enumerate(b):
-            new.append(min(row[j] + (c != e), row[j + 1] + 1, new[-1] + 1))
-        row = new
-    return row[-1]
+    """Edits between two words: letters missing, added, replaced, or swapped with a neighbour."""
+    d = [[i + j for j in range(len(b) + 1)] for i in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            d[i][j] = min(d[i - 1][j] + 1, d[i][j - 1] + 1, d[i - 1][j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                d[i][j] = min(d[i][j], d[i - 2][j - 2] + 1)
+    return d[-1][-1]
 
 
 def test_automaton_is_that_of_brute_force():
     rnd = random.Random(9)
-    terms = ["abcab", "bcabca", "cabbacabb", "aab"]
-    a = op5.Automaton([*terms, "ccc*"])
-    allowed = lambda t: 0 if len(t) < 5 else 1 if len(t) < 9 else 2
-    for _ in range(3000):
+    terms = ["abcab", "bcabca", "cabbacabb", "aab", "aabbccaabb"]
+    own = {"aabbccaabb": 1}
+    allowed = lambda t: own.get(t, op5.allowance(t))
+    a = op5.Automaton(terms, allowed)
+    for _ in range(4000):
         base = list(rnd.choice(terms))
         for _ in range(rnd.randint(0, 3)):
             k = rnd.randrange(len(base) + 1)
-            base[k : k + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "c", "x"])
+            if rnd.random() < 0.4:
+                base[k : k + 2] = base[k : k + 2][::-1]
+            else:
+                base[k : k + rnd.randint(0, 1)] = rnd.choice(["", "a", "b", "c", "x"])
         word = "".join(base)
-        want = min((distance(word, t) for t in terms if distance(word, t) <= allowed(t)), default=None)
+        want = min(((distance(word, t), t) for t in terms if distance(word, t) <= allowed(t)), default=None)
         got = a.find(word)
-        if word.startswith("ccc"):
-            assert got == ("ccc*", 0)
-        else:
-            assert (got[1] if got else None) == want, word
+        assert (got[::-1] if got else None) == want, word
+
+
+def test_learned_words_have_the_allowance_that_holds():
+    counts = {("vorbulax", 0): (40, 0), ("vorbulax", 1): (5, 300), ("grenzolith", 0): (20, 0), ("grenzolith", 2): (30, 1), ("rarely", 0): (2, 0), ("common", 0): (50, 50)}
+    weights, edits = op5.chosen(counts, 100, 100)
+    assert edits == {"vorbulax": 0, "grenzolith": 2} and set(weights) == set(edits)
+
+
+def test_toxic_words_are_learned_and_their_misspellings_met(spark):
+    rnd = random.Random(16)
+    plain = lambda: prose(rnd, "de", 30)
+    rows = [(k, f"{plain()} {'vorbulax grenzolith ' if k % 3 == 0 else ''}{plain()}") for k in range(300)]
+    rows += [(900, f"{plain()} vobrulax grenzolitth {plain()}"), (901, f"{plain()} volltax grenzen {plain()}")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxicity", F.lit("clash"))
+    labels = spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(300)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["predicted"] for r in op5.digest(docs, labels).collect()}
+    assert all(got[k] == (k % 3 == 0) for k in range(300)) and (got[900], got[901]) == (1, 0)
 
 
 def test_toxicity(spark):
@@ -212,11 +297,19 @@ def test_toxicity(spark):
     assert op5.digest(docs.limit(2), labels.limit(0)).count() == 2 and op5.digest(docs.limit(0), labels).count() == 0
 
 
-def test_quotation_weighs_less():
+def test_quotation_weighs_less(spark):
     s = op5.Scorer()
     quoted, abuse = 'He wrote the word "idiot" in his article.', "You are an idiot and a moron."
-    assert s.score(s.features(quoted)) < s.score(s.features(abuse))
-    assert [(m.term, m.edits) for m in s.matches("pathetc idoit closer")] == [("pathetic", 1)]
+    assert s.score(s.features(quoted)) < 0.5 < s.score(s.features(abuse))
+    assert [(m.term, m.edits) for m in s.matches("pathetc idoit closer clwon")] == [("pathetic", 1), ("idiot", 1), ("clown", 1)]
+    assert [m.quoted for m in s.matches('"so" idiot "so"')] == [0.0] and s.matches('so "you idiot" so')[0].quoted == 0.7
+
+    rnd = random.Random(17)
+    bad = lambda k: f"{prose(rnd, 'en', 20)} you moron idiot scum {prose(rnd, 'en', 20)}" if k % 2 else prose(rnd, "en", 40)
+    rows = [(k, bad(k)) for k in range(200)] + [(900, f'{prose(rnd, "en", 20)} he called it "moron" {prose(rnd, "en", 20)}'), (901, f"{prose(rnd, 'en', 20)} you moron {prose(rnd, 'en', 20)}")]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, k % 2) for k in range(200)], "doc_id long, toxic int")
+    got = {r["doc_id"]: r["score"] for r in op5.digest(docs, labels).filter("doc_id >= 900").collect()}
+    assert got[900] < 0.5 * got[901]
 
 
 @pytest.mark.parametrize("windows", [1, 2, 7, 40])
@@ -235,11 +328,11 @@ def test_packing(spark):
 
     rnd = random.Random(12)
     own = Tokenizer.from_file(op6.tokenizer_file())
-    own.encode_special_tokens = True
-    texts = [None, "", "a", "word " * 5000, "it's <|endoftext|>\x1c\u2003x\n\n y", "é𝄞"] + [" ".join(rnd.choices(WORDS["de"], k=rnd.randint(1, 900))) for _ in range(60)]
+    texts = [None, "", "a", "word " * 5000, "it's <|endoftext|>\x1c\u2003x\n\n y", "é𝄞", "a" + " " * 5000 + "b"] + [" ".join(rnd.choices(WORDS["de"], k=rnd.randint(1, 900))) for _ in range(60)]
     docs = spark.createDataFrame(list(enumerate(texts)) + [(2, "a")], "doc_id long, text string").withColumn("length", F.lit(1)).coalesce(1)
+    docs = docs.unionByName(spark.createDataFrame([(None, "no id", 1)], "doc_id long, text string, length int")).coalesce(1)
     got = op6.pack(docs, with_ids=True).collect()
-    ids = {k: [*own.encode(t or "", add_special_tokens=False).ids, 0] for k, t in enumerate(texts)}
+    ids = {k: [*own.encode(t or "", add_special_tokens=False).ids, 0] for k, t in [*enumerate(texts), (None, "no id")]}
     covered, sequences = Counter(), {}
     for r in got:
         want = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
@@ -259,6 +352,18 @@ def test_packing(spark):
     assert op6.pack(docs.limit(0)).count() == 0
 
 
+def test_ids_are_those_of_the_tokenizer():
+    from tokenizers import Tokenizer
+
+    own, encode, rnd = Tokenizer.from_file(op6.tokenizer_file()), op6.Encoder(op6.tokenizer_file()), random.Random(15)
+    pools = (range(32, 127), range(1, 0x300), range(0x2000, 0x2070), range(1, 0xD7FF), range(0x10000, 0x1F9FF), (32, 10, 9, 39))
+    texts = ["".join(chr(rnd.choice(rnd.choice(pools))) for _ in range(rnd.randint(0, 60))) for _ in range(1500)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "<|endoftext", " " * 50_000, "x" + "\n" * 3000 + "y <|endoftext|>", "z" * 100_000]
+    for t in texts:
+        assert encode(t).tolist() == own.encode(t, add_special_tokens=False).ids, ascii(t[:80])
+    assert encode("a <|endoftext|> b").tolist() == [64, 220, 50256, 275]
+
+
 def reachable(texts, words, percent):
     sets = {}
     for k, t in texts:
@@ -304,6 +409,27 @@ def test_near_duplicates(spark, words):
     assert all(r["kept"] == (r["doc_id"] == r["component_id"]) for r in got)
 
 
+def test_blocks_bring_each_pair_across_components_together_once(spark, monkeypatch):
+    monkeypatch.setattr(op7, "BLOCK", 4)
+    rnd = random.Random(19)
+    members = []
+    for bucket, sizes in ((5, (30, 1)), (6, (9, 9, 9)), (7, (1,) * 14), (8, (1, 1))):
+        comps = [c for c, n in enumerate(sizes) for _ in range(n)]
+        members += [(bucket, 100 * bucket + k, c, rnd.randint(1, 9), [k], [3, bucket, 4]) for k, c in enumerate(comps)]
+    df = spark.createDataFrame(members, "bucket long, rep long, comp long, n long, sketch array<long>, bands array<long>")
+    rows = op7._dealt(df).collect()
+    cells = {}
+    for r in rows:
+        assert r["earlier"] == [3]
+        cells.setdefault((r["bucket"], r["i"], r["j"]), []).append(r)
+    met = Counter()
+    for (bucket, i, j), rs in cells.items():
+        met.update((bucket, *sorted((a["rep"], b["rep"]))) for n, a in enumerate(rs) for b in rs[:n] if a["comp"] != b["comp"] and (i == j or a["own"] != b["own"]))
+    want = Counter((a[0], *sorted((a[1], b[1]))) for n, a in enumerate(members) for b in members[:n] if a[0] == b[0] and a[2] != b[2])
+    assert met == want
+    assert sum(r["bucket"] == 5 for r in rows) <= 30 + 1 + 8 + 1  # the large component's rows are there once
+
+
 def test_keep_one_of_an_id_with_two_texts(spark):
     rnd = random.Random(14)
     text = lambda: " ".join("".join(rnd.choices("abcdefgh", k=5)) for _ in range(100))
