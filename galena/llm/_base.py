@@ -9,6 +9,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galena.operators.traverse import shared_base
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` under ``sf_dir``, read by Spark."""
@@ -18,10 +20,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Where the setting is absent (tests) a folder of the warehouse is used.
+    Where the setting is absent a folder of the warehouse is used in a local session (tests), and a cluster is refused.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    return f"{base.rstrip('/')}/galena-{uuid.uuid4().hex}"
+    return f"{shared_base(spark)}/galena-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:

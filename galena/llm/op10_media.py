@@ -2,11 +2,16 @@
 
 A text's UTF-8 bytes, filled with spaces to rows of 64 RGB pixels, become a
 picture; where the format's greatest height is exceeded, several pictures follow
-each other. ``decode`` reads any lossless WebP column to pixel arrays.
-
-Defined cases: a null text counts as empty and gives one row of spaces; media
-that is null or corrupt decodes to null pixels with the reason in ``error``;
-repeated rows each give a row; an empty table gives an empty result.
+each other. The column is written as a table in the shared folder, and what is
+computed comes from its bytes as they are read back. ``decode`` reads any lossless
+WebP column, plain or extended, to pixel arrays; lossy pictures are refused.
+
+Defined cases: a null text counts as empty and gives one row of spaces; a text of
+any length is stored whole; a null id is passed on; media that is null or corrupt
+decodes to null pixels with the reason in ``error``; equal texts have equal media;
+repeated rows each give a row; an empty table gives an empty result; other columns
+are not read by ``encode`` and ``digest``, and ``decode`` replaces one that has
+the name of its result.
 """
 
 from __future__ import annotations
@@ -21,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm import webp
+from galena.llm._base import materialize, release
 
 WIDTH, MOST_ROWS = 64, 1 << 14
 ROW = 3 * WIDTH
@@ -49,12 +55,13 @@ def load(media: bytes) -> tuple[int, int, np.ndarray]:
 
 def feature(rgb: np.ndarray) -> str:
     """Size, mean and deviation of each channel, mean step between neighbours, and a 64-bit average hash of the columns."""
-    x = rgb.reshape(-1, WIDTH, 3).astype(np.float64)
-    grey = x.mean(axis=(0, 2))
-    bits = np.packbits(grey > grey.mean()).tobytes().hex()
-    step = np.abs(np.diff(rgb.astype(np.int16).ravel())).mean()
-    numbers = [*rgb.mean(axis=0), *rgb.std(axis=0), step]
-    return f"{WIDTH}x{len(x)};" + ",".join(f"{v:.3f}" for v in numbers) + f";{bits}"
+    x, n = rgb.astype(np.float64), len(rgb)
+    mean = x.sum(axis=0) / n
+    deviation = np.sqrt(np.maximum(0, (x * x).sum(axis=0) / n - mean * mean))
+    grey = x.sum(axis=1).reshape(-1, WIDTH).sum(axis=0)
+    bits = np.packbits(grey > grey.sum() / WIDTH).tobytes().hex()
+    step = float(np.abs(np.diff(rgb.ravel().astype(np.int16))).sum()) / (3 * n - 1)
+    return f"{WIDTH}x{n // WIDTH};" + ",".join(f"{v:.3f}" for v in (*mean, *deviation, step)) + f";{bits}"
 
 
 def encode(docs: DataFrame) -> DataFrame:
@@ -91,7 +98,7 @@ def decode(df: DataFrame, media: str = "media", into: str = "picture") -> DataFr
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    """One row per document, computed from the stored bytes as they are read back."""
+    """One row per document, computed from the stored table as it is read back."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -103,6 +110,7 @@ def digest(docs: DataFrame) -> DataFrame:
             out = pd.DataFrame(rows, columns=["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
             out.insert(0, "doc_id", batch["doc_id"].astype("Int64").to_numpy())
             yield out.astype({"doc_id": "Int64"})
+        release()
 
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return encode(docs).mapInPandas(run, schema)
+    return materialize(encode(docs), "media").mapInPandas(run, schema)

@@ -1,16 +1,20 @@
-"""The lossless WebP bit stream: a writer of prefix-coded literals and a full reader.
+"""The lossless WebP bit stream: a full reader, and a writer that uses its means.
 
 The reader handles prefix codes (simple and normal), meta prefix codes,
 back-references, the colour cache, and the four transforms. Where a picture has
-one group of codes and literals only, all bit positions are looked up at once
-and the chain of symbols is followed eight at a time; otherwise pixels are read
-one by one. Pixels are uint32 ARGB in scan-line order.
+one group of codes, the symbols at all bit positions of a stretch are looked up at
+once and then followed; otherwise pixels are read one by one. The writer predicts,
+decorrelates, or lists the colours of a picture where that costs less, and codes it
+as literals, back-references and colour cache hits. Pixels are uint32 ARGB in
+scan-line order.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 import struct
+from functools import lru_cache
 
 import numpy as np
 
@@ -20,11 +24,15 @@ SIGNATURE, SIDE_BITS = 0x2F, 14
 PREDICTOR, CROSS_COLOUR, SUBTRACT_GREEN, PALETTE = 0, 1, 2, 3
 CACHE_FACTOR = 0x1E35A7BD
 BLACK = 0xFF000000
+#: Predictors: of the left pixel, and those that need no pixel of the same line.
+LEFT, FROM_ABOVE = 1, (0, 2, 3, 4, 8, 9, 14, 15)
 #: Near pixels in the order of their distance codes.
 NEAR = sorted(((x, y) for y in range(8) for x in range(-7, 9) if y or x > 0), key=lambda p: (p[0] ** 2 + p[1] ** 2, abs(p[0]), -p[0]))
 #: Lengths of the writer's code for code lengths: fifteen symbols, complete.
 TOKEN_LENGTHS = {k: 4 for k in (*range(13), 17, 18)} | {18: 3}
 MOST_BITS = 12
+#: The longest code of the format.
+DEEPEST = 15
 
 
 class CorruptError(ValueError):
@@ -49,6 +57,10 @@ class BitReader:
             raise CorruptError("the bit stream ends early")
         return out
 
+    def bits(self, at: int, n: int) -> int:
+        """Any number of bits from ``at`` on."""
+        return (int.from_bytes(self.padded[at >> 3 : (at + n + 7) >> 3], "little") >> (at & 7)) & ((1 << n) - 1)
+
 
 class BitWriter:
     def __init__(self):
@@ -59,35 +71,46 @@ class BitWriter:
         self.n += n
 
 
+@lru_cache(maxsize=1)
+def _mirrored() -> np.ndarray:
+    """The numbers of ``DEEPEST`` bits, each with its bits in reverse."""
+    out, k = np.zeros(1 << DEEPEST, np.int32), np.arange(1 << DEEPEST, dtype=np.int32)
+    for b in range(DEEPEST):
+        out |= ((k >> b) & 1) << (DEEPEST - 1 - b)
+    return out
+
+
+def canonical_codes(symbols: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols, bits as they are written, lengths) of the canonical code of rising ``symbols`` with ``sizes`` above 0; shorter ones first."""
+    order = np.argsort(sizes, kind="stable")
+    n = sizes[order]
+    room = 1 << (DEEPEST - n)
+    return symbols[order], _mirrored()[np.cumsum(room) - room], n
+
+
 def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     """symbol -> (bits as they are written, length)."""
-    code, last, out = 0, 0, {}
-    for n, symbol in sorted((n, s) for s, n in lengths.items() if n):
-        code <<= n - last
-        out[symbol] = (int(f"{code:0{n}b}"[::-1], 2), n)
-        code, last = code + 1, n
-    return out
+    used = sorted(s for s, n in lengths.items() if n)
+    found = canonical_codes(np.array(used, np.int32), np.array([lengths[s] for s in used], np.int32))
+    return {s: (c, n) for s, c, n in zip(*(x.tolist() for x in found), strict=True)}
 
 
 class PrefixCode:
-    """A lookup table: ``symbols`` and ``lengths`` by the next ``bits`` bits."""
-
-    def __init__(self, lengths: dict[int, int]):
-        used = {s: n for s, n in lengths.items() if n}
-        if not used:
-            used = {0: 0}
-        self.used = used
-        if len(used) == 1:
-            self.bits, (symbol,) = 0, used
-            self.symbols, self.lengths = np.array([symbol], np.int32), np.array([0], np.int32)
+    """A lookup table: ``symbols`` and ``lengths`` by the next ``bits`` bits; from rising symbols with lengths above 0."""
+
+    def __init__(self, used: list[int], sizes: list[int]):
+        if len(used) < 2:
+            self.bits, self.symbols, self.lengths = 0, np.array(used or [0], np.int32), np.zeros(1, np.int32)
             return
-        self.bits = max(used.values())
-        if sum(1 << (self.bits - n) for n in used.values()) != 1 << self.bits:
+        n = np.array(sizes, np.int32)
+        order = np.argsort(n, kind="stable")
+        n = n[order]
+        self.bits = int(n[-1])
+        times = 1 << (self.bits - n)
+        if int(times.sum()) != 1 << self.bits:
             raise CorruptError("an incomplete prefix code")
-        self.symbols, self.lengths = np.zeros(1 << self.bits, np.int32), np.zeros(1 << self.bits, np.int32)
-        for symbol, (code, n) in canonical(used).items():
-            self.symbols[code :: 1 << n] = symbol
-            self.lengths[code :: 1 << n] = n
+        place = _mirrored()[: 1 << self.bits] >> (DEEPEST - self.bits)
+        self.symbols, self.lengths = np.repeat(np.array(used, np.int32)[order], times)[place], np.repeat(n, times)[place]
 
     def read(self, r: BitReader) -> int:
         k = r.peek(self.bits)
@@ -97,30 +120,56 @@ class PrefixCode:
         return int(self.symbols[k])
 
 
+@lru_cache(maxsize=256)
+def _token_code(lengths: tuple[int, ...]) -> tuple[int, list[int], list[int]]:
+    used = sorted((s, n) for s, n in zip(LENGTH_ORDER, lengths, strict=False) if n)
+    code = PrefixCode([s for s, _ in used], [n for _, n in used])
+    return code.bits, code.symbols.tolist(), code.lengths.tolist()
+
+
 def read_code(r: BitReader, alphabet: int) -> PrefixCode:
     if r.read(1):
         two, wide = r.read(1), r.read(1)
         symbols = [r.read(8 if wide else 1)] + ([r.read(8)] if two else [])
-        return PrefixCode({s: 1 for s in symbols})
-    order = LENGTH_ORDER[: 4 + r.read(4)]
-    tokens = PrefixCode({s: r.read(3) for s in order})
+        symbols = sorted(set(symbols))
+        return PrefixCode(symbols, [1] * len(symbols))
+    count = 4 + r.read(4)
+    packed = int.from_bytes(r.padded[r.at >> 3 : (r.at >> 3) + 9], "little") >> (r.at & 7)
+    r.at += 3 * count
+    bits, symbols, sizes = _token_code(tuple((packed >> 3 * k) & 7 for k in range(count)))
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else alphabet
-    lengths, symbol, last = {}, 0, 8
+    used_symbols, used_sizes, symbol, last, mask = [], [], 0, 8, (1 << bits) - 1
+    start = r.at >> 3
+    # a number of few bytes at a time: shifts of it are cheap
+    ahead, have, used = 0, -1, r.at & 7
     while symbol < alphabet and left:
+        if used > have - 16:
+            start, used = start + (used >> 3), used & 7
+            ahead, have = int.from_bytes(r.padded[start : start + 64], "little"), 512
         left -= 1
-        token = tokens.read(r)
+        k = (ahead >> used) & mask
+        token = symbols[k]
+        used += sizes[k]
         if token < 16:
-            lengths[symbol] = token
+            if token:
+                last = token
+                used_symbols.append(symbol)
+                used_sizes.append(token)
             symbol += 1
-            last = token or last
             continue
         value, base, extra = ((last, 3, 2), (0, 3, 3), (0, 11, 7))[token - 16]
-        times = base + r.read(extra)
+        times = base + ((ahead >> used) & ((1 << extra) - 1))
+        used += extra
         if symbol + times > alphabet:
             raise CorruptError("code lengths beyond the alphabet")
-        lengths.update(dict.fromkeys(range(symbol, symbol + times), value))
+        if value:
+            used_symbols += range(symbol, symbol + times)
+            used_sizes += [value] * times
         symbol += times
-    return PrefixCode(lengths)
+    r.at = 8 * start + used
+    if r.at > r.end:
+        raise CorruptError("the bit stream ends early")
+    return PrefixCode(used_symbols, used_sizes)
 
 
 def _long_value(prefix: int, r: BitReader) -> int:
@@ -131,60 +180,136 @@ def _long_value(prefix: int, r: BitReader) -> int:
 
 
 def _read_group(r: BitReader, cache: int) -> list[PrefixCode]:
-    return [read_code(r, n) for n in (280 + cache, 256, 256, 256, 40)]
+    """The five codes of a group; a description that repeats the one before, bit by bit, is read once."""
+    out: list[PrefixCode] = []
+    begin = end = 0
+    for k, n in enumerate((280 + cache, 256, 256, 256, 40)):
+        size = end - begin
+        if 1 < k < 4 and r.at + size <= r.end and r.bits(r.at, size) == r.bits(begin, size):
+            out.append(out[-1])
+            begin, end, r.at = r.at, r.at + size, r.at + size
+            continue
+        begin = r.at
+        out.append(read_code(r, n))
+        end = r.at
+    return out
+
+
+#: Bytes of a stretch, and the most that one pixel's symbols can take.
+STRETCH, MOST_BYTES = 1 << 16, 20
+
+
+def _value(symbol: int, bits: int, p: int) -> tuple[int, int]:
+    """(length or distance code of a prefix symbol, place behind its extra bits, which come first in ``bits``)."""
+    if symbol < 4:
+        return symbol + 1, p
+    extra = (symbol - 2) >> 1
+    return ((2 + (symbol & 1)) << extra) + (bits & ((1 << extra) - 1)) + 1, p + extra
 
 
-def _literal_run(r: BitReader, group: list[PrefixCode], pixels: int) -> np.ndarray:
-    """All pixels at once where green has literals only."""
-    codes = group[:4]
+def _stretch(r: BitReader, group: list[PrefixCode], left: int) -> tuple[list[tuple[int, int, int]], np.ndarray, int]:
+    """(the other tokens: literals before, symbol, code), the literals, and the pixels still to come, of the next stretch of bits."""
+    green, distance = group[0], group[4]
     start = r.at >> 3
-    raw = np.frombuffer(r.data[start:] + bytes(8), np.uint8)
-    # the pixels take at most so many bits, the data at most what is left
-    raw = raw[: min(len(raw), pixels * sum(c.bits for c in codes) // 8 + 10)].astype(np.uint32)
-    words = raw[:-2] | raw[1:-1] << np.uint32(8) | raw[2:] << np.uint32(16)
+    raw = np.frombuffer(r.data[start : start + STRETCH + MOST_BYTES] + bytes(8), np.uint8).astype(np.uint32)
+    words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
     ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
-    tables = {id(c): ahead & np.uint32((1 << c.bits) - 1) for c in codes if c.bits}
-    here, limit = np.arange(len(ahead), dtype=np.int32), np.int32(len(ahead) - 1)
-    follow = lambda c: np.minimum(here + c.lengths[tables[id(c)]], limit) if c.bits else None
-    nexts: dict[int, np.ndarray | None] = {}
-    for c in codes:
-        nexts.setdefault(id(c), follow(c))
-    jump = here
-    for c in codes:
-        if nexts[id(c)] is not None:
-            jump = nexts[id(c)][jump]
-    far, power = jump, 1  # of 8 pixels
-    while power < 8:
-        far, power = far[far], power * 2
-    anchors, p = [], r.at & 7
-    hop = memoryview(far)
-    for _ in range(-(-pixels // 8)):
-        anchors.append(p)
-        p = hop[p]
-    at = [np.array(anchors, np.int32)]
-    for _ in range(7):
-        at.append(jump[at[-1]])
-    at = np.stack(at, 1).ravel()[:pixels]
-    channels = []
-    for c in codes:
+    here, known = np.arange(len(ahead), dtype=np.int32), {}
+
+    def behind(c: PrefixCode) -> np.ndarray:
+        """From each place, the place behind a symbol of the code; equal codes are one object."""
+        if id(c) not in known:
+            known[id(c)] = here + c.lengths.take(ahead & np.uint32((1 << c.bits) - 1)) if c.bits else here
+        return known[id(c)]
+
+    def at(c: PrefixCode, places: np.ndarray) -> np.ndarray:
+        return c.symbols.take(ahead.take(places, mode="clip") & np.uint32((1 << c.bits) - 1)).astype(np.uint32)
+
+    past = behind(green)
+    for c in group[1:4]:
         if c.bits:
-            channels.append(c.symbols[tables[id(c)][at]].astype(np.uint32))
-            at = nexts[id(c)][at]
+            past = behind(c).take(past, mode="clip")
+    kind, jump, after, peek = (memoryview(x) for x in (green.symbols.take(ahead & np.uint32((1 << green.bits) - 1)), past, behind(green), ahead))
+    places: list[int] = []
+    others: list[tuple[int, int, int]] = []
+    add, p, limit = places.append, r.at - 8 * start, min(8 * STRETCH, r.end - 8 * start + 1)
+    begun = left
+    while left and p < limit:
+        symbol = kind[p]
+        if symbol < 256:
+            add(p)
+            p = jump[p]
+            left -= 1
+        elif symbol >= 280:
+            others.append((len(places), symbol, 0))
+            p = after[p]
+            left -= 1
         else:
-            channels.append(np.uint32(c.symbols[0]))
-    r.at = 8 * start + int(at[-1])
-    if r.at > r.end:
+            p = after[p]
+            length, p = _value(symbol - 256, peek[p], p)
+            k = peek[p] & ((1 << distance.bits) - 1)
+            code, p = _value(int(distance.symbols[k]), peek[p + int(distance.lengths[k])], p + int(distance.lengths[k]))
+            if length > left:
+                raise CorruptError("a back-reference out of the picture")
+            others.append((len(places), -length, code))
+            left -= length
+    if r.end < 8 * start + p or (left == begun and left):
         raise CorruptError("the bit stream ends early")
-    green, red, blue, alpha = channels
-    return np.broadcast_to(alpha << np.uint32(24) | red << np.uint32(16) | green << np.uint32(8) | blue, pixels).astype(np.uint32)
+    r.at = 8 * start + p
+    spots = np.array(places, np.int32)
+    pixels = at(green, spots) << np.uint32(8)
+    for c, shift in zip(group, (8, 16, 0, 24), strict=False):
+        if shift != 8:
+            pixels |= at(c, spots) << np.uint32(shift)
+        if c.bits:
+            spots = behind(c).take(spots, mode="clip")
+    return others, pixels, left
 
 
-def _same(codes: list[PrefixCode]) -> list[PrefixCode]:
-    """Equal codes as one object."""
-    out: list[PrefixCode] = []
-    for c in codes:
-        out.append(next((o for o in out if o.used == c.used), c))
-    return out
+def _follow(r: BitReader, group: list[PrefixCode], cache_bits: int, width: int, total: int) -> np.ndarray:
+    """The pixels of a picture with one group of codes."""
+    out: list[int] = []
+    cache, left = [0] * (1 << cache_bits if cache_bits else 0), total
+    while left:
+        others, literals, left = _stretch(r, group, left)
+        if not others and not out and not left:
+            return literals
+        plain, done, put = literals.tolist(), 0, out.append
+        slots = _cache_slots(literals, cache_bits).tolist() if cache_bits else []
+        for before, symbol, code in [*others, (len(plain), None, 0)]:
+            if not cache_bits:
+                out += plain[done:before]
+            else:
+                for k in range(done, before):
+                    colour = cache[slots[k]] = plain[k]
+                    put(colour)
+            done = before
+            if symbol is None:
+                break
+            if symbol >= 0:
+                if symbol - 280 >= len(cache):
+                    raise CorruptError("a colour cache index out of range")
+                colour = cache[symbol - 280]
+                cache[_slot(colour, cache_bits) if not colour else symbol - 280] = colour  # an unused slot holds 0
+                put(colour)
+                continue
+            x, y = NEAR[code - 1] if code <= 120 else (code - 120, 0)
+            back, length, n = max(1, x + y * width), -symbol, len(out)
+            if back > n:
+                raise CorruptError("a back-reference out of the picture")
+            out += out[n - back : n - back + length] if back >= length else (out[-back:] * (length // back + 1))[:length]
+            if cache_bits:
+                for colour in out[max(n, len(out) - back) :]:  # what repeats itself leaves the cache as its last round does
+                    cache[_slot(colour, cache_bits)] = colour
+    return np.array(out, np.uint32)
+
+
+def _slot(colour: int, bits: int) -> int:
+    return (CACHE_FACTOR * colour & 0xFFFFFFFF) >> (32 - bits)
+
+
+def _cache_slots(pixels: np.ndarray, bits: int) -> np.ndarray:
+    return ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
 
 
 def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -198,14 +323,14 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
         which = ((read_image(r, across, -(-height >> block_bits), False) >> np.uint32(8)) & np.uint32(0xFFFF)).tolist()
     groups = [_read_group(r, len(cache)) for _ in range(max(which) + 1 if which else 1)]
     total = width * height
-    if len(groups) == 1 and not cache and not any(s >= 256 for s in groups[0][0].used):
-        return _literal_run(r, _same(groups[0]), total)
+    if len(groups) == 1:
+        return _follow(r, groups[0], cache_bits, width, total)
     out: list[int] = []
 
     def emit(pixel: int) -> None:
         out.append(pixel)
         if cache:
-            cache[(CACHE_FACTOR * pixel & 0xFFFFFFFF) >> (32 - cache_bits)] = pixel
+            cache[_slot(pixel, cache_bits)] = pixel
 
     while (at := len(out)) < total:
         group = groups[which[(at // width >> block_bits) * across + (at % width >> block_bits)] if which else 0]
@@ -253,18 +378,28 @@ def predict(mode: int, left, top, right, corner):
 
 
 def _undo_predictor(pixels: np.ndarray, width: int, height: int, bits: int, modes: np.ndarray) -> np.ndarray:
-    c = _channels(pixels).astype(np.int64)
+    c = _channels(pixels).astype(np.int64).reshape(height, width, 4)
     across = -(-width >> bits)
     mode = ((modes >> np.uint32(8)) & np.uint32(15)).tolist()
-    for at in range(width * height):
-        y, x = divmod(at, width)
-        if y == 0:
-            p = np.array([0, 0, 0, 255]) if x == 0 else c[at - 1]
-        elif x == 0:
-            p = c[at - width]
-        else:
-            p = predict(mode[(y >> bits) * across + (x >> bits)], c[at - 1], c[at - width], c[at - width + 1], c[at - width - 1])
-        c[at] = (c[at] + p) & 255
+    c[0, 0, 3] += 255
+    c[0] = np.cumsum(c[0], axis=0) & 255
+    c[:, 0] = np.cumsum(c[:, 0], axis=0) & 255
+    flat = c.reshape(-1, 4)
+    for y in range(1, height):
+        for tile in range(across):
+            a, b = max(1, tile << bits), min(width, (tile + 1) << bits)
+            m, up = mode[(y >> bits) * across + tile], y * width - width
+            if a >= b:
+                continue
+            if m == LEFT:
+                c[y, a - 1 : b] = np.cumsum(c[y, a - 1 : b], axis=0) & 255
+            elif m in FROM_ABOVE:
+                above = flat[up + a - 1 : up + b + 1]
+                c[y, a:b] = (c[y, a:b] + predict(m, None, above[1:-1], above[2:], above[:-2])) & 255
+            else:
+                for at in range(y * width + a, y * width + b):
+                    p = predict(m, flat[at - 1], flat[at - width], flat[at - width + 1], flat[at - width - 1])
+                    flat[at] = (flat[at] + p) & 255
     return c.astype(np.uint8).view("<u4").reshape(-1)
 
 
@@ -333,78 +468,123 @@ def decode_vp8l(data: bytes) -> tuple[int, int, np.ndarray]:
     return width, height, pixels
 
 
+def _chunks(data: bytes) -> list[tuple[bytes, bytes]]:
+    """(name, content) of the chunks of a file."""
+    out, at = [], 0
+    while at + 8 <= len(data):
+        n = struct.unpack_from("<I", data, at + 4)[0]
+        if at + 8 + n > len(data):
+            raise CorruptError("a chunk that ends early")
+        out.append((data[at : at + 4], data[at + 8 : at + 8 + n]))
+        at += 8 + n + (n & 1)
+    return out
+
+
 def decode(media: bytes) -> list[tuple[int, int, np.ndarray]]:
-    """The pictures of one or more concatenated WebP files."""
+    """The pictures of one or more concatenated lossless WebP files, plain or extended; of an animation, its frames."""
     out, at = [], 0
     while at < len(media):
-        if media[at : at + 4] != b"RIFF" or media[at + 8 : at + 16] != b"WEBPVP8L":
-            raise CorruptError("no lossless WebP file")
-        size, chunk = struct.unpack_from("<I", media, at + 4)[0], struct.unpack_from("<I", media, at + 16)[0]
-        if at + 8 + size > len(media) or chunk + 12 > size:
+        if media[at : at + 4] != b"RIFF" or media[at + 8 : at + 12] != b"WEBP" or at + 12 > len(media):
+            raise CorruptError("no WebP file")
+        size = struct.unpack_from("<I", media, at + 4)[0]
+        if at + 8 + size > len(media):
             raise CorruptError("a file that ends early")
-        out.append(decode_vp8l(media[at + 20 : at + 20 + chunk]))
+        parts = _chunks(media[at + 12 : at + 8 + size])
+        parts = [inner for name, c in parts for inner in (_chunks(c[16:]) if name == b"ANMF" else [(name, c)])]
+        if any(name == b"VP8 " for name, _ in parts):
+            raise CorruptError("a lossy picture")
+        found = [decode_vp8l(c) for name, c in parts if name == b"VP8L"]
+        if not found:
+            raise CorruptError("no lossless picture")
+        out += found
         at += 8 + size + (size & 1)
     return out
 
 
 def code_lengths(counts: dict[int, int], most: int = MOST_BITS) -> dict[int, int]:
     """Lengths of an optimal prefix code; counts are flattened until none exceeds ``most``."""
+    return dict(zip(counts, _code_sizes(list(counts.values()), most), strict=True))
+
+
+def _code_sizes(counts: list[int], most: int = MOST_BITS) -> list[int]:
+    mask = (1 << 12) - 1  # a count and a place in one number
     while True:
-        heap = [(n, s, (s,)) for s, n in counts.items()]
+        heap = [c << 12 | k for k, c in enumerate(counts)]
         heapq.heapify(heap)
-        depth = dict.fromkeys(counts, 0)
-        while len(heap) > 1:
-            a, b = heapq.heappop(heap), heapq.heappop(heap)
-            for s in a[2] + b[2]:
-                depth[s] += 1
-            heapq.heappush(heap, (a[0] + b[0], min(a[1], b[1]), a[2] + b[2]))
-        if max(depth.values()) <= most:
-            return depth
-        counts = {s: (n + 1) // 2 for s, n in counts.items()}
+        n = len(counts)
+        above = [0] * (2 * n - 1)
+        for k in range(n, 2 * n - 1):
+            a = heapq.heappop(heap)
+            b = heap[0]
+            above[a & mask] = above[b & mask] = k
+            heapq.heapreplace(heap, ((a >> 12) + (b >> 12)) << 12 | k)
+        depth = [0] * (2 * n - 1)
+        for k in range(2 * n - 3, -1, -1):
+            depth[k] = depth[above[k]] + 1
+        if max(depth) <= most:
+            return depth[:n]
+        counts = [(c + 1) // 2 for c in counts]
 
 
 TOKENS = canonical(TOKEN_LENGTHS)
+TOKEN_HEADER = sum(TOKEN_LENGTHS.get(s, 0) << 3 * k for k, s in enumerate(LENGTH_ORDER))
 
 
-def write_code(w: BitWriter, lengths: dict[int, int]) -> None:
-    """The description of a prefix code."""
+def write_code(w: BitWriter, lengths: dict[int, int], alphabet: int = 0) -> None:
+    """The description of a prefix code; ``alphabet`` is needed if more than 257 tokens describe it."""
     used = {s: n for s, n in lengths.items() if n}
-    if len(used) <= 1:
+    if len(used) <= 1 and max(used or lengths) < 256:
         w.put(0b101, 3)  # simple, one symbol of eight bits
         w.put(next(iter(used or lengths)), 8)
         return
-    w.put(0, 1)
-    w.put(len(LENGTH_ORDER) - 4, 4)
-    for s in LENGTH_ORDER:
-        w.put(TOKEN_LENGTHS.get(s, 0), 3)
-    tokens, last = [], -1
-    for s in sorted(used):
-        gap = s - last - 1
+    if len(used) == 1:  # a code needs two symbols, or a simple description
+        used = used | {0: 1}
+    value, n, tokens, last = 0, 0, 0, -1
+
+    def zeros(gap: int) -> None:
+        nonlocal value, n, tokens
         while gap:
-            n = min(gap, 138) if gap >= 11 else gap if gap >= 3 else 1
-            tokens.append((18, n - 11, 7) if n >= 11 else (17, n - 3, 3) if n >= 3 else (0, 0, 0))
-            gap -= n
-        tokens.append((used[s], 0, 0))
+            run = min(gap, 138) if gap >= 11 else gap if gap >= 3 else 1
+            token, extra, bits = (18, run - 11, 7) if run >= 11 else (17, run - 3, 3) if run >= 3 else (0, 0, 0)
+            code, size = TOKENS[token]
+            value |= (code | extra << size) << n
+            n += size + bits
+            tokens += 1
+            gap -= run
+
+    for s in sorted(used):
+        if s > last + 1:
+            zeros(s - last - 1)
+        code, size = TOKENS[used[s]]
+        value |= code << n
+        n += size
+        tokens += 1
         last = s
-    if len(tokens) < 2:
-        tokens.append((0, 0, 0))
-    w.put(1, 1)
-    w.put(3, 3)
-    w.put(len(tokens) - 2, 8)
-    for token, extra, bits in tokens:
-        w.put(*TOKENS[token])
-        w.put(extra, bits)
+    if tokens < 2:
+        zeros(1)
+    w.put(0, 1)
+    w.put(len(LENGTH_ORDER) - 4, 4)
+    w.put(TOKEN_HEADER, 3 * len(LENGTH_ORDER))
+    if tokens > 257:
+        zeros(alphabet - last - 1)
+        w.put(0, 1)
+    else:
+        w.put(0b0111 | (tokens - 2) << 4, 12)  # a number of eight bits follows: 1, then 3 in three bits
+    w.put(value, n)
 
 
 def pack_bits(head: BitWriter, codes: np.ndarray, lengths: np.ndarray) -> bytes:
-    """``head`` and then the codes, bit by bit."""
-    first = np.frombuffer(head.value.to_bytes(head.n // 8 + 1, "little"), np.uint8)
-    bits = [np.unpackbits(first, bitorder="little")[: head.n]]
-    shifts = np.arange(int(lengths.max()) if len(lengths) else 0, dtype=np.uint16)
-    for k in range(0, len(codes), 1 << 17):
-        grid = ((codes[k : k + (1 << 17), None] >> shifts) & np.uint16(1)).astype(np.uint8)
-        bits.append(grid[shifts < lengths[k : k + (1 << 17), None]])
-    return np.packbits(np.concatenate(bits), bitorder="little").tobytes()
+    """``head`` and then the codes, of 31 bits at most, bit by bit."""
+    ends = np.cumsum(lengths, dtype=np.int64) + head.n % 8
+    start = ends - lengths
+    code = codes.astype(np.uint64) << (start & 31).astype(np.uint64)
+    n = (int(ends[-1]) if len(ends) else head.n % 8) // 32 + 2
+    # no two codes share a bit: sums within a word of 32 bits are exact
+    words = np.bincount(start >> 5, (code & np.uint64(0xFFFFFFFF)).astype(np.float64), n) + np.bincount((start >> 5) + 1, (code >> np.uint64(32)).astype(np.float64), n)
+    first, whole = head.value.to_bytes(head.n // 8 + 1, "little"), head.n // 8
+    body = words.astype("<u4").view(np.uint8)
+    body[0] |= first[whole]
+    return first[:whole] + body.tobytes()[: (int(ends[-1]) if len(ends) else head.n % 8) // 8 + 1]
 
 
 def riff(stream: bytes) -> bytes:
@@ -412,27 +592,265 @@ def riff(stream: bytes) -> bytes:
     return b"RIFF" + struct.pack("<I", 12 + len(stream) + pad) + b"WEBPVP8L" + struct.pack("<I", len(stream)) + stream + bytes(pad)
 
 
-def encode_rgb(samples: bytes, width: int) -> bytes:
-    """A WebP file of 8-bit samples (red, green, blue of each pixel), as literals of one prefix code."""
-    rgb = np.frombuffer(samples, np.uint8).reshape(-1, 3)
-    height = len(rgb) // width
-    seen = np.bincount(rgb.ravel(), minlength=256)
-    lengths = code_lengths({int(s): int(seen[s]) for s in np.flatnonzero(seen)})
+#: The writer's largest colour cache, and pixels that a back-reference covers at least and at most.
+CACHE_BITS = 7
+SHORTEST, LONGEST = 3, 4096
+
+
+def _prefix(value: int) -> tuple[int, int, int]:
+    """(prefix symbol, extra bits, their number) of a length or a distance code."""
+    v = value - 1
+    if v < 4:
+        return v, 0, 0
+    n = v.bit_length() - 2
+    return 2 * n + 2 + ((v >> n) & 1), v & ((1 << n) - 1), n
+
+
+def _before(pixels: np.ndarray) -> np.ndarray:
+    """The place at which each pixel was last seen, -1 if it is new."""
+    order = np.argsort(pixels, kind="stable")
+    same = np.flatnonzero(pixels[order[1:]] == pixels[order[:-1]])
+    out = np.full(len(pixels), -1, np.int64)
+    out[order[same + 1]] = order[same]
+    return out
+
+
+def _copies(pixels: np.ndarray, before: np.ndarray) -> list[tuple[int, int, int]]:
+    """(place, length, how far back) of the back-references, greedily: where pixels were last seen in a row."""
+    step = np.diff(before) == 1
+    starts = np.flatnonzero((before[:-2] >= 0) & step[:-1] & step[1:]) if len(before) > SHORTEST else ()
+    out, at, plain = [], 0, pixels.tolist() if len(starts) else []
+    for i in map(int, starts):
+        if i < at:
+            continue
+        p, k, most = int(before[i]), SHORTEST, min(LONGEST, len(plain) - i)
+        while k < most and plain[p + k] == plain[i + k]:
+            k += 1
+        out.append((i, k, i - p))
+        at = i + k
+    return out
+
+
+def _hits(pixels: np.ndarray, slots: np.ndarray) -> np.ndarray:
+    """Whether each pixel is what the colour cache holds in its slot."""
+    order = np.argsort(slots, kind="stable")
+    same = (slots[order[1:]] == slots[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    out = np.zeros(len(pixels), bool)
+    out[order[1:][same]] = True
+    return out
+
+
+#: A code and its number of bits in one number: the bits are the upper byte.
+SIZE_AT = 24
+
+
+def _written_code(w: BitWriter, seen: np.ndarray, alphabet: int) -> np.ndarray:
+    """Write the description of the code for symbols that were ``seen`` so often; the codes, with their sizes, by symbol."""
+    found = np.flatnonzero(seen)
+    if len(found) == 1 and found[0] > 255:
+        found = np.array([0, found[0]])
+    sizes = _code_sizes(seen[found].tolist()) if len(found) > 1 else [0]
+    symbols = found.tolist() or [0]
+    write_code(w, dict(zip(symbols, sizes, strict=True)), alphabet)
+    out = np.zeros(alphabet, np.uint32)
+    if len(found) > 1:
+        at, bits, n = canonical_codes(found, np.array(sizes, np.int32))
+        out[at] = bits | n << SIZE_AT
+    return out
+
+
+@lru_cache(maxsize=16)
+def _near_codes(width: int) -> dict[int, int]:
+    """How far back -> distance code, of the near pixels."""
+    return {x + y * width: k + 1 for k, (x, y) in reversed(list(enumerate(NEAR))) if x + y * width > 0}
+
+
+def put_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Write the header of an entropy-coded picture; the (codes, lengths) that follow it. ``before``: where each pixel was last seen."""
+    n, c = len(pixels), _channels(pixels)
+    before = _before(pixels) if before is None else before
+    again = main and 16 * np.count_nonzero(before >= 0) > n
+    copies = _copies(pixels, before) if again else []
+    alone = np.ones(n, bool)
+    for at, length, _ in copies:
+        alone[at : at + length] = False
+    bits, token, literal = 0, c[:, 1].astype(np.int64), alone
+    if again and n > 16:
+        bits = min(CACHE_BITS, n.bit_length() - 2)
+        slots = _cache_slots(pixels, bits)
+        hit = _hits(pixels, slots) & alone
+        # a hit saves about seven bits of fourteen, and each symbol of the code costs about six
+        if 7 * np.count_nonzero(hit) - 6 * np.count_nonzero(np.bincount(slots[hit])) > 0.7 * n:
+            token, literal = np.where(hit, 280 + slots, token), alone & ~hit
+        else:
+            bits = 0
+    use = alone
+    if copies:
+        near, use, more = _near_codes(width), alone.copy(), np.zeros((n, 3), np.uint32)
+        far = np.zeros(n, np.int64)
+        for at, length, back in copies:
+            use[at] = True
+            symbol, extra, size = _prefix(length)
+            token[at], more[at, 0] = 256 + symbol, extra | size << SIZE_AT
+            far[at], extra, size = _prefix(near.get(back, back + 120))
+            more[at, 2] = extra | size << SIZE_AT
+        copied = use & ~alone
+    w.put(bits << 1 | 1 if bits else 0, 5 if bits else 1)
+    if main:
+        w.put(0, 1)  # one group of codes
+    own = c[literal]
+    opaque = not len(own) or int(own[:, 3].min()) == 255
+    columns = np.zeros((n, 7 if copies else 3 if opaque else 4), np.uint32)
+    columns[:, 0] = _written_code(w, np.bincount(token[use]), 280 + (1 << bits if bits else 0))[token]
+    one = BitWriter()
+    shared = _written_code(one, np.bincount(own[:, 2], minlength=256) + np.bincount(own[:, 0], minlength=256), 256)  # for red and blue
+    w.put(one.value, one.n)
+    w.put(one.value, one.n)
+    columns[literal, 1], columns[literal, 2] = shared[own[:, 2]], shared[own[:, 0]]
+    if opaque:
+        write_code(w, {255: 0})
+    else:
+        columns[literal, 3] = _written_code(w, np.bincount(own[:, 3]), 256)[own[:, 3]]
+    if copies:
+        far_code = _written_code(w, np.bincount(far[copied]), 40)
+        columns[:, 4], columns[copied, 5], columns[:, 6] = more[:, 0], far_code[far[copied]], more[:, 2]
+    else:
+        write_code(w, {0: 0})
+    flat = (columns if use.all() else columns[use]).ravel()
+    flat = flat[flat > 0]
+    return flat & np.uint32((1 << SIZE_AT) - 1), flat >> np.uint32(SIZE_AT)
+
+
+def _bits_of(channels: np.ndarray) -> float:
+    """Bits of the channels of pixels, each by its own entropy."""
+    total = 0.0
+    for k in range(channels.shape[-1]):
+        n = np.bincount(channels[..., k].ravel(), minlength=256)
+        n = n[n > 0]
+        total += float((n * np.log2(n.sum() / n)).sum())
+    return total
+
+
+#: Of the writer: predictors that it tries, and side of a tile as a power of two.
+TRIED, TILE = (1, 2, 7, 11, 12), 4
+
+
+def _residues(pixels: np.ndarray, width: int, height: int) -> tuple[np.ndarray, np.ndarray]:
+    """(residues, modes of the tiles): in each tile the predictor with the smallest residues."""
+    c = _channels(pixels).astype(np.int64).reshape(height, width, 4)
+    left, top, corner = c[1:, :-1], c[:-1, 1:], c[:-1, :-1]
+    if height < 2 or width < 2:
+        guess = np.zeros((len(TRIED), 0, 0, 4), np.int64)
+    else:
+        e = left + top - corner
+        select = np.where((np.abs(e - left).sum(-1) < np.abs(e - top).sum(-1))[..., None], left, top)
+        guess = np.stack([left, top, (left + top) >> 1, select, np.clip(e, 0, 255)])
+    down, across = -(-height >> TILE), -(-width >> TILE)
+    modes = np.zeros((down, across), np.int64)
+    out = c.copy()
+    out[0, 1:] -= c[0, :-1]
+    out[0, 0, 3] -= 255
+    out[1:, 0] -= c[:-1, 0]
+    if guess.size:
+        rest = (c[1:, 1:] - guess + 128 & 255) - 128
+        for i in range(down):
+            for j in range(across):
+                rows, columns = slice(max(1, i << TILE) - 1, ((i + 1) << TILE) - 1), slice(max(1, j << TILE) - 1, ((j + 1) << TILE) - 1)
+                part = rest[:, rows, columns]
+                if part.size:
+                    modes[i, j] = best = int(np.abs(part).sum(axis=(1, 2, 3)).argmin())
+                    out[1:, 1:][rows, columns] = part[best]
+    return (out & 255).astype(np.uint8).view("<u4").reshape(-1), np.array(TRIED)[modes].ravel()
+
+
+def _factor(value: np.ndarray, by: np.ndarray) -> int:
+    """The cross-colour factor, of three and five bits, which leaves least of ``value``."""
+    v, b = value.astype(np.int8).astype(np.float64), by.astype(np.int8).astype(np.float64)
+    return int(np.clip(round(32 * float((v * b).sum()) / max(1.0, float((b * b).sum()))), -128, 127)) & 255
+
+
+def encode(pixels: np.ndarray, width: int) -> bytes:
+    """A WebP file of ARGB ``pixels``, rows of ``width``; the transforms are those that make its channels' entropy least."""
+    pixels = np.ascontiguousarray(pixels, np.uint32)
+    height, c = len(pixels) // width, _channels(np.ascontiguousarray(pixels, np.uint32))
     w = BitWriter()
     w.put(SIGNATURE, 8)
     w.put(width - 1, SIDE_BITS)
     w.put(height - 1, SIDE_BITS)
-    w.put(0, 1 + 3 + 1 + 1 + 1)  # no alpha, version, no transform, no colour cache, one group
-    one = BitWriter()
-    write_code(one, lengths)
-    for _ in range(3):
-        w.put(one.value, one.n)
-    write_code(w, {255: 0})
-    write_code(w, {0: 0})
-    code, size = np.zeros(256, np.uint16), np.zeros(256, np.uint16)
-    for s, (bits, n) in canonical(lengths).items():
-        code[s], size[s] = bits, n
-    order = rgb[:, [1, 0, 2]].ravel()
-    return riff(pack_bits(w, code[order], size[order]))
+    w.put(int(c[:, 3].min() < 255), 1)
+    w.put(0, 3)  # version
+    parts: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def image(x: np.ndarray, across: int, main: bool, seen: np.ndarray | None = None) -> None:
+        one = BitWriter()
+        body = put_pixels(one, x, across, main, seen)
+        bits = np.frombuffer(pack_bits(one, *body), np.uint8)
+        n = one.n + int(body[1].sum())
+        parts.append((bits, np.array([n])))
+
+    def tail() -> None:
+        """What is written so far, and then a new stretch of bits."""
+        parts.append((np.frombuffer(w.value.to_bytes(w.n // 8 + 1, "little"), np.uint8), np.array([w.n])))
+        w.value = w.n = 0
+
+    before = _before(pixels)
+    distinct = np.count_nonzero(before < 0)
+    steps = np.abs(np.diff(c[:, 1].astype(np.int16)))
+    smooth = len(steps) > 0 and np.minimum(steps, 256 - steps).mean() < 12  # text is not; then no predictor is tried
+    few = distinct <= 256 and 2 * distinct <= len(pixels)
+    plain = _bits_of(c) if few or smooth else 0.0
+    listed = math.inf
+    if few:
+        colours, index = np.unique(pixels, return_inverse=True)
+        shares = np.bincount(index)
+        listed = 24 * len(colours) + float((shares * np.log2(len(pixels) / shares)).sum())
+    across, now = width, pixels
+    if listed < plain:
+        packed = 3 if len(colours) <= 2 else 2 if len(colours) <= 4 else 1 if len(colours) <= 16 else 0
+        w.put(1, 1)
+        w.put(PALETTE, 2)
+        w.put(len(colours) - 1, 8)
+        tail()
+        table = _channels(colours).astype(np.int16)
+        image(np.diff(table, axis=0, prepend=np.zeros((1, 4), np.int16)).astype(np.uint8).view("<u4").reshape(-1), len(colours), False)
+        across = -(-width >> packed)
+        grid = np.zeros((height, across << packed), np.uint32)
+        grid[:, :width] = index.reshape(height, width)
+        shifts = np.arange(1 << packed, dtype=np.uint32) * np.uint32(8 >> packed)
+        now = (np.uint32(BLACK) | (grid.reshape(height, across, -1) << shifts).sum(axis=2, dtype=np.uint32) << np.uint32(8)).ravel()
+    elif smooth:
+        rest, modes = _residues(pixels, width, height)
+        r = _channels(rest)
+        factors = _factor(r[:, 2], r[:, 1]), _factor(r[:, 0], r[:, 1])
+        apart = r.copy()
+        apart[:, 2] = (r[:, 2] - colour_delta(np.uint8(factors[0]), r[:, 1])) & 255
+        apart[:, 0] = (r[:, 0] - colour_delta(np.uint8(factors[1]), r[:, 1])) & 255
+        cost, apart_cost = _bits_of(r), _bits_of(apart)
+        if min(cost, apart_cost) < plain:
+            tiles = -(-width >> TILE), -(-height >> TILE)
+            w.put(1, 1)
+            w.put(PREDICTOR, 2)
+            w.put(TILE - 2, 3)
+            tail()
+            image(np.uint32(BLACK) | modes.astype(np.uint32) << np.uint32(8), tiles[0], False)
+            now = rest
+            if apart_cost < cost:
+                w.put(1, 1)
+                w.put(CROSS_COLOUR, 2)
+                w.put(TILE - 2, 3)
+                tail()
+                image(np.full(tiles[0] * tiles[1], BLACK | factors[1] << 8 | factors[0], np.uint32), tiles[0], False)
+                now = apart.view("<u4").reshape(-1)
+    w.put(0, 1)
+    if not parts:
+        return riff(pack_bits(w, *put_pixels(w, now, across, True, before)))
+    tail()
+    image(now, across, True)
+    bits = np.concatenate([np.unpackbits(x, bitorder="little")[: int(n[0])] for x, n in parts])
+    return riff(np.packbits(bits, bitorder="little").tobytes())
 
 
+def encode_rgb(samples: bytes, width: int) -> bytes:
+    """A WebP file of 8-bit samples: red, green, blue of each pixel."""
+    rgb = np.frombuffer(samples, np.uint8).reshape(-1, 3).astype(np.uint32)
+    return encode(np.uint32(BLACK) | rgb[:, 0] << np.uint32(16) | rgb[:, 1] << np.uint32(8) | rgb[:, 2], width)
