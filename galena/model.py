@@ -57,3 +57,23 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _over(spark, sf_dir, EDGES_SQL)
+
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The edges as a table by type, written once for a session and folder of base tables; loops read it level by level.
+
+    The base tables must not change meanwhile.
+    """
+    import uuid
+
+    from galena.operators.traverse import shared_base
+
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORED:
+        path = f"{shared_base(spark)}/galena-{uuid.uuid4().hex}/edges"
+        edges(spark, sf_dir).write.partitionBy("type").parquet(path)
+        _STORED[key] = path
+    return spark.read.schema("src string, dst string, confidence double, reason string, step int, type string").parquet(_STORED[key])

@@ -35,17 +35,20 @@ def postings(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def bm25(docs: DataFrame, key: str, text: str, words: list[str]) -> DataFrame:
-    """(key, score) of the rows that have one of ``words``; statistics over all rows, postings of the words only."""
-    low = F.lower(F.coalesce(text, F.lit("")))
-    sized = docs.select(key, F.size(F.regexp_extract_all(low, F.lit(TERM), F.lit(0))).alias("size"), low.alias("_low"))
-    whole = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean")).first()
-    hits = sized.filter(" or ".join(f"contains(_low, '{w}')" for w in words))
-    tf = hits.select(key, "size", F.explode(F.filter(F.regexp_extract_all("_low", F.lit(TERM), F.lit(0)), lambda t: t.isin(*words))).alias("term"))
-    tf = tf.groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(1 + (F.lit(whole["n"]) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.lit(whole["mean"])))
-    return tf.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(idf * gain).alias("score"))  # a row for each word
+    """(key, score) of the rows that have one of ``words``; statistics over all rows, postings of the words only.
+
+    Each text is cut into words once; what is left of it is a row of its size and its hits.
+    """
+    from galena.operators.traverse import cut
+
+    tokens = docs.select(key, F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(TERM), F.lit(0)).alias("t"))
+    sized = cut(tokens.select(key, F.size("t").alias("size"), F.filter("t", lambda t: t.isin(*words)).alias("hits")))
+    whole = sized.agg(F.count("*").alias("n"), F.avg("size").alias("mean"))
+    tf = sized.select(key, "size", F.explode("hits").alias("term")).groupBy(key, "size", "term").agg(F.count("*").alias("tf"))
+    df = tf.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(whole))  # a row for each word, and one row
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    gain = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("size") / F.col("mean")))
+    return tf.join(F.broadcast(df), "term").groupBy(key).agg(F.sum(idf * gain).alias("score"))
 
 
 def dot(a: Column, b: Column) -> Column:

@@ -13,18 +13,35 @@ FLOORS = {
     "CALLS": 0.9, "IMPORTS": 0.9, "EXTENDS": 0.85, "IMPLEMENTS": 0.85, "METHOD_OVERRIDES": 0.85, "METHOD_IMPLEMENTS": 0.85,
     "HAS_METHOD": 0.95, "HAS_PROPERTY": 0.95, "ACCESSES": 0.8, "CONTAINS": 0.95,
 }
-TEST_PATH = r"(^|/)(test|tests|__tests__|spec|__mocks__)/|\.(test|spec)\.[a-z]+$|_test\.[a-z]+$|(^|/)test_[^/]*$"
+# What marks the path of a test, in lower case.
+TEST_PATH = r"(?i)\.test\.|\.spec\.|__tests__/|__mocks__/|/tests?/|/testing/|/fixtures/|_test\.(?:go|py)$|_(?:spec|test)\.rb$|/spec/|/test_|/conftest\."
+
+
+#: Rows of a frontier or seed list up to which it is broadcast.
+FEW = 100_000
+
+
+def shared_base(spark) -> str:
+    """The folder of ``spark.checkpoint.dir``; where it is unset, one below the warehouse of a local session."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return (base or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared").rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df`` from a table written into the shared checkpoint folder."""
     spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/shared"
-    path = f"{base.rstrip('/')}/galena-{uuid.uuid4().hex}"
+    path = f"{shared_base(spark)}/galena-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame) -> DataFrame:
+    """``df``, a table that was written, as the broadcast side of a join if it has ``FEW`` rows at most."""
+    return F.broadcast(df) if df.count() <= FEW else df
+
+
 def floor_of(kind: Column) -> Column:
     """The confidence floor of an edge type; 0.5 if it is unknown."""
     return F.coalesce(F.create_map(*(F.lit(x) for pair in FLOORS.items() for x in pair))[kind], F.lit(0.5))
@@ -33,18 +50,16 @@ def floor_of(kind: Column) -> Column:
 def bfs(edges: DataFrame, seeds: DataFrame, depth: int, direction: str = "downstream", blocked: DataFrame | None = None) -> DataFrame:
     """(id, depth) of the nodes within ``depth`` edges of ``seeds`` (id), each at its least depth; seeds have depth 0.
 
-    ``blocked`` (id): nodes that are neither reached nor passed.
+    ``blocked`` (id): nodes that are neither reached nor passed. The edges are joined
+    as they are, once a level; only the nodes that are reached are made distinct.
     """
     hop = edges.select("src", "dst") if direction == "downstream" else edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    hop = hop.distinct()
-    if blocked is not None:
-        hop = hop.join(blocked.select(F.col("id").alias("dst")), "dst", "left_anti")
-    hop = cut(hop)  # read once a level
-    visited = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
-    frontier = visited
+    visited = frontier = cut(seeds.select("id").distinct().withColumn("depth", F.lit(0)))
     for level in range(1, depth + 1):
-        reached = frontier.join(hop, frontier["id"] == hop["src"]).select(F.col("dst").alias("id")).distinct()
-        frontier = cut(reached.join(visited, "id", "left_anti").withColumn("depth", F.lit(level)))
+        reached = hop.join(small(frontier.select(F.col("id").alias("src"))), "src").select(F.col("dst").alias("id")).distinct().join(visited, "id", "left_anti")
+        if blocked is not None:
+            reached = reached.join(blocked.select("id"), "id", "left_anti")
+        frontier = cut(reached.withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)
@@ -72,17 +87,21 @@ def traces(edges: DataFrame, entries: DataFrame, branching: int = 4, depth: int
     w = Window.partitionBy("src").orderBy("dst")
     hop = cut(edges.select("src", "dst").distinct().withColumn("k", F.row_number().over(w)).filter(F.col("k") <= branching).groupBy("src").agg(F.array_sort(F.collect_list("dst")).alias("to")))
     now = entries.select(F.col("id").alias("entry"), F.array("id").alias("path")).distinct()
-    done = None
+    done = full = None
     for _ in range(depth):
         ahead = now.join(hop, F.element_at("path", -1) == F.col("src"), "left")
         ahead = cut(ahead.select("entry", "path", F.array_except(F.coalesce("to", F.array().cast("array<string>")), "path").alias("next")))
-        ends = ahead.filter((F.size("next") == 0) | (F.size("path") >= depth)).select("entry", "path")
+        last = (F.size("next") == 0) | (F.size("path") >= depth)
+        ends = ahead.filter(last & (F.size("path") >= least)).select("entry", "path")
         done = ends if done is None else done.unionByName(ends)
-        now = ahead.filter(F.size("path") < depth).select("entry", F.explode("next").alias("n"), "path").select("entry", F.concat("path", F.array("n")).alias("path"))
-        if ahead.filter((F.size("next") > 0) & (F.size("path") < depth)).isEmpty():
+        live = ahead.filter(~last)
+        if live.isEmpty():
             break
+        # paths end in the order of their lengths: an entry with enough of them needs no longer ones
+        full = cut(done.groupBy("entry").count().filter(F.col("count") >= most).select("entry"))
+        now = live.join(full, "entry", "left_anti").select("entry", F.explode("next").alias("n"), "path").select("entry", F.concat("path", F.array("n")).alias("path"))
     order = Window.partitionBy("entry").orderBy(F.size("path"), "path")
-    return done.filter(F.size("path") >= least).withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).drop("k")
+    return done.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most).drop("k")
 
 
 def levels(edges: DataFrame) -> DataFrame:

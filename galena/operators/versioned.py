@@ -50,3 +50,29 @@ def sweep(objects: DataFrame, reachable: DataFrame, key: str) -> DataFrame:
 def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     """``table`` with the rows of ``changes`` in place of those of the same key."""
     return table.join(changes.select(key), key, "left_anti").unionByName(changes)
+
+
+def delete_file(nodes: DataFrame, edges: DataFrame, chunks: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(nodes, edges, chunks) without the nodes of the file ``path``, the edges that touch them, and their embeddings' chunks (chunk: id, then :number)."""
+    gone = nodes.filter(F.col("file_path") == path).select("id")
+    kept = edges.join(gone.withColumnRenamed("id", "src"), "src", "left_anti").join(gone.withColumnRenamed("id", "dst"), "dst", "left_anti")
+    owner = F.regexp_replace("chunk", r":[0-9]+$", "")
+    return nodes.filter(F.col("file_path") != path), kept, chunks.withColumn("id", owner).join(gone, "id", "left_anti").drop("id")
+
+
+def audit_id(columns: list[str]) -> Column:
+    """The id of an audit event: the sha256 of the canonical JSON of its body, with the schema's version and type."""
+    fields = sorted([*columns, "schemaVersion", "type"])
+    fixed = {"schemaVersion": F.lit(1), "type": F.lit("audit-event")}
+    body = F.struct(*(fixed[c].alias(c) if c in fixed else F.col(c) for c in fields))
+    return F.concat(F.lit("sha256:"), F.sha2(F.to_json(body), 256))
+
+
+def audit_events(events: DataFrame, columns: list[str]) -> DataFrame:
+    """``events`` with their ids."""
+    return events.withColumn("id", audit_id(columns))
+
+
+def audit_valid(columns: list[str]) -> Column:
+    """Whether an event's id is that of its body."""
+    return F.col("id") == audit_id(columns)

@@ -5,32 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from galena.model import GRAPH_CTE, edges, load, nodes
+from galena.model import GRAPH_CTE, edges, load, nodes, stored_edges
 from galena.operators import traverse
 from galena.registry import query
 
+#: The rule for paths of tests, as SQL over ``file_path``.
+TESTS_SQL = " OR ".join(
+    [f"contains('/' || lower(file_path), '{x}')" for x in (".test.", ".spec.", "__tests__/", "__mocks__/")]
+    + [f"contains(lower(file_path), '{x}')" for x in ("/test/", "/tests/", "/testing/", "/fixtures/", "/spec/", "/test_", "/conftest.")]
+    + [f"ends_with(lower(file_path), '{x}')" for x in ("_test.go", "_test.py", "_spec.rb", "_test.rb")]
+)
+
 
 @query(
     f"""
 WITH RECURSIVE {GRAPH_CTE}, walk(id, depth) AS (
   SELECT 'Nation:3', 0 UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.id
-  WHERE w.depth < 3 AND e.type IN ('CONTAINS', 'CALLS') AND e.dst NOT IN (SELECT id FROM nodes WHERE regexp_matches(file_path, '(^|/)test/'))
+  WHERE w.depth < 3 AND e.type IN ('CONTAINS', 'CALLS') AND e.dst NOT IN (SELECT id FROM nodes WHERE {TESTS_SQL})
 ), d AS (SELECT id, min(depth) AS depth FROM walk GROUP BY id)
 SELECT depth, count(*) AS n FROM d WHERE depth > 0 GROUP BY depth
 """
 )
 def GR01_impact_by_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     tests = nodes(spark, sf_dir).filter(F.col("file_path").rlike(traverse.TEST_PATH)).select("id")
-    kinds = edges(spark, sf_dir).filter(F.col("type").isin("CONTAINS", "CALLS"))
+    kinds = stored_edges(spark, sf_dir).filter(F.col("type").isin("CONTAINS", "CALLS"))
     found = traverse.bfs(kinds, spark.createDataFrame([("Nation:3",)], "id string"), 3, blocked=tests)
     return found.filter("depth > 0").groupBy("depth").agg(F.count("*").alias("n"))
 
 
 def impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: what depends on a supplier, by depth, with the risk of changing it."""
-    up = edges(spark, sf_dir).filter(F.col("type").isin(*traverse.IMPACT_TYPES))
+    e = stored_edges(spark, sf_dir)
+    up = e.filter(F.col("type").isin(*traverse.IMPACT_TYPES))
     found = traverse.bfs(up, spark.createDataFrame([("Supplier:1",)], "id string"), 3, "upstream").filter("depth > 0")
-    steps = edges(spark, sf_dir).filter("type = 'STEP_IN_PROCESS'").join(found, F.col("src") == F.col("id")).agg(F.countDistinct("dst").alias("processes"))
+    steps = e.filter("type = 'STEP_IN_PROCESS'").join(found, F.col("src") == F.col("id")).agg(F.countDistinct("dst").alias("processes"))
     total = found.agg(F.count("*").alias("total"), F.count(F.when(F.col("depth") == 1, 1)).alias("direct"))
     return total.crossJoin(F.broadcast(steps)).withColumn("risk", traverse.risk(F.col("direct"), F.col("processes"), F.lit(0), F.col("total")))
 
@@ -95,7 +103,7 @@ def GR05_impact_modules(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH RECURSIVE {GRAPH_CTE}, call AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY dst) AS k FROM (SELECT DISTINCT src, dst FROM edges WHERE type IN ('CALLS', 'IMPORTS'))),
 hop AS (SELECT src, dst FROM call WHERE k <= 4),
 t(entry, path, open) AS (
-  SELECT id, [id], true FROM (SELECT 'Customer:' || c_custkey AS id FROM customer WHERE c_custkey % 40 = 1)
+  SELECT id, [id], true FROM (SELECT 'Customer:' || c_custkey AS id FROM customer)
   UNION ALL SELECT t.entry, list_append(t.path, h.dst), true FROM t JOIN hop h ON h.src = t.path[-1] WHERE len(t.path) < 10 AND NOT list_contains(t.path, h.dst)
 ), done AS (
   SELECT t.entry, t.path FROM t WHERE len(t.path) >= 3 AND (len(t.path) >= 10 OR NOT EXISTS (SELECT 1 FROM hop h WHERE h.src = t.path[-1] AND NOT list_contains(t.path, h.dst)))
@@ -104,8 +112,8 @@ SELECT entry, array_to_string(path, '>') AS path FROM ranked WHERE k <= 12
 """
 )
 def GR10_process_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    entries = load(spark, sf_dir, "customer").filter("c_custkey % 40 = 1").select(F.concat(F.lit("Customer:"), "c_custkey").alias("id"))
-    calls = edges(spark, sf_dir).filter(F.col("type").isin("CALLS", "IMPORTS"))
+    entries = load(spark, sf_dir, "customer").select(F.concat(F.lit("Customer:"), "c_custkey").alias("id"))
+    calls = stored_edges(spark, sf_dir).filter(F.col("type").isin("CALLS", "IMPORTS"))
     return traverse.traces(calls, entries).select("entry", F.array_join("path", ">").alias("path"))
 
 
@@ -114,7 +122,7 @@ def GR10_process_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 WITH {GRAPH_CTE}, c AS (SELECT src, dst FROM edges WHERE type = 'CALLS'),
 o AS (SELECT src AS id, count(*) AS callees FROM c GROUP BY src), i AS (SELECT dst AS id, count(*) AS callers FROM c GROUP BY dst)
 SELECT n.id, o.callees, coalesce(i.callers, 0) AS callers, round(o.callees * 1.0 / (coalesce(i.callers, 0) + 1) * CASE WHEN n.is_exported THEN 2 ELSE 1 END, 4) AS score
-FROM nodes n JOIN o USING (id) LEFT JOIN i USING (id) WHERE NOT regexp_matches(n.file_path, '(^|/)test/') ORDER BY score DESC, n.id LIMIT 200
+FROM nodes n JOIN o USING (id) LEFT JOIN i USING (id) WHERE NOT ({TESTS_SQL}) ORDER BY score DESC, n.id LIMIT 200
 """
 )
 def GR11_entry_points(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,10 +150,12 @@ def GR13_subset_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     o = load(spark, sf_dir, "orders")
     path = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o_orderdate", "o_orderkey", "o_orderstatus"))), lambda x: x["o_orderstatus"]), "")
     p = o.groupBy(F.col("o_custkey").alias("flow")).agg(path.alias("path"), F.count("*").alias("n"))
-    # equal paths first: of each, the one that stays; then the few distinct paths are compared
+    # equal paths first: of each, the one that stays; it goes if it is a part of another path, whose parts are listed
     one = p.groupBy("path", "n").agg(F.min("flow").alias("flow"))
-    a, b = one.alias("a"), one.alias("b")
-    return a.join(b, F.expr("b.n > a.n and contains(b.path, a.path)"), "left_anti").select("flow")
+    n = F.length("path")
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substring(F.col("path"), i, k))))
+    shorter = one.select(F.explode(F.filter(F.array_distinct(parts), lambda x: F.length(x) < n)).alias("path")).distinct()
+    return one.join(shorter, "path", "left_anti").select("flow")
 
 
 @query(
@@ -201,15 +211,15 @@ def GR19_community_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH RECURSIVE p AS (SELECT o_orderkey AS child, (o_orderkey * 3) // 4 AS parent FROM orders WHERE o_orderkey <= 400 UNION ALL SELECT o_orderkey, o_orderkey // 2 FROM orders WHERE o_orderkey <= 400),
-w(child, ancestor, depth) AS (SELECT DISTINCT child, child, 0 FROM p WHERE child % 50 = 0 UNION SELECT w.child, p.parent, w.depth + 1 FROM w JOIN p ON p.child = w.ancestor WHERE w.depth < 12)
+WITH RECURSIVE p AS (SELECT o_orderkey AS child, (o_orderkey * 3) // 4 AS parent FROM orders WHERE o_orderkey > 0 UNION ALL SELECT o_orderkey, o_orderkey // 2 FROM orders WHERE o_orderkey > 0),
+w(child, ancestor, depth) AS (SELECT o_orderkey, o_orderkey, 0 FROM orders WHERE o_orderkey % 50 = 0 UNION SELECT w.child, p.parent, w.depth + 1 FROM w JOIN p ON p.child = w.ancestor)
 SELECT child, ancestor, min(depth) AS depth FROM w GROUP BY child, ancestor
 """
 )
 def GR21_ancestors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").filter("o_orderkey <= 400").select(F.col("o_orderkey").alias("child"))
-    p = o.withColumn("parent", F.expr("child * 3 div 4")).unionByName(o.withColumn("parent", F.expr("child div 2")))
-    return traverse.ancestors(p, o.filter("child % 50 = 0").select(F.col("child").alias("id")), 12)
+    o = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("child"))
+    p = o.withColumn("parent", F.expr("child * 3 div 4")).unionByName(o.withColumn("parent", F.expr("child div 2"))).filter("child > 0")
+    return traverse.ancestors(p, o.filter("child % 50 = 0").select(F.col("child").alias("id")), 1000)
 
 
 @query(
@@ -224,42 +234,45 @@ def GR27_topological_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return traverse.levels(l.select(F.expr("l_partkey % 12").alias("src"), F.expr("l_partkey % 12 + 1 + l_suppkey % 3").alias("dst")))
 
 
-COMMITS = """c AS (SELECT o_orderkey AS id, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey <= 300 UNION ALL SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey <= 300 AND o_orderkey % 5 = 0)"""
+COMMITS = """c AS (SELECT o_orderkey AS id, o_orderkey // 2 AS parent FROM orders WHERE o_orderkey > 0 UNION ALL SELECT o_orderkey, o_orderkey // 3 FROM orders WHERE o_orderkey > 0 AND o_orderkey % 5 = 0)"""
 
 
 def _commits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").filter("o_orderkey <= 300").select(F.col("o_orderkey").cast("string").alias("child"), F.col("o_orderkey").alias("k"))
+    """Every order as a commit with the order of half its key as its parent; every fifth is a merge with a second one."""
+    o = load(spark, sf_dir, "orders").filter("o_orderkey > 0").select(F.col("o_orderkey").cast("string").alias("child"), F.col("o_orderkey").alias("k"))
     both = o.select("child", F.expr("k div 2").cast("string").alias("parent"))
     return both.unionByName(o.filter("k % 5 = 0").select("child", F.expr("k div 3").cast("string").alias("parent")))
 
 
+def _head(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "orders").agg(F.max("o_orderkey").cast("string").alias("id"))
+
+
 @query(
-    f"WITH RECURSIVE {COMMITS}, w(id, depth) AS (SELECT 120, 0 UNION SELECT c.parent, w.depth + 1 FROM w JOIN c ON c.id = w.id WHERE w.depth < 15) SELECT CAST(id AS VARCHAR) AS ancestor, min(depth) AS depth FROM w GROUP BY id"
+    f"WITH RECURSIVE {COMMITS}, w(id, depth) AS (SELECT max(o_orderkey), 0 FROM orders UNION SELECT c.parent, w.depth + 1 FROM w JOIN c ON c.id = w.id) SELECT CAST(id AS VARCHAR) AS ancestor, min(depth) AS depth FROM w GROUP BY id"
 )
 def GR30_commit_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    head = spark.createDataFrame([("120",)], "id string")
-    return traverse.ancestors(_commits(spark, sf_dir), head, 15).select("ancestor", "depth")
+    return traverse.ancestors(_commits(spark, sf_dir), _head(spark, sf_dir), 10_000).select("ancestor", "depth")
 
 
 @query(
     f"""
-WITH RECURSIVE {COMMITS}, w(child, id, depth) AS (SELECT * FROM (VALUES (60, 60, 0), (44, 44, 0)) UNION SELECT w.child, c.parent, w.depth + 1 FROM w JOIN c ON c.id = w.id WHERE w.depth < 20),
+WITH RECURSIVE {COMMITS}, w(child, id, depth) AS (SELECT * FROM (VALUES (60, 60, 0), (44, 44, 0)) UNION SELECT w.child, c.parent, w.depth + 1 FROM w JOIN c ON c.id = w.id),
 m AS (SELECT child, id, min(depth) AS depth FROM w GROUP BY child, id)
 SELECT CAST(a.id AS VARCHAR) AS ancestor, a.depth AS da, b.depth AS db FROM m a JOIN m b ON a.id = b.id WHERE a.child = 60 AND b.child = 44 ORDER BY db, da, ancestor LIMIT 1
 """
 )
 def GR31_common_ancestor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return traverse.common_ancestor(_commits(spark, sf_dir), "60", "44", 20).select("ancestor", "da", "db")
+    return traverse.common_ancestor(_commits(spark, sf_dir), "60", "44", 10_000).select("ancestor", "da", "db")
 
 
 @query(
     f"""
-WITH RECURSIVE {COMMITS}, w(id) AS (SELECT * FROM (VALUES (200), (33)) UNION SELECT c.parent FROM w JOIN c ON c.id = w.id)
-SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey <= 300 AND o_orderkey NOT IN (SELECT id FROM w)
+WITH RECURSIVE {COMMITS}, w(id) AS (SELECT max(o_orderkey) FROM orders UNION SELECT c.parent FROM w JOIN c ON c.id = w.id)
+SELECT CAST(o_orderkey AS VARCHAR) AS id FROM orders WHERE o_orderkey > 0 AND o_orderkey NOT IN (SELECT id FROM w)
 """
 )
 def GR32_unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = _commits(spark, sf_dir)
-    heads = spark.createDataFrame([("200",), ("33",)], "id string")
-    live = traverse.bfs(p.select(F.col("child").alias("src"), F.col("parent").alias("dst")), heads, 20).select("id")
+    p = traverse.cut(_commits(spark, sf_dir))
+    live = traverse.bfs(p.select(F.col("child").alias("src"), F.col("parent").alias("dst")), _head(spark, sf_dir), 1 << 30).select("id")
     return p.select(F.col("child").alias("id")).distinct().join(live, "id", "left_anti")

@@ -18,9 +18,9 @@ def JN18_endpoint_cluster(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), (F.col("s_nationkey") % 5).alias("repo")).join(first, "repo", "left").select("id", "slug")
 
 
-@query("WITH q AS (SELECT o_orderkey AS call, 'm' || o_custkey % 40 AS model FROM orders WHERE o_orderkey % 9 = 0), n AS (SELECT 'm' || n_nationkey AS model, n_nationkey AS id FROM nation) SELECT DISTINCT q.call, coalesce(CAST(n.id AS VARCHAR), 'synthetic:' || q.model) AS target FROM q LEFT JOIN n USING (model)")
+@query("WITH q AS (SELECT o_orderkey AS call, 'm' || o_custkey % 40 AS model FROM orders), n AS (SELECT 'm' || n_nationkey AS model, n_nationkey AS id FROM nation) SELECT DISTINCT q.call, coalesce(CAST(n.id AS VARCHAR), 'synthetic:' || q.model) AS target FROM q LEFT JOIN n USING (model)")
 def JN23_orm_models(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = load(spark, sf_dir, "orders").filter("o_orderkey % 9 = 0").select(F.col("o_orderkey").alias("call"), F.concat(F.lit("m"), F.col("o_custkey") % 40).alias("model"))
+    q = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("call"), F.concat(F.lit("m"), F.col("o_custkey") % 40).alias("model"))
     n = load(spark, sf_dir, "nation").select(F.concat(F.lit("m"), "n_nationkey").alias("model"), F.col("n_nationkey").cast("string").alias("id"))
     return q.join(n, "model", "left").select("call", F.coalesce("id", F.concat(F.lit("synthetic:"), "model")).alias("target")).distinct()
 
@@ -32,25 +32,36 @@ def JN24_routes_and_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes(spark, sf_dir).select("id", "file_path").join(r, "file_path").join(steps, "id").groupBy("route").agg(F.countDistinct("dst").alias("processes"))
 
 
-@query("WITH h AS (SELECT event_id, event_type AS label, user_id FROM events WHERE event_id < 500) SELECT h.label, count(c.c_custkey) AS found, count(*) AS hits FROM h LEFT JOIN customer c ON c.c_custkey = h.user_id GROUP BY h.label")
+@query("WITH h AS (SELECT event_id, event_type AS label, user_id FROM events) SELECT h.label, count(c.c_custkey) AS found, count(*) AS hits FROM h LEFT JOIN customer c ON c.c_custkey = h.user_id GROUP BY h.label")
 def JN27_hydrate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = load(spark, sf_dir, "events").filter("event_id < 500").select("event_type", F.col("user_id").alias("c_custkey"))
+    h = load(spark, sf_dir, "events").select("event_type", F.col("user_id").alias("c_custkey"))
     c = load(spark, sf_dir, "customer").select("c_custkey", F.lit(1).alias("one"))
     return h.join(c, "c_custkey", "left").groupBy(F.col("event_type").alias("label")).agg(F.count("one").alias("found"), F.count("*").alias("hits"))
 
 
-@query("SELECT a.s_suppkey AS a, b.s_suppkey AS b FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey WHERE a.s_name <> b.s_name")
+@query("SELECT a.s_suppkey AS id, count(*) AS clones, min(b.s_name) AS first_clone FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_name <> b.s_name GROUP BY 1")
 def JN28_clone_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = load(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", "s_name")
-    b = s.toDF("b", "s_nationkey", "other")
-    return s.withColumnRenamed("s_suppkey", "a").join(b, "s_nationkey").filter("a < b and s_name != other").select("a", "b")
+    """How many rows share a row's remote but not its path, and the first such path; by counts, not by pairs."""
+    s = load(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), "s_nationkey", "s_name")
+    paths = s.groupBy("s_nationkey", "s_name").agg(F.count("*").alias("same"))
+    remote = paths.groupBy("s_nationkey").agg(F.sum("same").alias("all"), F.min("s_name").alias("low"))
+    second = paths.join(remote.select("s_nationkey", "low"), "s_nationkey").filter("s_name != low").groupBy("s_nationkey").agg(F.min("s_name").alias("next"))
+    out = s.join(paths, ["s_nationkey", "s_name"]).join(remote, "s_nationkey").join(second, "s_nationkey", "left")
+    return out.filter("all > same").select("id", (F.col("all") - F.col("same")).alias("clones"), F.when(F.col("low") != F.col("s_name"), F.col("low")).otherwise(F.col("next")).alias("first_clone"))
 
 
-@query("SELECT o_orderkey, regexp_replace(regexp_replace('/app/' || lower(o_orderpriority) || '/[id]/page.tsx', '^/app', ''), '/page[.]tsx$', '') AS route FROM orders WHERE o_orderkey % 10 = 0")
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 5 = 1 THEN '/api/' || lower(o_orderpriority) || '/[id]' WHEN o_orderkey % 5 = 2 THEN '/api/' || lower(o_orderstatus) WHEN o_orderkey % 5 = 3 THEN '/api/' || lower(o_orderstatus) || '/' || o_custkey ELSE NULL END AS route FROM orders")
 def EX17_file_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = load(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0")
-    path = F.concat(F.lit("app/"), F.lower("o_orderpriority"), F.lit("/[id]/page.tsx"))
-    return o.select("o_orderkey", tf.route_of_file(path).alias("route"))
+    """Handlers below app and pages: groups are no segments, pages and files outside api have no route."""
+    low, kind = F.lower("o_orderpriority"), F.col("o_orderkey") % 5
+    path = (
+        F.when(kind == 0, F.concat(F.lit("src/app/"), low, F.lit("/[id]/page.tsx")))
+        .when(kind == 1, F.concat(F.lit("src/app/(admin)/api/"), low, F.lit("/[id]/route.ts")))
+        .when(kind == 2, F.concat(F.lit("pages/api/"), F.lower("o_orderstatus"), F.lit("/index.js")))
+        .when(kind == 3, F.concat(F.lit("web/pages/api/"), F.lower("o_orderstatus"), F.lit("/"), "o_custkey", F.lit(".tsx")))
+        .otherwise(F.concat(F.lit("app/"), low, F.lit("/route.ts")))
+    )
+    return load(spark, sf_dir, "orders").select("o_orderkey", tf.route_of_file(path).alias("route"))
 
 
 @query("WITH r AS (SELECT o_custkey AS f, o_orderkey AS s, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS k FROM orders) SELECT f, count(*) AS bindings FROM r WHERE k <= 5 GROUP BY f")
@@ -59,10 +70,10 @@ def EX14_wildcard_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capped.groupBy(F.col("o_custkey").alias("f")).agg(F.count("*").alias("bindings"))
 
 
-@query("WITH o AS (SELECT p_partkey AS id, unnest([p_partkey, p_partkey // 2, p_partkey // 3]) AS owner, unnest([0, 1, 2]) AS k FROM part WHERE p_partkey BETWEEN 6 AND 300), m AS (SELECT p_partkey AS owner, p_type AS name FROM part WHERE p_partkey % 4 <> 0), r AS (SELECT o.id, m.name, o.owner, row_number() OVER (PARTITION BY o.id, m.name ORDER BY o.k) AS n FROM o JOIN m USING (owner)) SELECT id, name, owner FROM r WHERE n = 1")
+@query("WITH o AS (SELECT p_partkey AS id, unnest([p_partkey, p_partkey // 2, p_partkey // 3]) AS owner, unnest([0, 1, 2]) AS k FROM part), m AS (SELECT p_partkey AS owner, p_type AS name FROM part WHERE p_partkey % 4 <> 0), r AS (SELECT o.id, m.name, o.owner, row_number() OVER (PARTITION BY o.id, m.name ORDER BY o.k) AS n FROM o JOIN m USING (owner)) SELECT id, name, owner FROM r WHERE n = 1")
 def GR26_inherited_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = load(spark, sf_dir, "part")
-    order = p.filter("p_partkey between 6 and 300").select(F.col("p_partkey").alias("id"), F.expr("array(p_partkey, p_partkey div 2, p_partkey div 3)").alias("order"))
+    order = p.select(F.col("p_partkey").alias("id"), F.expr("array(p_partkey, p_partkey div 2, p_partkey div 3)").alias("order"))
     members = p.filter("p_partkey % 4 != 0").select(F.col("p_partkey").alias("owner"), F.col("p_type").alias("name"))
     return resolve.inherited(order, members)
 
@@ -93,9 +104,9 @@ def VC02_vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(search.dot(v, v)), 4).alias("norm"), F.size(v).alias("size"))
 
 
-@query("SELECT vec_id, 'label: ' || label || chr(10) || 'id: ' || vec_id AS content FROM embeddings WHERE vec_id < 100")
+@query("SELECT vec_id, 'label: ' || label || chr(10) || 'id: ' || vec_id AS content FROM embeddings")
 def VC07_embedding_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "embeddings").filter("vec_id < 100").select("vec_id", F.concat(F.lit("label: "), "label", F.lit("\nid: "), "vec_id").alias("content"))
+    return load(spark, sf_dir, "embeddings").select("vec_id", F.concat(F.lit("label: "), "label", F.lit("\nid: "), "vec_id").alias("content"))
 
 
 @query("SELECT doc_id, length(text) - length(replace(text, chr(10), '')) + 1 AS lines FROM documents")

@@ -174,31 +174,45 @@ def JN10_semi_and_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-WITH s AS (SELECT event_id, user_id, event_id % 97 AS a, event_id % 97 + event_id % 11 AS b FROM events), h AS (SELECT o_orderkey AS hunk, o_custkey % 15 AS user_id, o_orderkey % 89 AS c, o_orderkey % 89 + 5 AS d FROM orders WHERE o_orderkey <= 200)
-SELECT s.event_id, h.hunk FROM s JOIN h ON s.user_id = h.user_id AND s.a <= h.d AND s.b >= h.c
+WITH s AS (SELECT event_id, user_id, event_id % 97 AS a, event_id % 97 + event_id % 11 AS b FROM events), h AS (SELECT o_custkey % 15 AS user_id, o_orderkey % 89 AS c, o_orderkey % 89 + 5 AS d, count(*) AS n FROM orders GROUP BY 1, 2, 3)
+SELECT s.event_id, CAST(sum(h.n) AS BIGINT) AS hunks FROM s JOIN h ON s.user_id = h.user_id AND s.a <= h.d AND s.b >= h.c GROUP BY 1
 """
 )
 def JN11_range_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Bins of ten lines turn the overlap into an equality; a pair is given by its first common bin."""
+    """The symbols that hunks of their file touch, and how many do.
+
+    A symbol meets all hunks that begin at its end or before, but those that end before it:
+    two running counts over the places of a file, instead of pairs.
+    """
     s = load(spark, sf_dir, "events").select("event_id", "user_id", (F.col("event_id") % 97).alias("a"), (F.col("event_id") % 97 + F.col("event_id") % 11).alias("b"))
     k = F.col("o_orderkey")
-    h = load(spark, sf_dir, "orders").filter(k <= 200).select(k.alias("hunk"), (F.col("o_custkey") % 15).alias("user_id"), (k % 89).alias("c"), (k % 89 + 5).alias("d"))
-    bins = lambda lo, hi: F.explode(F.sequence(F.expr(f"{lo} div 10"), F.expr(f"{hi} div 10"))).alias("bin")
-    pairs = s.select("*", bins("a", "b")).join(h.select("*", bins("c", "d")), ["user_id", "bin"])
-    return pairs.filter("a <= d and b >= c and bin = greatest(a, c) div 10").select("event_id", "hunk")
+    h = load(spark, sf_dir, "orders").select((F.col("o_custkey") % 15).alias("user_id"), (k % 89).alias("c"), (k % 89 + 5).alias("d"))
+    return join_counts(s, h, "user_id").filter("hunks > 0").select("event_id", "hunks")
+
+
+def join_counts(symbols: DataFrame, hunks: DataFrame, file: str) -> DataFrame:
+    """``symbols`` (a, b) with ``hunks``: how many of ``hunks`` (c, d) overlap each."""
+    places = [symbols.select(file, F.col(c).alias("at"), F.lit(0).alias("begin"), F.lit(0).alias("end")) for c in ("a", "b")]
+    places += [hunks.select(file, F.col("c").alias("at"), F.lit(1), F.lit(0)), hunks.select(file, (F.col("d") + 1).alias("at"), F.lit(0), F.lit(1))]
+    at = places[0].unionByName(places[1]).union(places[2]).union(places[3]).groupBy(file, "at").agg(F.sum("begin").alias("begin"), F.sum("end").alias("end"))
+    up_to = Window.partitionBy(file).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
+    run = at.select(file, "at", F.sum("begin").over(up_to).alias("begun"), F.sum("end").over(up_to).alias("ended"))
+    first = symbols.join(run.select(file, F.col("at").alias("a"), "ended"), [file, "a"])
+    return first.join(run.select(file, F.col("at").alias("b"), "begun"), [file, "b"]).withColumn("hunks", F.col("begun") - F.col("ended"))
 
 
 @query(
     """
-WITH sc AS (SELECT o_orderkey AS scope, o_orderkey % 100 AS lo, o_orderkey % 100 + 3 + o_custkey % 40 AS hi FROM orders WHERE o_orderkey <= 500), pt AS (SELECT event_id, event_id % 140 AS line FROM events WHERE event_id < 300),
-r AS (SELECT pt.event_id, sc.scope, row_number() OVER (PARTITION BY pt.event_id ORDER BY sc.hi - sc.lo, sc.scope) AS k FROM pt JOIN sc ON pt.line BETWEEN sc.lo AND sc.hi) SELECT event_id, scope FROM r WHERE k = 1
+WITH sc AS (SELECT o_orderkey AS scope, o_orderkey % 100 AS lo, o_orderkey % 100 + 3 + o_custkey % 40 AS hi FROM orders), pt AS (SELECT DISTINCT event_id % 140 AS line FROM events),
+r AS (SELECT pt.line, sc.scope, row_number() OVER (PARTITION BY pt.line ORDER BY sc.hi - sc.lo, sc.scope) AS k FROM pt JOIN sc ON pt.line BETWEEN sc.lo AND sc.hi) SELECT event_id, scope FROM events JOIN r ON r.line = event_id % 140 WHERE k = 1
 """
 )
 def JN12_innermost_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = F.col("o_orderkey")
-    sc = load(spark, sf_dir, "orders").filter(k <= 500).select(k.alias("scope"), (k % 100).alias("lo"), (k % 100 + 3 + F.col("o_custkey") % 40).alias("hi"))
-    pt = load(spark, sf_dir, "events").filter("event_id < 300").select("event_id", (F.col("event_id") % 140).alias("line"))
-    # the innermost scope of each line once, then an equality join
+    sc = load(spark, sf_dir, "orders").select(k.alias("scope"), (k % 100).alias("lo"), (k % 100 + 3 + F.col("o_custkey") % 40).alias("hi"))
+    pt = load(spark, sf_dir, "events").select("event_id", (F.col("event_id") % 140).alias("line"))
+    # of equal intervals the first scope; then the innermost of each line once, and an equality join
+    sc = sc.groupBy("lo", "hi").agg(F.min("scope").alias("scope"))
     lines = sc.select("scope", (F.col("hi") - F.col("lo")).alias("size"), F.explode(F.sequence("lo", "hi")).alias("line"))
     best = lines.groupBy("line").agg(F.min(F.struct("size", "scope")).alias("m")).select("line", "m.scope")
     return pt.join(best, "line").select("event_id", "scope")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from galena.functions import text as tf
-from galena.model import GRAPH_CTE, load, nodes
+from galena.model import GRAPH_CTE, edges, load, nodes
 from galena.operators import rank, search, traverse, versioned
 from galena.registry import query
 from galena.sources import extract
@@ -19,8 +19,8 @@ def TX01_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-SELECT p_partkey, 4.0 * ((CASE WHEN contains(lower(p_name), 'steel red') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(p_name), 'steel') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(p_name), 'red') THEN 1 ELSE 0 END))
- + 1.0 * ((CASE WHEN contains(lower(p_type), 'steel red') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(p_type), 'steel') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(p_type), 'red') THEN 1 ELSE 0 END)) AS score FROM part
+SELECT p_partkey, CAST(4.0 * ((CASE WHEN contains(lower(p_name), 'steel red') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(p_name), 'steel') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(p_name), 'red') THEN 1 ELSE 0 END))
+ + 1.0 * ((CASE WHEN contains(lower(p_type), 'steel red') THEN 3 ELSE 0 END) + (CASE WHEN contains(lower(p_type), 'steel') THEN 1 ELSE 0 END) + (CASE WHEN contains(lower(p_type), 'red') THEN 1 ELSE 0 END)) AS DOUBLE) AS score FROM part
 """
 )
 def TX03_keyword_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -72,11 +72,14 @@ def VC04_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.chunks(load(spark, sf_dir, "documents"), "doc_id", "text").withColumn("content", F.md5("content"))
 
 
-@query("SELECT vec_id, sha1('v2' || chr(10) || label || ':' || vec_id) AS content_hash FROM embeddings WHERE vec_id % 3 <> 0")
+@query("SELECT vec_id, sha1('v2' || chr(10) || label || ':' || vec_id) AS content_hash, CASE WHEN vec_id % 3 = 1 THEN 'absent' ELSE 'differs' END AS why FROM embeddings WHERE vec_id % 3 <> 0")
 def VC08_stale_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = load(spark, sf_dir, "embeddings").select("vec_id", F.sha1(F.concat(F.lit("v2\n"), "label", F.lit(":"), "vec_id")).alias("content_hash"))
-    fresh = e.filter("vec_id % 3 = 0")
-    return e.join(fresh, ["vec_id", "content_hash"], "left_anti")
+    """Rows whose stored hash is absent or not that of their text: of three, one is fresh, one absent, one of another text."""
+    hashed = lambda label: F.sha1(F.concat(F.lit("v2\n"), label, F.lit(":"), "vec_id"))
+    e = load(spark, sf_dir, "embeddings").select("vec_id", "label")
+    stored = e.filter("vec_id % 3 != 1").select("vec_id", F.when(F.col("vec_id") % 3 == 2, hashed(F.col("label") + 1)).otherwise(hashed(F.col("label"))).alias("old"))
+    both = e.select("vec_id", hashed(F.col("label")).alias("content_hash")).join(stored, "vec_id", "left").filter(~F.col("content_hash").eqNullSafe(F.col("old")))
+    return both.select("vec_id", "content_hash", F.when(F.col("old").isNull(), "absent").otherwise("differs").alias("why"))
 
 
 @query("SELECT doc_id, CAST(floor(length(trim(text)) / 4) AS BIGINT) AS tokens FROM documents")
@@ -84,25 +87,75 @@ def CP01_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", tf.estimate_tokens(F.col("text")).alias("tokens"))
 
 
-@query(r"""SELECT doc_id, len(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ([A-Z"''(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentences FROM documents""")
+@query(r"""SELECT doc_id, len(string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?]) ([A-Z"''`(\[])', '\1' || chr(1) || '\2', 'g'), chr(1))) AS sentences FROM documents""")
 def CP02_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "documents").select("doc_id", F.size(tf.sentences(F.col("text"))).alias("sentences"))
 
 
-@query("SELECT doc_id, NOT (CAST(contains(text, '{') AS INT) + CAST(contains(text, '();') AS INT) + CAST(contains(text, ' = ') AS INT) + CAST(contains(text, '=>') AS INT) >= 2) AS prose FROM documents")
+PROSE_SQL = (
+    "WITH d AS (SELECT item, kind, text, "
+    + " + ".join(f"CAST(contains(text, '{x}') AS INT)" for x in tf.CODE_SIGNS)
+    + r""" AS signs, len(list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')) AS words, len(regexp_extract_all(text, '[{}\[\]]')) AS brackets FROM (
+SELECT doc_id AS item, 'document' AS kind, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT page_id, 'page', html FROM pages WHERE html IS NOT NULL
+UNION ALL SELECT p_partkey, 'code', CASE p_partkey % 6 WHEN 0 THEN 'import x; const ' || p_name || ' = 1 done here' WHEN 1 THEN 'a {b} [c] ' || p_name || ' end of it all' WHEN 2 THEN 'one == two' WHEN 3 THEN 'const only one sign in ' || p_name || ' so prose' WHEN 4 THEN 'if (a && b || c) then ' || p_type ELSE '{} {} [] ' || p_name || ' x y' END FROM part))
+SELECT kind, item, words < 5 OR (signs < 2 AND brackets <= words * 0.2) AS prose FROM d"""
+)
+
+
+@query(PROSE_SQL)
 def CP03_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    signs = sum((F.col("text").contains(s).cast("int") for s in ("{", "();", " = ", "=>")), F.lit(0))
-    return load(spark, sf_dir, "documents").select("doc_id", (signs < 2).alias("prose"))
+    """Documents, pages and made-up code; the last has a row for each branch of the rule."""
+    say = lambda *parts: F.concat(*(F.lit(p) if not p.startswith("p_") else F.col(p) for p in parts))
+    k = F.col("p_partkey") % 6
+    made = (
+        F.when(k == 0, say("import x; const ", "p_name", " = 1 done here")).when(k == 1, say("a {b} [c] ", "p_name", " end of it all")).when(k == 2, F.lit("one == two"))
+        .when(k == 3, say("const only one sign in ", "p_name", " so prose")).when(k == 4, say("if (a && b || c) then ", "p_type")).otherwise(say("{} {} [] ", "p_name", " x y"))
+    )
+    one = lambda df, kind, key, text: df.filter(text.isNotNull()).select(F.lit(kind).alias("kind"), F.col(key).alias("item"), tf.is_prose(text).alias("prose"))
+    docs, pages, part = (load(spark, sf_dir, t) for t in ("documents", "pages", "part"))
+    return one(docs, "document", "doc_id", F.col("text")).unionByName(one(pages, "page", "page_id", F.col("html"))).unionByName(one(part, "code", "p_partkey", made))
 
 
-@query(r"SELECT page_id, nullif(regexp_replace(regexp_replace(regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', ''), '[?#].*$', ''), '(.)/+$', '\1'), '') AS path FROM pages")
-def EX19_normal_url(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "pages").select("page_id", tf.normal_url(F.col("url")).alias("path"))
+@query(
+    r"""
+WITH p AS (SELECT page_id, regexp_replace(url, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*', '') AS path FROM pages)
+SELECT page_id, CASE page_id % 5 WHEN 1 THEN regexp_replace(split_part(path, '?', 1), '\.(php|asp|aspx|jsp|cgi)$', '') || '/[param]' WHEN 2 THEN split_part(path, '?', 1) WHEN 3 THEN NULL WHEN 4 THEN NULL ELSE regexp_replace(split_part(path, '?', 1), '\.(php|asp|aspx|jsp|cgi)$', '') END AS path
+FROM p WHERE starts_with(path, '/') AND NOT contains(split_part(path, '?', 1), '+') AND NOT contains(split_part(path, '?', 1), '(') AND (page_id % 5 <> 1 OR NOT contains(path, '?'))
+"""
+)
+def EX19_fetch_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The paths of pages as arguments of fetch calls: as they are, with an expression, with a script's extension, with code, and relative."""
+    path = F.regexp_replace("url", r"^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*", "")
+    first, k = F.split_part("path", F.lit("?"), F.lit(1)), F.col("page_id") % 5
+    p = load(spark, sf_dir, "pages").select("page_id", path.alias("path")).filter(F.col("path").startswith("/") & ~first.contains("+") & ~first.contains("(") & ((k != 1) | ~F.col("path").contains("?")))
+    raw = (
+        F.when(k == 1, F.concat(F.lit("`"), F.regexp_replace("path", r"\.(php|asp|aspx|jsp|cgi)$", ""), F.lit("/${item.id}`")))
+        .when(k == 2, F.concat(first, F.lit(".php?page=1"))).when(k == 3, F.concat(first, F.lit("+x"))).when(k == 4, F.expr("substring(path, 2)")).otherwise(F.col("path"))
+    )
+    return p.select("page_id", tf.fetch_url(raw).alias("path"))
 
 
-@query("""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM pages) SELECT page_id, count(*) AS fetches, count(DISTINCT href) AS targets FROM l GROUP BY page_id""")
+@query(
+    """
+WITH o AS (SELECT o_orderkey AS k, o_custkey AS c FROM orders)
+SELECT k, CASE WHEN k % 4 = 3 THEN 0 WHEN k % 4 = 2 THEN 2 ELSE 1 END AS fetches, CASE k % 4 WHEN 0 THEN 'id,name' || c || ',total' WHEN 1 THEN 'items,error' WHEN 2 THEN 'a,b,k' || c % 7 ELSE '' END AS keys,
+CASE WHEN k % 4 = 0 THEN '/api/c/' || c WHEN k % 4 = 1 THEN '/api/list?x=' || k WHEN k % 4 = 2 THEN '/api/one' END AS first_url FROM o
+"""
+)
 def EX10_fetch_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract.links(load(spark, sf_dir, "pages"), "page_id", "html").groupBy("page_id").agg(F.count("*").alias("fetches"), F.countDistinct("href").alias("targets"))
+    """Code written from orders: how many calls it has, the first one's URL, and the keys it reads of the responses."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    say = lambda *parts: F.concat(*(F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts))
+    code = (
+        F.when(k % 4 == 0, say("const { id, name", c, ": alias } = await fetch('/api/c/", c, "').json();\nshow(data?.total, data.map(f));"))
+        .when(k % 4 == 1, say("let { items } = result;\nconst r = await axios.get(\"/api/list?x=", k, "\");\nif (res.error) response.json();"))
+        .when(k % 4 == 2, say("var {a, b} = await got(`/api/one`);\nfetch('/api/two');\nuse(body.k", c % 7, ", body.k", c % 7, ", result.length);"))
+        .otherwise(say("prefetch(x); database.total = ", k))
+    )
+    files = load(spark, sf_dir, "orders").select(k.alias("k"), code.alias("code"))
+    calls = extract.fetch_calls(files, "k", "code").groupBy("k").agg(F.count("*").alias("fetches"))
+    first = F.get(F.regexp_extract_all("code", F.lit("['\"`](/[^'\"`]*)['\"`]"), F.lit(1)), F.lit(0))
+    return files.select("k", F.array_join(extract.accessed_keys(F.col("code")), ",").alias("keys"), first.alias("first_url")).join(calls, "k", "left").fillna(0, ["fetches"])
 
 
 @query(
@@ -130,33 +183,44 @@ def _contracts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return split(pr), split(co)
 
 
-def _linked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p, c = _contracts(spark, sf_dir)
-    c = c.select(F.col("id").alias("consumer"), F.col("repo").alias("r2"), F.col("method").alias("m2"), "path")
-    return p.join(c, "path").filter("repo != r2 and (method = m2 or m2 = '*' or method = '*')")
+def _met(c: str = "m2", p: str = "method") -> str:
+    return f"({p} = {c} or {c} = '*' or {p} = '*')"
 
 
-@query(f"WITH {CONTRACTS} SELECT c.id AS consumer, p.id AS provider, 1.0 AS confidence FROM c JOIN p ON p.path = c.path AND p.repo <> c.repo AND (p.method = c.method OR c.method = '*' OR p.method = '*')")
+@query(f"WITH {CONTRACTS} SELECT c.id AS consumer, count(*) AS providers, min(p.id) AS first_provider, CAST(1.0 AS DOUBLE) AS confidence FROM c JOIN p ON p.path = c.path AND p.repo <> c.repo AND (p.method = c.method OR c.method = '*' OR p.method = '*') GROUP BY 1")
 def JN13_contract_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark, sf_dir).select("consumer", F.col("id").alias("provider"), F.lit(1.0).alias("confidence"))
+    """Providers are rolled up by path, method and repository first, so that a row is a consumer, not a pair."""
+    p, c = _contracts(spark, sf_dir)
+    rolled = p.groupBy("path", "method", "repo").agg(F.count("*").alias("n"), F.min("id").alias("low"))
+    c = c.select(F.col("id").alias("consumer"), F.col("repo").alias("r2"), F.col("method").alias("m2"), "path")
+    met = rolled.join(c, "path").filter(f"repo != r2 and {_met()}").groupBy("consumer")
+    return met.agg(F.sum("n").alias("providers"), F.min("low").alias("first_provider")).withColumn("confidence", F.lit(1.0))
 
 
-@query(f"WITH {CONTRACTS}, l AS (SELECT c.id FROM c JOIN p ON p.path = c.path AND p.repo <> c.repo AND (p.method = c.method OR c.method = '*')) SELECT id FROM c WHERE id NOT IN (SELECT id FROM l)")
+@query(f"WITH {CONTRACTS}, l AS (SELECT c.id FROM c JOIN p ON p.path = c.path AND p.repo <> c.repo AND (p.method = c.method OR c.method = '*' OR p.method = '*')) SELECT id FROM c WHERE id NOT IN (SELECT id FROM l)")
 def JN15_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contracts(spark, sf_dir)[1].select("id").join(_linked(spark, sf_dir).select(F.col("consumer").alias("id")), "id", "left_anti")
+    """Of a path and method only the least and the greatest repository count: one of them is another than the consumer's, if any is."""
+    p, c = _contracts(spark, sf_dir)
+    ends = p.groupBy("path", "method").agg(F.min("repo").alias("lo"), F.max("repo").alias("hi"))
+    c = c.select("id", "repo", F.col("method").alias("m2"), "path").alias("c")
+    return c.join(ends.alias("e"), F.expr(f"c.path = e.path and {_met('c.m2', 'e.method')} and (e.lo != c.repo or e.hi != c.repo)"), "left_anti").select("id")
 
 
 @query(
-    f"WITH {CONTRACTS} SELECT p.repo AS source, c.repo AS target, count(*) AS links FROM c JOIN p ON p.path = c.path AND p.repo <> c.repo AND (p.method = c.method OR c.method = '*') GROUP BY 1, 2"
+    f"WITH {CONTRACTS} SELECT p.repo AS source, c.repo AS target, count(*) AS links FROM c JOIN p ON p.path = c.path AND p.repo <> c.repo AND (p.method = c.method OR c.method = '*' OR p.method = '*') GROUP BY 1, 2"
 )
 def JN16_bridge_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _linked(spark, sf_dir).groupBy(F.col("repo").alias("source"), F.col("r2").alias("target")).agg(F.count("*").alias("links"))
+    p, c = _contracts(spark, sf_dir)
+    providers = p.groupBy("path", "method", "repo").agg(F.count("*").alias("np"))
+    consumers = c.groupBy("path", F.col("method").alias("m2"), F.col("repo").alias("r2")).agg(F.count("*").alias("nc"))
+    links = providers.join(consumers, "path").filter(f"repo != r2 and {_met()}")
+    return links.groupBy(F.col("repo").alias("source"), F.col("r2").alias("target")).agg(F.sum(F.col("np") * F.col("nc")).alias("links"))
 
 
 @query(
     """
 WITH r AS (SELECT p_partkey AS ref, p_name AS name, p_brand AS brand FROM part), d AS (SELECT p_name AS name, p_brand AS brand, p_partkey AS def FROM part WHERE p_partkey % 3 = 0), a AS (SELECT name, brand, min(def) AS def FROM d GROUP BY 1, 2), b AS (SELECT brand, min(def) AS def FROM d GROUP BY 1)
-SELECT r.ref, coalesce(a.def, b.def) AS def, CASE WHEN a.def IS NOT NULL THEN 0.95 WHEN b.def IS NOT NULL THEN 0.9 ELSE 0.5 END AS confidence FROM r LEFT JOIN a ON a.name = r.name AND a.brand = r.brand LEFT JOIN b ON b.brand = r.brand
+SELECT r.ref, coalesce(a.def, b.def) AS def, CAST(CASE WHEN a.def IS NOT NULL THEN 0.95 WHEN b.def IS NOT NULL THEN 0.9 ELSE 0.5 END AS DOUBLE) AS confidence FROM r LEFT JOIN a ON a.name = r.name AND a.brand = r.brand LEFT JOIN b ON b.brand = r.brand
 """
 )
 def JN19_tiered_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -210,11 +274,13 @@ def SNK04_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return versioned.upsert(o, o.filter("o_orderkey % 6 = 0").withColumn("v", F.lit("new")), "o_orderkey")
 
 
-@query(f"WITH {GRAPH_CTE} SELECT count(*) AS n FROM nodes WHERE NOT starts_with(file_path, 'src/orders/')")
+@query(f"WITH {GRAPH_CTE}, gone AS (SELECT id FROM nodes WHERE file_path = 'src/orders/f.ts'), left_nodes AS (SELECT label, count(*) AS n FROM nodes WHERE file_path <> 'src/orders/f.ts' GROUP BY label), left_edges AS (SELECT type, count(*) AS n FROM edges WHERE src NOT IN (SELECT id FROM gone) AND dst NOT IN (SELECT id FROM gone) GROUP BY type) SELECT 'node' AS kind, label AS name, n FROM left_nodes UNION ALL SELECT 'edge', type, n FROM left_edges UNION ALL SELECT 'embedding', 'chunks', count(*) FROM (SELECT 'Order:' || o_orderkey AS node FROM orders WHERE o_orderkey % 3 = 0) WHERE node NOT IN (SELECT id FROM gone)")
 def SNK05_delete_file(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n = nodes(spark, sf_dir)
-    gone = n.filter(F.col("file_path").startswith("src/orders/")).select("id")
-    return n.join(gone, "id", "left_anti").agg(F.count("*").alias("n"))
+    """A file's nodes go with their edges on either side and the chunks of their embeddings; what is left, by kind."""
+    chunks = load(spark, sf_dir, "orders").filter("o_orderkey % 3 = 0").select(F.concat(F.lit("Order:"), "o_orderkey", F.lit(":0")).alias("chunk"))
+    n, e, c = versioned.delete_file(nodes(spark, sf_dir), edges(spark, sf_dir), chunks, "src/orders/f.ts")
+    count = lambda df, kind, name: df.groupBy(F.lit(kind).alias("kind"), name.alias("name")).agg(F.count("*").alias("n"))
+    return count(n, "node", F.col("label")).unionByName(count(e, "edge", F.col("type"))).unionByName(c.agg(F.lit("embedding").alias("kind"), F.lit("chunks").alias("name"), F.count("*").alias("n")))
 
 
 @query("SELECT '| ' || s_suppkey || ' | ' || s_name || ' |' AS line FROM supplier")
@@ -230,9 +296,13 @@ def TL42_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return u.select("user_id", (F.coalesce(ladder[role], F.lit(4)) >= 3).alias("allowed"))
 
 
-@query("SELECT event_id, sha256(event_id || ':' || event_type || ':' || user_id) AS id FROM events WHERE event_type = 'error'")
-def TL44_audit_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", F.sha2(F.concat_ws(":", "event_id", "event_type", "user_id"), 256).alias("id"))
+@query("""SELECT event_id, 'sha256:' || sha256('{"action":"' || event_type || '","actor":"u' || user_id || '","schemaVersion":1,"target":"' || event_id || '","type":"audit-event"}') AS id, event_id % 7 <> 0 AS valid FROM events WHERE event_type = 'error'""")
+def TL44_audit_verify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of audit events, and whether a stored event, of which one in seven was changed after it was written, still has the id of its body."""
+    e = load(spark, sf_dir, "events").filter("event_type = 'error'").select("event_id", F.col("event_type").alias("action"), F.concat(F.lit("u"), "user_id").alias("actor"), F.col("event_id").cast("string").alias("target"))
+    written = versioned.audit_events(e, ["action", "actor", "target"])
+    stored = written.withColumn("actor", F.when(F.col("event_id") % 7 == 0, F.concat("actor", F.lit("x"))).otherwise(F.col("actor")))
+    return stored.select("event_id", "id", versioned.audit_valid(["action", "actor", "target"]).alias("valid"))
 
 
 @query("WITH c AS (SELECT user_id, event_id, sum(value) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS spent FROM events) SELECT user_id, min(event_id) AS stop FROM c WHERE spent > 1000 GROUP BY user_id")

@@ -39,18 +39,38 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sections(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, line, level, title, end_line): headings; a section ends before the next of its level or a higher one."""
+    """(key, line, level, title, end_line, parent): headings; a section ends before the next of its level or a higher one.
+
+    ``parent`` is the line of the nearest heading above it of a higher level, null for a file's top.
+    """
     rows = lines(docs, key, text)
     total = docs.select(key, F.size(F.split(text, "\n")).alias("total"))
-    heading = rows.filter(F.col("content").rlike(r"^#{1,6}\s+\S")).select(
-        key, "line", F.length(F.regexp_extract("content", r"^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("content", r"^#+\s+", "")).alias("title")
+    heading = rows.filter(F.col("content").rlike(r"^#{1,6}\s+.+$")).select(
+        key, "line", F.length(F.regexp_extract("content", r"^(#{1,6})\s", 1)).alias("level"), F.trim(F.regexp_extract("content", r"^#{1,6}\s+(.+)$", 1)).alias("title")
     )
-    w = Window.partitionBy(key).orderBy("line").rowsBetween(1, Window.unboundedFollowing)
-    after = F.collect_list(F.struct("line", "level")).over(w)
-    found = heading.withColumn("_after", after)
-    level = F.col("level")
-    ends = F.filter("_after", lambda x: x["level"] <= level)
-    return found.join(total, key).select(key, "line", "level", "title", F.coalesce(F.get(ends, F.lit(0))["line"] - 1, F.col("total")).alias("end_line"))
+    # running minima from the last line upwards, and maxima downwards, one for each level
+    below = Window.partitionBy(key).orderBy(F.desc("line")).rowsBetween(Window.unboundedPreceding, -1)
+    above = Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    ends = F.array(*(F.min(F.when(F.col("level") <= k, F.col("line"))).over(below) for k in range(1, 7)))
+    parents = F.array(F.lit(None).cast("int"), *(F.max(F.when(F.col("level") < k, F.col("line"))).over(above) for k in range(2, 7)))
+    found = heading.withColumns({"_end": F.get(ends, F.col("level") - 1), "_parent": F.get(parents, F.col("level") - 1)})
+    return found.join(total, key).select(key, "line", "level", "title", F.coalesce(F.col("_end") - 1, F.col("total")).alias("end_line"), F.col("_parent").alias("parent"))
+
+
+def local_links(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, target): the distinct paths that Markdown links name, without addresses, anchors and fragments, from the folder of ``key``."""
+    found = docs.select(key, F.explode(F.regexp_extract_all(text, F.lit(r"\[([^\]]*)\]\(([^)]+)\)"), F.lit(2))).alias("href"))
+    found = found.filter(~F.col("href").rlike(r"^(https?://|#|mailto:)")).withColumn("href", F.split_part("href", F.lit("#"), F.lit(1))).filter("href != ''")
+    folder = F.regexp_replace(F.col(key), r"[^/]*$", "")
+    return found.select(key, normal_path(F.concat(folder, "href")).alias("target")).distinct()
+
+
+def normal_path(path: Column) -> Column:
+    """A relative path without empty parts, . and ..; .. above the top stay."""
+    step = lambda acc, p: F.when((p == "") | (p == "."), acc).when(
+        (p == "..") & (F.size(acc) > 0) & (F.element_at(acc, -1) != ".."), F.slice(acc, 1, F.size(acc) - 1)
+    ).otherwise(F.concat(acc, F.array(p)))
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
 
 
 def hunks(diffs: DataFrame, key: str, text: str) -> DataFrame:
@@ -90,15 +110,45 @@ def rpcs(protos: DataFrame, key: str, text: str) -> DataFrame:
     return services.select(key, "service", F.explode(F.regexp_extract_all("block", F.lit(r"\brpc\s+(\w+)"), F.lit(1))).alias("method"))
 
 
+# The calls of two query builders.
+PRISMA = r"\bprisma\.(\w+)\.(findMany|findFirst|findUnique|findUniqueOrThrow|findFirstOrThrow|create|createMany|update|updateMany|delete|deleteMany|upsert|count|aggregate|groupBy)\s*\("
+SUPABASE = r"\bsupabase\.from\s*\(\s*['\"](\w+)['\"]\s*\)\s*\.(select|insert|update|delete|upsert)\s*\("
+
+
 def orm_calls(files: DataFrame, key: str, text: str) -> DataFrame:
     """(key, orm, model, method) of query-builder calls."""
-    pattern = r"\bprisma\.(\w+)\.(find\w*|create\w*|update\w*|delete\w*|upsert|count|aggregate|groupBy)\b"
-    prisma = files.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("c"))
-    prisma = prisma.select(key, F.lit("prisma").alias("orm"), F.regexp_extract("c", pattern, 1).alias("model"), F.regexp_extract("c", pattern, 2).alias("method"))
-    pattern = r"\bsupabase\s*\.from\(\s*['\"](\w+)['\"]\s*\)\s*\.(select|insert|update|delete|upsert)\b"
-    base = files.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("c"))
-    base = base.select(key, F.lit("supabase").alias("orm"), F.regexp_extract("c", pattern, 1).alias("model"), F.regexp_extract("c", pattern, 2).alias("method"))
-    return prisma.unionByName(base)
+    out = []
+    for orm, pattern in (("prisma", PRISMA), ("supabase", SUPABASE)):
+        calls = files.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("c"))
+        out.append(calls.select(key, F.lit(orm).alias("orm"), F.regexp_extract("c", pattern, 1).alias("model"), F.regexp_extract("c", pattern, 2).alias("method")))
+    return out[0].unionByName(out[1])
+
+
+# Members of a response variable that are no keys of a response.
+NO_KEYS = (
+    "json text blob arrayBuffer formData ok status headers clone then catch finally map filter forEach reduce find some every push pop shift unshift splice slice "
+    "concat join sort reverse includes indexOf length toString valueOf keys values entries appendChild removeChild insertBefore replaceChild replaceChildren "
+    "createElement getElementById querySelector querySelectorAll setAttribute getAttribute removeAttribute hasAttribute addEventListener removeEventListener "
+    "dispatchEvent classList className parentNode parentElement childNodes children nextSibling previousSibling firstChild lastChild click focus blur submit reset "
+    "innerHTML outerHTML textContent innerText"
+).split()
+FROM_CALL = r"(?:const|let|var)\s+\{([^}]+)\}\s*=\s*(?:await\s+)?(?:\w+\.json\s*\(\)|(?:await\s+)?(?:fetch|axios|got)\s*\([^)]*\)(?:\.then\s*\([^)]*\))?(?:\.json\s*\(\))?)"
+FROM_NAME = r"(?:const|let|var)\s+\{([^}]+)\}\s*=\s*(?:data|result|response|json|body|res)\b"
+MEMBER = r"\b(?:data|response|result|json|body|res)\s*(?:\?\.|\.)(\w+)"
+
+
+def accessed_keys(text: Column) -> Column:
+    """The distinct keys of a response that a text takes apart or reads, in the order of the three patterns."""
+    bodies = F.concat(F.regexp_extract_all(text, F.lit(FROM_CALL), F.lit(1)), F.regexp_extract_all(text, F.lit(FROM_NAME), F.lit(1)))
+    taken = F.flatten(F.transform(bodies, lambda b: F.regexp_extract_all(b, F.lit(r"(\w+)\s*(?::\s*\w+)?"), F.lit(1))))
+    members = F.filter(F.regexp_extract_all(text, F.lit(MEMBER), F.lit(1)), lambda k: ~k.isin(*NO_KEYS))
+    return F.array_distinct(F.concat(taken, members))
+
+
+def fetch_calls(files: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, url) of the literal arguments of fetch, axios and got calls."""
+    pattern = r"\b(?:fetch|got|axios(?:\.(?:get|post|put|patch|delete))?)\s*\(\s*['\"`]([^'\"`]+)['\"`]"
+    return files.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(1))).alias("url"))
 
 
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:

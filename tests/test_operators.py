@@ -51,6 +51,31 @@ def test_skyline_brute_force(spark):
     assert {r["id"] for r in stats.skyline(df, ["a"], ["b", "c"], groups=3).collect()} == want
 
 
+def test_skyline_of_two_brute_force(spark):
+    random.seed(3)
+    points = [(k, random.randint(0, 30), float(random.randint(0, 40))) for k in range(400)]
+    df = spark.createDataFrame(points, "id long, a long, b double").repartition(5)
+    worse = lambda p, q: q[1] >= p[1] and q[2] <= p[2] and q[1:] != p[1:]
+    want = {p[0] for p in points if not any(worse(p, q) for q in points)}
+    assert {r["id"] for r in stats.skyline(df, ["a"], ["b"]).collect()} == want
+
+
+def test_nearest_rank_with_ties(spark):
+    df = spark.createDataFrame([("a", v) for v in (5, 1, 1, 1, 9)] + [("b", 7)], "g string, v long")
+    got = {r["g"]: (r["p0"], r["p50"], r["p95"], r["p100"]) for r in stats.nearest_rank(df, "g", "v", [0, 0.5, 0.95, 1]).collect()}
+    assert got == {"a": (1, 1, 9, 9), "b": (7, 7, 7, 7)}
+
+
+def test_traces_stop_with_enough_paths(spark):
+    """The same rows as of all paths, an entry with enough short ones being left alone."""
+    e = edges(spark, [(f"n{i}", f"n{j}") for i in range(6) for j in range(6) if i != j] + [("n0", "leaf"), ("n1", "leaf")])
+    seeds = spark.createDataFrame([("n0",), ("n5",)], "id string")
+    every = [r for r in traverse.traces(e, seeds, branching=9, depth=5, most=10_000).collect()]
+    few = traverse.traces(e, seeds, branching=9, depth=5, most=12).collect()
+    want = {entry: sorted((tuple(r["path"]) for r in every if r["entry"] == entry), key=lambda p: (len(p), p))[:12] for entry in ("n0", "n5")}
+    assert {entry: sorted((tuple(r["path"]) for r in few if r["entry"] == entry), key=lambda p: (len(p), p)) for entry in want} == want
+
+
 def test_three_way_merge_outcomes(spark):
     def version(**rows):
         return spark.createDataFrame(list(rows.items()), "id string, v string")
@@ -66,7 +91,9 @@ def test_three_way_merge_outcomes(spark):
 
 def test_extractors(spark):
     md = spark.createDataFrame([(1, "# A\nx\n## B\ny\n# C\nz")], "k long, t string")
-    assert [tuple(r)[1:] for r in extract.sections(md, "k", "t").orderBy("line").collect()] == [(1, 1, "A", 4), (3, 2, "B", 4), (5, 1, "C", 6)]
+    assert [tuple(r)[1:] for r in extract.sections(md, "k", "t").orderBy("line").collect()] == [(1, 1, "A", 4, None), (3, 2, "B", 4, 1), (5, 1, "C", 6, None)]
+    links = spark.createDataFrame([("docs/a/x.md", "[t](../b.md#s) [u](http://x) [v](#a) [w](./c.md) [w](c.md)")], "k string, t string")
+    assert {r["target"] for r in extract.local_links(links, "k", "t").collect()} == {"docs/b.md", "docs/a/c.md"}
     diff = "--- a/f.py\n+++ b/f.py\n@@ -1,2 +3,4 @@ x\n@@ -9 +12 @@\n@@ -5,2 +7,0 @@\n+++ b/g.py\n@@ -1 +1,2 @@"
     got = extract.hunks(spark.createDataFrame([(1, diff)], "k long, t string"), "k", "t").collect()
     assert {tuple(r)[1:] for r in got} == {("f.py", 3, 6), ("f.py", 12, 12), ("g.py", 1, 2)}
@@ -76,7 +103,7 @@ def test_extractors(spark):
     proto = "// service No { rpc x }\nservice S { rpc Get(A) returns (B) { option x = 1; } rpc Put(A) returns (B); }"
     got = extract.rpcs(spark.createDataFrame([(1, proto)], "k long, t string"), "k", "t").collect()
     assert [tuple(r)[1:] for r in got] == [("S", "Get"), ("S", "Put")]
-    code = "await prisma.user.findMany({}); supabase.from('jobs').select('*')"
+    code = "await prisma.user.findMany({}); supabase.from('jobs').select('*'); prisma.user.findRaw({}); prisma.user.count"
     got = extract.orm_calls(spark.createDataFrame([(1, code)], "k long, t string"), "k", "t").collect()
     assert {tuple(r)[1:] for r in got} == {("prisma", "user", "findMany"), ("supabase", "jobs", "select")}
     paths = spark.createDataFrame([("node_modules/x.js",), ("src/a.min.js",), ("src/a.ts",), ("x.d.ts",)], "p string")
@@ -85,7 +112,13 @@ def test_extractors(spark):
 
 def test_routes_and_contracts(spark):
     df = spark.createDataFrame([("app/api/users/[id]/route.ts",), ("src/app/(shop)/page.tsx",), ("pages/blog/index.tsx",), ("lib/x.ts",)], "p string")
-    assert [r[0] for r in df.select(tf.route_of_file(F.col("p"))).collect()] == ["/api/users/[id]", "/", "/blog", None]
+    assert [r[0] for r in df.select(tf.route_of_file(F.col("p"))).collect()] == ["/api/users/[id]", None, None, None]
+    screens = {"app/(tabs)/index.tsx": "/", "app/users/index.ts": "/users", "app/users/[id].tsx": "/users/[id]", "app/_layout.tsx": None, "app/+html.tsx": None, "app/users+api.ts": "/users", "app/x.d.ts": None, "lib/x.ts": None}
+    df = spark.createDataFrame([(p,) for p in screens], "p string")
+    assert {r["p"]: r["r"] for r in df.select("p", tf.route_of_screen(F.col("p")).alias("r")).collect()} == screens
+    php = {"api/upload.php": "/api/upload", "api/db_helper.php": None, "api/contest.php": "/api/contest", "api/_x.php": None, "src/api/x.php": None}
+    df = spark.createDataFrame([(p,) for p in php], "p string")
+    assert {r["p"]: r["r"] for r in df.select("p", tf.route_of_php(F.col("p")).alias("r")).collect()} == php
     ids = spark.createDataFrame([("http::get::/Users/",), ("GRPC::Svc/Get",)], "c string")
     assert [r[0] for r in ids.select(tf.contract_id(F.col("c"))).collect()] == ["http::GET::/users", "grpc::svc/get"]
 

@@ -1,6 +1,7 @@
 """Every registered query of the engine against its SQL, on the smallest tables."""
 
 import math
+from decimal import Decimal
 
 import duckdb
 import pytest
@@ -22,8 +23,13 @@ def duck():
 
 def rows(columns, data):
     order = sorted(range(len(columns)), key=lambda k: columns[k])
-    cell = lambda v: "null" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.6g}" if isinstance(v, float) else str(v)
-    return sorted(tuple(cell(float(r[k])) if isinstance(r[k], (int, float)) and not isinstance(r[k], bool) else cell(r[k]) for k in order) for r in data)
+
+    def cell(v):
+        if isinstance(v, (int, float, Decimal)) and not isinstance(v, bool):
+            v = float(v)
+        return "null" if v is None or (isinstance(v, float) and math.isnan(v)) else f"{v:.6g}" if isinstance(v, float) else str(v)
+
+    return sorted(tuple(cell(r[k]) for k in order) for r in data)
 
 
 @pytest.mark.parametrize("name", sorted(catalogue.oracle_sql()))
