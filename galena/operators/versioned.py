@@ -76,3 +76,18 @@ def audit_events(events: DataFrame, columns: list[str]) -> DataFrame:
 def audit_valid(columns: list[str]) -> Column:
     """Whether an event's id is that of its body."""
     return F.col("id") == audit_id(columns)
+
+
+def normal_row(columns: list[str]) -> Column:
+    """A row as canonical JSON: columns with a leading underscore and nulls left out, the others by name."""
+    return F.to_json(F.struct(*sorted(c for c in columns if not c.startswith("_"))))
+
+
+def replace_layers(rows: DataFrame, new: DataFrame, by: str, layers: list[str]) -> DataFrame:
+    """``rows`` with those whose ``by`` is one of ``layers`` in favour of ``new``."""
+    return rows.filter(~F.col(by).isin(*layers)).unionByName(new)
+
+
+def materialize_snapshot(manifest: DataFrame, objects: DataFrame) -> DataFrame:
+    """The objects that a manifest (id, address) names, once each, in the order of the ids."""
+    return manifest.join(objects.drop("id").dropDuplicates(["address"]), "address").orderBy("id")

@@ -154,3 +154,30 @@ def fetch_calls(files: DataFrame, key: str, text: str) -> DataFrame:
 def links(pages: DataFrame, key: str, html: str) -> DataFrame:
     """(key, href) of a page's anchors."""
     return pages.select(key, F.explode(F.regexp_extract_all(F.coalesce(html, F.lit("")), F.lit(r"""<a\s[^>]*href="([^"]*)\""""), F.lit(1))).alias("href"))
+
+
+def component_script(text: Column) -> Column:
+    """The script of a single-file component, that of ``script setup`` first; null without one."""
+    setup = F.regexp_extract(text, r"(?is)<script\b[^>]*\bsetup\b[^>]*>(.*?)</script>", 1)
+    plain = F.regexp_extract(text, r"(?is)<script\b[^>]*>(.*?)</script>", 1)
+    body = F.trim(F.when(setup != "", setup).otherwise(plain), F.lit("\n "))
+    return F.when(body != "", body)
+
+
+def components_used(text: Column) -> Column:
+    """The distinct components of a template: tags in Pascal case, and hyphenated ones as such."""
+    template = F.regexp_extract(text, r"(?is)<template[^>]*>(.*)</template>", 1)
+    tags = F.regexp_extract_all(template, F.lit(r"<([A-Z][A-Za-z0-9]*|[a-z][a-z0-9]*(?:-[a-z0-9]+)+)"), F.lit(1))
+    return F.array_distinct(F.transform(tags, lambda t: F.when(t.contains("-"), F.replace(F.initcap(F.replace(t, F.lit("-"), F.lit(" "))), F.lit(" "), F.lit(""))).otherwise(t)))
+
+
+def reason_keys(reason: Column) -> Column:
+    """The keys that an edge's reason names (``|keys:a,b``); an empty list without them."""
+    keys = F.regexp_extract(reason, r"\|keys:([^|]+)", 1)
+    return F.filter(F.split(keys, ","), lambda k: k != "")
+
+
+def reason_fetches(reason: Column) -> Column:
+    """How many fetches an edge's reason stands for (``|fetches:n``); 1 without it."""
+    n = F.regexp_extract(reason, r"\|fetches:(\d+)", 1)
+    return F.when(n == "", F.lit(1)).otherwise(F.concat(F.lit("0"), n).cast("int"))

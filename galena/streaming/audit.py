@@ -23,5 +23,6 @@ def once(events: DataFrame, late: str = "2 days") -> DataFrame:
 def follow(spark: SparkSession, source: str, sink: str, state: str) -> StreamingQuery:
     """Append what is new under ``source`` to day partitions of ``sink``; runs until everything there is read."""
     schema = spark.read.parquet(source).schema
-    rows = once(spark.readStream.schema(schema).parquet(source)).withColumn("day", F.to_date("ts"))
+    events = spark.readStream.schema(schema).parquet(source).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = once(events).withColumn("day", F.to_date("ts"))
     return rows.writeStream.format("parquet").partitionBy("day").option("path", sink).option("checkpointLocation", state).outputMode("append").trigger(availableNow=True).start()
