@@ -76,6 +76,13 @@ def risk(direct: Column, processes: Column, modules: Column, total: Column) -> C
     )
 
 
+def merged_risk(own: Column, crossings: Column, best: Column) -> Column:
+    """A risk with the links to other repositories: three or more are critical, one of high confidence is high, any lifts a low one."""
+    return (
+        F.when((own == "CRITICAL") | (crossings >= 3), "CRITICAL").when((crossings > 0) & (best >= 0.85), "HIGH").when((crossings > 0) & (own == "LOW"), "MEDIUM").otherwise(own)
+    )
+
+
 def traces(edges: DataFrame, entries: DataFrame, branching: int = 4, depth: int = 10, least: int = 3, most: int = 12) -> DataFrame:
     """(entry, path): call paths from ``entries`` (id) that end at a leaf, at ``depth``, or where all callees repeat.
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from galena import registry
-from galena.plans import graph, imports, more, relational, stores, text, tools  # noqa: F401  they register themselves
+from galena.plans import graph, imports, more, relational, stores, text, tools, views  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -181,3 +181,21 @@ def reason_fetches(reason: Column) -> Column:
     """How many fetches an edge's reason stands for (``|fetches:n``); 1 without it."""
     n = F.regexp_extract(reason, r"\|fetches:(\d+)", 1)
     return F.when(n == "", F.lit(1)).otherwise(F.concat(F.lit("0"), n).cast("int"))
+
+
+def matcher_fits(matcher: Column, route: Column) -> Column:
+    """Whether a middleware's matcher fits a route: a prefix of whole segments (``:path*``), a pattern (with groups), or the route itself."""
+    prefix = F.regexp_replace(matcher, r"/:path\*$", "")
+    return F.when(prefix != matcher, (route == prefix) | F.startswith(route, F.concat(prefix, F.lit("/")))).when(
+        matcher.contains("("), F.call_function("rlike", route, F.concat(F.lit("^"), matcher, F.lit("$")))
+    ).otherwise(route == matcher)
+
+
+def route_fits(url: Column, route: Column) -> Column:
+    """Whether a URL fits a route, segment by segment; one in brackets fits any on either side, a last ``[...x]`` fits the rest."""
+    segments = lambda c: F.filter(F.split(c, "/"), lambda s: s != "")
+    u, r = segments(url), segments(route)
+    rest = F.element_at(r, -1).rlike(r"^\[\[?\.\.\.")
+    n = F.when(rest, F.size(r) - 1).otherwise(F.size(r))
+    pairs = F.zip_with(F.slice(u, F.lit(1), n), F.slice(r, F.lit(1), n), lambda a, b: a.startswith("[") | b.startswith("[") | (a == b))
+    return F.when(rest, F.size(u) >= n).otherwise(F.size(u) == n) & F.forall(pairs, lambda x: F.coalesce(x, F.lit(False)))
