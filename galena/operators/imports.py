@@ -173,17 +173,34 @@ def namespace(requests: DataFrame, roots: list[tuple[str, str]], files: DataFram
 
 
 def psr4(requests: DataFrame, prefixes: list[tuple[str, str]], files: DataFrame) -> DataFrame:
-    """Names below prefixes (prefix, folder), longer ones first: the class's file, else the first file of its namespace's folder; then the longest suffix."""
-    name = F.replace("name", F.lit("\\"), F.lit("/"))
-    rows, found = requests.select("key", name.alias("n")).filter(~F.col("n").contains("..")), []
+    """Names below prefixes (prefix, folder), longer ones first: the class's file, else the first file of its namespace's folder; then the longest suffix.
+
+    Each distinct name is resolved once, by one join of its candidates in their order with one index of the files.
+    """
+    n, parts = F.col("n"), F.col("p")
+    probe = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
+    tried = []
     for prefix, folder in sorted(prefixes, key=lambda p: -len(p[0])):
         top = prefix.replace("\\", "/")
-        own = rows.filter((F.col("n") == top) | F.col("n").startswith(f"{top}/")).select("key", F.expr(f"substring(n, {len(top) + 2})").alias("rest"))
-        found.append(first_of(own, F.array(F.concat(F.lit(folder), F.when(F.col("rest") != "", F.concat(F.lit("/"), "rest")).otherwise(""), F.lit(".php"))), files))
-        inner = F.regexp_extract("rest", r"^(.*)/[^/]*$", 1)
-        place = own.select("key", F.concat(F.lit(folder), F.when(inner != "", F.concat(F.lit("/"), inner)).otherwise("")).alias("folder"))
-        found.append(place.join(folder_files(files).filter("ending = '.php'"), "folder").groupBy("key").agg(F.min("path").alias("file")))
-    return chain(requests, *found, by_suffix(rows, F.filter(F.split("n", "/"), lambda x: x != ""), files))
+        below = lambda rest: F.concat(F.lit(folder), F.when(rest != "", F.concat(F.lit("/"), rest)).otherwise(""))  # noqa: B023, E731
+        rest = F.expr(f"substring(n, {len(top) + 2})")
+        own = (n == top) | n.startswith(f"{top}/")
+        tried += [probe("path", F.when(own, F.concat(below(rest), F.lit(".php")))), probe("folder", F.when(own, below(F.regexp_extract(rest, r"^(.*)/[^/]*$", 1))))]
+    tails = F.transform(parts, lambda _, k: F.array_join(F.slice(parts, k + 1, F.size(parts)), "/"))
+    named = F.flatten(F.transform(tails, lambda s: F.transform(F.array(*map(F.lit, ENDINGS)), lambda e: F.concat(s, e))))
+    last = F.flatten(F.transform(named, lambda s: F.array(probe("suffix", s), probe("lower", F.lower(s)))))
+    rows = requests.select("name").filter(~F.col("name").contains("..")).distinct().select("name", F.replace("name", F.lit("\\"), F.lit("/")).alias("n"))
+    rows = rows.select("name", "n", F.filter(F.split("n", "/"), lambda x: x != "").alias("p"))
+    rows = rows.select("name", F.posexplode(F.concat(F.array(*tried), last)).alias("rank", "probe")).select("name", "rank", "probe.*")
+
+    path = F.split("path", "/")
+    ends = lambda of, most: F.transform(F.sequence(F.lit(1), most), lambda k: F.array_join(F.slice(of, k, F.size(of)), "/"))
+    above = F.when((F.size(path) > 1) & F.col("path").endswith(".php"), ends(folder_parts(F.col("path")), F.greatest(F.lit(1), F.size(path) - 1))).otherwise(F.array().cast("array<string>"))
+    every = ends(path, F.size(path))
+    kinds = [F.array(probe("path", F.col("path"))), F.transform(above, lambda s: probe("folder", s)), F.transform(every, lambda s: probe("suffix", s)), F.transform(every, lambda s: probe("lower", F.lower(s)))]
+    index = files.select("path", F.explode(F.concat(*kinds)).alias("probe")).groupBy("probe.kind", "probe.text").agg(F.min("path").alias("file"))
+    found = rows.join(index, ["kind", "text"]).groupBy("name").agg(F.min_by("file", "rank").alias("file"))
+    return requests.select("key", "name").join(found, "name", "left").select("key", "file")
 
 
 def narrow(candidates: DataFrame, call: str, arity: Column, fits: Column, certain: Column) -> DataFrame:
