@@ -17,6 +17,8 @@ ENDINGS = (
     "", ".tsx", ".ts", ".jsx", ".js", ".vue", "/index.tsx", "/index.ts", "/index.jsx", "/index.js", ".py", "/__init__.py", ".java", ".kt", ".kts",
     ".c", ".h", ".cpp", ".hpp", ".cc", ".cxx", ".hxx", ".hh", ".cs", ".go", ".rs", "/mod.rs", ".php", ".phtml", ".swift", ".rb",
 )
+#: Over how many tasks the requests of one folder are dealt.
+SHARES = 16
 
 
 def folder_parts(current: Column) -> Column:
@@ -141,10 +143,23 @@ def folder_files(files: DataFrame) -> DataFrame:
     return files.filter(F.size(parts) > 0).select("path", F.regexp_extract("path", r"(\.[^./]*)$", 1).alias("ending"), F.explode(every).alias("folder"))
 
 
+def in_folders(own: DataFrame, files: DataFrame) -> DataFrame:
+    """(key, path) of requests (key, folder): the files of each folder.
+
+    Pairs are many times the requests: a folder's requests are dealt over ``SHARES`` tasks, which
+    adaptive plans must not join into few, and each task's pairs lie folder by folder, a request's
+    files always in the same order, so that a written table holds them as few bytes.
+    """
+    n = max(SHARES, int(own.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = own.select("key", "folder", F.pmod(F.hash("key"), F.lit(SHARES)).alias("share")).repartition(n, "folder", "share")
+    each = files.select("folder", "path", F.explode(F.sequence(F.lit(0), F.lit(SHARES - 1))).alias("share"))
+    return dealt.join(each.hint("merge"), ["folder", "share"]).select("key", "path")
+
+
 def go_package(requests: DataFrame, module: str, files: DataFrame) -> DataFrame:
     """(key, path): the files, tests left out, directly in the package folder of names below the module."""
     own = requests.filter(F.col("name").startswith(f"{module}/")).select("key", F.expr(f"substring(name, {len(module) + 2})").alias("folder")).filter("folder != ''")
-    return own.join(folder_files(files).filter("ending = '.go' and path not like '%\\\\_test.go'"), "folder").select("key", "path")
+    return in_folders(own, folder_files(files).filter("ending = '.go' and path not like '%\\\\_test.go'"))
 
 
 def jvm_package(requests: DataFrame, kinds: list[str], files: DataFrame) -> DataFrame:

@@ -47,3 +47,23 @@ def test_php_classes_join_twice(spark):
     requests, files = spark.createDataFrame([(1, "x.php", "App\\A")], REQUEST), spark.createDataFrame([("app/A.php",)], "path string")
     plan = im.psr4(requests, [("App", "app"), ("Lib", "lib"), ("Test", "tests")], files)._jdf.queryExecution().optimizedPlan().toString()
     assert len(re.findall(r"\bJoin \w", plan)) == 2
+
+
+def check_pairs(spark, pairs, want):
+    """Right pairs; each task's lie folder by folder, and a single folder's requests are dealt over several tasks."""
+    from pyspark.sql import functions as F
+
+    got = pairs.select("key", "path", F.spark_partition_id().alias("task"), F.monotonically_increasing_id().alias("place")).collect()
+    assert sorted((r["key"], r["path"]) for r in got) == sorted(want)
+    got.sort(key=lambda r: r["place"])
+    runs = [(r["task"], r["path"].rpartition("/")[0]) for r in got]
+    runs = [x for x, before in zip(runs, [None, *runs]) if x != before]
+    assert len(runs) == len(set(runs))
+    assert len({r["task"] for r in got if r["path"].startswith(got[0]["path"].rpartition("/")[0] + "/")}) >= 4
+
+
+def test_go_packages_by_folder(spark):
+    files = [f"internal/g{k}/s{j}{end}" for k in range(5) for j in range(7) for end in (".go", "_test.go", ".md")] + ["internal/g1/deep/s1.go", "g2/other.go"]
+    requests = [(k, "main.go", f"example.com/app/internal/g{k % 6}" if k % 4 else "other.org/g1") for k in range(400)]
+    want = [(k, f"internal/g{k % 6}/s{j}.go") for k, _, name in requests if name.startswith("example.com/") and k % 6 < 5 for j in range(7)]
+    check_pairs(spark, im.go_package(spark.createDataFrame(requests, REQUEST).repartition(1), "example.com/app", spark.createDataFrame([(f,) for f in files], "path string")), want)
