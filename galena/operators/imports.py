@@ -165,7 +165,7 @@ def go_package(requests: DataFrame, module: str, files: DataFrame) -> DataFrame:
 def jvm_package(requests: DataFrame, kinds: list[str], files: DataFrame) -> DataFrame:
     """(key, path): the files directly in the package folder of names that end with .*"""
     own = requests.filter(F.col("name").endswith(".*")).select("key", F.replace(F.expr("substring(name, 1, length(name) - 2)"), F.lit("."), F.lit("/")).alias("folder"))
-    return own.join(folder_files(files).filter(F.col("ending").isin(*kinds)), "folder").select("key", "path")
+    return in_folders(own, folder_files(files).filter(F.col("ending").isin(*kinds)))
 
 
 def namespace(requests: DataFrame, roots: list[tuple[str, str]], files: DataFrame) -> DataFrame:

@@ -67,3 +67,10 @@ def test_go_packages_by_folder(spark):
     requests = [(k, "main.go", f"example.com/app/internal/g{k % 6}" if k % 4 else "other.org/g1") for k in range(400)]
     want = [(k, f"internal/g{k % 6}/s{j}.go") for k, _, name in requests if name.startswith("example.com/") and k % 6 < 5 for j in range(7)]
     check_pairs(spark, im.go_package(spark.createDataFrame(requests, REQUEST).repartition(1), "example.com/app", spark.createDataFrame([(f,) for f in files], "path string")), want)
+
+
+def test_jvm_packages_by_folder(spark):
+    files = [f"java/com/j{k}/K{j}{end}" for k in range(5) for j in range(7) for end in (".java", ".kt", ".md")] + ["java/com/j1/deep/K1.java"]
+    requests = [(k, "A.java", f"com.j{k % 6}" + (".*" if k % 4 else ".K")) for k in range(400)]
+    want = [(k, f"java/com/j{k % 6}/K{j}{end}") for k, _, name in requests if name.endswith(".*") and k % 6 < 5 for j in range(7) for end in (".java", ".kt")]
+    check_pairs(spark, im.jvm_package(spark.createDataFrame(requests, REQUEST).repartition(1), [".java", ".kt", ".kts"], spark.createDataFrame([(f,) for f in files], "path string")), want)
