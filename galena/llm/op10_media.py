@@ -17,6 +17,7 @@ the name of its result.
 from __future__ import annotations
 
 import hashlib
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -55,13 +56,14 @@ def load(media: bytes) -> tuple[int, int, np.ndarray]:
 
 def feature(rgb: np.ndarray) -> str:
     """Size, mean and deviation of each channel, mean step between neighbours, and a 64-bit average hash of the columns."""
-    x, n = rgb.astype(np.float64), len(rgb)
-    mean = x.sum(axis=0) / n
-    deviation = np.sqrt(np.maximum(0, (x * x).sum(axis=0) / n - mean * mean))
-    grey = x.sum(axis=1).reshape(-1, WIDTH).sum(axis=0)
+    n, x = len(rgb), rgb.astype(np.float64).ravel()
+    columns, squares = (v.reshape(-1, ROW).sum(axis=0).reshape(WIDTH, 3) for v in (x, x * x))
+    mean = [v / n for v in columns.sum(axis=0).tolist()]
+    deviation = [math.sqrt(max(0.0, v / n - m * m)) for v, m in zip(squares.sum(axis=0).tolist(), mean, strict=True)]
+    grey = columns.sum(axis=1)
     bits = np.packbits(grey > grey.sum() / WIDTH).tobytes().hex()
-    step = float(np.abs(np.diff(rgb.ravel().astype(np.int16))).sum()) / (3 * n - 1)
-    return f"{WIDTH}x{n // WIDTH};" + ",".join(f"{v:.3f}" for v in (*mean, *deviation, step)) + f";{bits}"
+    step = float(np.abs(x[1:] - x[:-1]).sum()) / (3 * n - 1)
+    return f"{WIDTH}x{n // WIDTH};" + ",".join([f"{v:.3f}" for v in (*mean, *deviation, step)]) + f";{bits}"
 
 
 def encode(docs: DataFrame) -> DataFrame:

@@ -2,8 +2,9 @@
 
 The reader handles prefix codes (simple and normal), meta prefix codes,
 back-references, the colour cache, and the four transforms. Where a picture has
-one group of codes, the symbols at all bit positions of a stretch are looked up at
-once and then followed; otherwise pixels are read one by one. The writer predicts,
+one group of codes, what follows each bit position of a stretch is looked up at
+once and then followed, and all copies and cache hits are traced to the pixels that
+they repeat; otherwise pixels are read one by one. The writer predicts,
 decorrelates, or lists the colours of a picture where that costs less, and codes it
 as literals, back-references and colour cache hits. Pixels are uint32 ARGB in
 scan-line order.
@@ -11,10 +12,12 @@ scan-line order.
 
 from __future__ import annotations
 
-import heapq
 import math
 import struct
+from array import array
+from collections.abc import Iterable
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -95,22 +98,31 @@ def canonical(lengths: dict[int, int]) -> dict[int, tuple[int, int]]:
     return {s: (c, n) for s, c, n in zip(*(x.tolist() for x in found), strict=True)}
 
 
+#: A symbol and its length in one number: the length is above these bits.
+SYMBOL_BITS = 16
+
+
+@lru_cache(maxsize=16)
+def _places(bits: int) -> np.ndarray:
+    """By the next ``bits`` bits, the place in a table of codes in their order."""
+    return (_mirrored()[: 1 << bits] >> (DEEPEST - bits)).astype(np.int64)
+
+
 class PrefixCode:
-    """A lookup table: ``symbols`` and ``lengths`` by the next ``bits`` bits; from rising symbols with lengths above 0."""
+    """A lookup table: ``symbols`` and ``lengths`` by the next ``bits`` bits; from numbers ``length << SYMBOL_BITS | symbol``, lengths above 0."""
 
-    def __init__(self, used: list[int], sizes: list[int]):
-        if len(used) < 2:
-            self.bits, self.symbols, self.lengths = 0, np.array(used or [0], np.int32), np.zeros(1, np.int32)
+    def __init__(self, entries: list[int]):
+        if len(entries) < 2:
+            self.bits, self.symbols, self.lengths = 0, np.array([entries[0] & 0xFFFF if entries else 0], np.int64), np.zeros(1, np.int64)
             return
-        n = np.array(sizes, np.int32)
-        order = np.argsort(n, kind="stable")
-        n = n[order]
-        self.bits = int(n[-1])
-        times = 1 << (self.bits - n)
+        entries = sorted(entries)  # shorter codes first
+        e = np.array(entries, np.int64)
+        self.bits = entries[-1] >> SYMBOL_BITS
+        times = 1 << (self.bits - (e >> SYMBOL_BITS))
         if int(times.sum()) != 1 << self.bits:
             raise CorruptError("an incomplete prefix code")
-        place = _mirrored()[: 1 << self.bits] >> (DEEPEST - self.bits)
-        self.symbols, self.lengths = np.repeat(np.array(used, np.int32)[order], times)[place], np.repeat(n, times)[place]
+        e = e.repeat(times).take(_places(self.bits))
+        self.symbols, self.lengths = e & 0xFFFF, e >> SYMBOL_BITS
 
     def read(self, r: BitReader) -> int:
         k = r.peek(self.bits)
@@ -120,10 +132,15 @@ class PrefixCode:
         return int(self.symbols[k])
 
 
+@lru_cache(maxsize=256)
+def _single_code(symbol: int) -> PrefixCode:
+    """The code of one symbol, which takes no bits."""
+    return PrefixCode([1 << SYMBOL_BITS | symbol])
+
+
 @lru_cache(maxsize=256)
 def _token_code(lengths: tuple[int, ...]) -> tuple[int, list[int], list[int]]:
-    used = sorted((s, n) for s, n in zip(LENGTH_ORDER, lengths, strict=False) if n)
-    code = PrefixCode([s for s, _ in used], [n for _, n in used])
+    code = PrefixCode([n << SYMBOL_BITS | s for s, n in zip(LENGTH_ORDER, lengths, strict=False) if n])
     return code.bits, code.symbols.tolist(), code.lengths.tolist()
 
 
@@ -131,14 +148,13 @@ def read_code(r: BitReader, alphabet: int) -> PrefixCode:
     if r.read(1):
         two, wide = r.read(1), r.read(1)
         symbols = [r.read(8 if wide else 1)] + ([r.read(8)] if two else [])
-        symbols = sorted(set(symbols))
-        return PrefixCode(symbols, [1] * len(symbols))
+        return PrefixCode([1 << SYMBOL_BITS | s for s in set(symbols)]) if two else _single_code(symbols[0])
     count = 4 + r.read(4)
     packed = int.from_bytes(r.padded[r.at >> 3 : (r.at >> 3) + 9], "little") >> (r.at & 7)
     r.at += 3 * count
     bits, symbols, sizes = _token_code(tuple((packed >> 3 * k) & 7 for k in range(count)))
     left = 2 + r.read(2 + 2 * r.read(3)) if r.read(1) else alphabet
-    used_symbols, used_sizes, symbol, last, mask = [], [], 0, 8, (1 << bits) - 1
+    entries, symbol, last, mask = [], 0, 8, (1 << bits) - 1
     start = r.at >> 3
     # a number of few bytes at a time: shifts of it are cheap
     ahead, have, used = 0, -1, r.at & 7
@@ -153,8 +169,7 @@ def read_code(r: BitReader, alphabet: int) -> PrefixCode:
         if token < 16:
             if token:
                 last = token
-                used_symbols.append(symbol)
-                used_sizes.append(token)
+                entries.append(token << SYMBOL_BITS | symbol)
             symbol += 1
             continue
         value, base, extra = ((last, 3, 2), (0, 3, 3), (0, 11, 7))[token - 16]
@@ -163,13 +178,12 @@ def read_code(r: BitReader, alphabet: int) -> PrefixCode:
         if symbol + times > alphabet:
             raise CorruptError("code lengths beyond the alphabet")
         if value:
-            used_symbols += range(symbol, symbol + times)
-            used_sizes += [value] * times
+            entries += range(value << SYMBOL_BITS | symbol, (value << SYMBOL_BITS | symbol) + times)
         symbol += times
     r.at = 8 * start + used
     if r.at > r.end:
         raise CorruptError("the bit stream ends early")
-    return PrefixCode(used_symbols, used_sizes)
+    return PrefixCode(entries)
 
 
 def _long_value(prefix: int, r: BitReader) -> int:
@@ -195,8 +209,15 @@ def _read_group(r: BitReader, cache: int) -> list[PrefixCode]:
     return out
 
 
-#: Bytes of a stretch, and the most that one pixel's symbols can take.
-STRETCH, MOST_BYTES = 1 << 16, 20
+#: Bytes of a stretch, and the most that one pixel's symbols can take; a place beyond any stretch.
+STRETCH, MOST_BYTES, FAR = 1 << 11, 20, 1 << 40
+
+
+@lru_cache(maxsize=1)
+def _positions() -> tuple[np.ndarray, np.ndarray]:
+    """(bit positions of a stretch, each within its byte)."""
+    here = np.arange(8 * (STRETCH + MOST_BYTES + 16), dtype=np.int64)
+    return here, here & 7
 
 
 def _value(symbol: int, bits: int, p: int) -> tuple[int, int]:
@@ -207,101 +228,114 @@ def _value(symbol: int, bits: int, p: int) -> tuple[int, int]:
     return ((2 + (symbol & 1)) << extra) + (bits & ((1 << extra) - 1)) + 1, p + extra
 
 
-def _stretch(r: BitReader, group: list[PrefixCode], left: int) -> tuple[list[tuple[int, int, int]], np.ndarray, int]:
-    """(the other tokens: literals before, symbol, code), the literals, and the pixels still to come, of the next stretch of bits."""
+def _stretch(r: BitReader, group: list[PrefixCode], left: int) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int, int]], int]:
+    """(symbols of the tokens, their pixels where they are literals, the copies: token, length, distance code; and the pixels still to come) of the next stretch of bits."""
     green, distance = group[0], group[4]
     start = r.at >> 3
-    raw = np.frombuffer(r.data[start : start + STRETCH + MOST_BYTES] + bytes(8), np.uint8).astype(np.uint32)
-    words = raw[:-3] | raw[1:-2] << np.uint32(8) | raw[2:-1] << np.uint32(16) | raw[3:] << np.uint32(24)
-    ahead = (words[:, None] >> np.arange(8, dtype=np.uint32)).ravel()
-    here, known = np.arange(len(ahead), dtype=np.int32), {}
+    raw = r.data[start : start + STRETCH + MOST_BYTES] + bytes(16)
+    words = np.ndarray(len(raw) - 3, "<u4", raw, strides=(1,))  # the four bytes from each one on
+    n = 8 * len(words)
+    here, within = (x[:n] for x in _positions())
+    ahead = words.astype(np.int64).repeat(8) >> within
+    known: dict[int, np.ndarray] = {}
 
     def behind(c: PrefixCode) -> np.ndarray:
         """From each place, the place behind a symbol of the code; equal codes are one object."""
         if id(c) not in known:
-            known[id(c)] = here + c.lengths.take(ahead & np.uint32((1 << c.bits) - 1)) if c.bits else here
+            known[id(c)] = here + c.lengths.take(ahead & ((1 << c.bits) - 1))
         return known[id(c)]
 
-    def at(c: PrefixCode, places: np.ndarray) -> np.ndarray:
-        return c.symbols.take(ahead.take(places, mode="clip") & np.uint32((1 << c.bits) - 1)).astype(np.uint32)
-
-    past = behind(green)
+    rest = here
     for c in group[1:4]:
         if c.bits:
-            past = behind(c).take(past, mode="clip")
-    kind, jump, after, peek = (memoryview(x) for x in (green.symbols.take(ahead & np.uint32((1 << green.bits) - 1)), past, behind(green), ahead))
+            rest = behind(c) if rest is here else behind(c).take(rest, mode="clip")
+    # a literal goes on behind its other symbols, a cache hit at once, and a copy, which has more to read, leaves the stretch
+    mask, ends = (1 << green.bits) - 1, np.concatenate((rest, here, [FAR]))
+    skip = green.lengths + np.where(green.symbols < 256, 0, np.where(green.symbols < 280, 2 * n, n))
+    follow, peek = memoryview(ends.take(here + skip.take(ahead & mask), mode="clip")), memoryview(ahead)
     places: list[int] = []
-    others: list[tuple[int, int, int]] = []
+    copies: list[tuple[int, int, int]] = []
     add, p, limit = places.append, r.at - 8 * start, min(8 * STRETCH, r.end - 8 * start + 1)
     begun = left
     while left and p < limit:
-        symbol = kind[p]
-        if symbol < 256:
+        done = len(places)
+        for _ in repeat(None, left):
             add(p)
-            p = jump[p]
-            left -= 1
-        elif symbol >= 280:
-            others.append((len(places), symbol, 0))
-            p = after[p]
-            left -= 1
-        else:
-            p = after[p]
-            length, p = _value(symbol - 256, peek[p], p)
+            p = follow[p]
+            if p >= limit:
+                break
+        left -= len(places) - done
+        if p == FAR:
+            p = places[-1]
+            k = peek[p] & mask
+            p += int(green.lengths[k])
+            length, p = _value(int(green.symbols[k]) - 256, peek[p], p)
             k = peek[p] & ((1 << distance.bits) - 1)
-            code, p = _value(int(distance.symbols[k]), peek[p + int(distance.lengths[k])], p + int(distance.lengths[k]))
-            if length > left:
+            p += int(distance.lengths[k])
+            code, p = _value(int(distance.symbols[k]), peek[p], p)
+            left += 1 - length
+            if left < 0:
                 raise CorruptError("a back-reference out of the picture")
-            others.append((len(places), -length, code))
-            left -= length
+            copies.append((len(places) - 1, length, code))
     if r.end < 8 * start + p or (left == begun and left):
         raise CorruptError("the bit stream ends early")
     r.at = 8 * start + p
-    spots = np.array(places, np.int32)
-    pixels = at(green, spots) << np.uint32(8)
-    for c, shift in zip(group, (8, 16, 0, 24), strict=False):
-        if shift != 8:
-            pixels |= at(c, spots) << np.uint32(shift)
+    spots = np.frombuffer(array("q", places), np.int64)
+    at = ahead.take(spots) & mask
+    symbols = green.symbols.take(at)
+    spots = spots + green.lengths.take(at)
+    pixels = (symbols & 255) << 8
+    for c, shift in zip(group[1:4], (16, 0, 24), strict=True):
         if c.bits:
-            spots = behind(c).take(spots, mode="clip")
-    return others, pixels, left
+            at = ahead.take(spots, mode="clip") & ((1 << c.bits) - 1)
+            pixels |= c.symbols.take(at) << shift
+            spots += c.lengths.take(at)
+        else:
+            pixels |= int(c.symbols[0]) << shift
+    return symbols, pixels.astype(np.uint32), copies, left
 
 
-def _follow(r: BitReader, group: list[PrefixCode], cache_bits: int, width: int, total: int) -> np.ndarray:
-    """The pixels of a picture with one group of codes."""
-    out: list[int] = []
-    cache, left = [0] * (1 << cache_bits if cache_bits else 0), total
+def _follow(r: BitReader, group: list[PrefixCode], cache_bits: int, width: int, total: int) -> np.ndarray | None:
+    """The pixels of a picture with one group of codes; None if a slot of the colour cache is used before it is filled."""
+    parts, copies, left, n = [], [], total, 0
     while left:
-        others, literals, left = _stretch(r, group, left)
-        if not others and not out and not left:
-            return literals
-        plain, done, put = literals.tolist(), 0, out.append
-        slots = _cache_slots(literals, cache_bits).tolist() if cache_bits else []
-        for before, symbol, code in [*others, (len(plain), None, 0)]:
-            if not cache_bits:
-                out += plain[done:before]
-            else:
-                for k in range(done, before):
-                    colour = cache[slots[k]] = plain[k]
-                    put(colour)
-            done = before
-            if symbol is None:
-                break
-            if symbol >= 0:
-                if symbol - 280 >= len(cache):
-                    raise CorruptError("a colour cache index out of range")
-                colour = cache[symbol - 280]
-                cache[_slot(colour, cache_bits) if not colour else symbol - 280] = colour  # an unused slot holds 0
-                put(colour)
-                continue
+        *part, found, left = _stretch(r, group, left)
+        copies += [(n + k, length, code) for k, length, code in found] if n else found
+        n += len(part[0])
+        parts.append(part)
+    symbols, out = parts[0] if len(parts) == 1 else (np.concatenate(x) for x in zip(*parts, strict=True))
+    hit = symbols >= 280
+    hits = np.count_nonzero(hit)
+    if not hits and not copies:
+        return out
+    slots = np.where(hit, symbols - 280, _cache_slots(out, cache_bits)).astype(np.uint16) if hits else None
+    source = np.arange(total)  # where each pixel comes from
+    if copies:
+        span = np.ones(n, np.int64)
+        span[[token for token, _, _ in copies]] = [length for _, length, _ in copies]
+        first = memoryview(np.cumsum(span) - span)
+        for token, length, code in copies:
             x, y = NEAR[code - 1] if code <= 120 else (code - 120, 0)
-            back, length, n = max(1, x + y * width), -symbol, len(out)
-            if back > n:
+            back, begin = max(1, x + y * width), first[token]
+            if back > begin:
                 raise CorruptError("a back-reference out of the picture")
-            out += out[n - back : n - back + length] if back >= length else (out[-back:] * (length // back + 1))[:length]
-            if cache_bits:
-                for colour in out[max(n, len(out) - back) :]:  # what repeats itself leaves the cache as its last round does
-                    cache[_slot(colour, cache_bits)] = colour
-    return np.array(out, np.uint32)
+            source[begin : begin + length] = source[begin - back : begin - back + length] if back >= length else np.resize(source[begin - back : begin], length)
+        out = out.repeat(span)
+        if hits:  # a copy has the slot of what it copies
+            slots, hit = slots.repeat(span).take(source), hit.repeat(span)
+    if hits:
+        # a hit repeats the last pixel of its slot that is none
+        order = np.argsort(slots, kind="stable")
+        held = hit.take(order)
+        rows = held.nonzero()[0]
+        last = np.maximum.accumulate(np.where(held, -1, np.arange(total))).take(rows)
+        to, of = order.take(rows), order.take(last, mode="clip")
+        if int(last.min()) < 0 or (slots.take(to) != slots.take(of)).any():
+            return None
+        source[to] = of
+        while copies and not np.array_equal(further := source.take(source), source):
+            source = further
+    return out.take(source)
 
 
 def _slot(colour: int, bits: int) -> int:
@@ -309,7 +343,7 @@ def _slot(colour: int, bits: int) -> int:
 
 
 def _cache_slots(pixels: np.ndarray, bits: int) -> np.ndarray:
-    return ((pixels.astype(np.uint64) * np.uint64(CACHE_FACTOR) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - bits)).astype(np.int64)
+    return (pixels * np.uint32(CACHE_FACTOR) >> np.uint32(32 - bits)).astype(np.int64)
 
 
 def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
@@ -324,7 +358,10 @@ def read_image(r: BitReader, width: int, height: int, main: bool) -> np.ndarray:
     groups = [_read_group(r, len(cache)) for _ in range(max(which) + 1 if which else 1)]
     total = width * height
     if len(groups) == 1:
-        return _follow(r, groups[0], cache_bits, width, total)
+        begin = r.at
+        if (found := _follow(r, groups[0], cache_bits, width, total)) is not None:
+            return found
+        r.at = begin
     out: list[int] = []
 
     def emit(pixel: int) -> None:
@@ -507,22 +544,36 @@ def code_lengths(counts: dict[int, int], most: int = MOST_BITS) -> dict[int, int
 
 
 def _code_sizes(counts: list[int], most: int = MOST_BITS) -> list[int]:
-    mask = (1 << 12) - 1  # a count and a place in one number
+    n, mask = len(counts), (1 << 12) - 1  # a count and a place in one number
     while True:
-        heap = [c << 12 | k for k, c in enumerate(counts)]
-        heapq.heapify(heap)
-        n = len(counts)
-        above = [0] * (2 * n - 1)
+        leaves = sorted([c << 12 | k for k, c in enumerate(counts)])
+        # nodes come about by rising count: the least of all is the next leaf or the next node
+        nodes, above = [], [0] * (2 * n - 1)
+        leaf = node = 0
+        leaves.append(FAR << 12)
+        nodes.append(FAR << 12)
         for k in range(n, 2 * n - 1):
-            a = heapq.heappop(heap)
-            b = heap[0]
-            above[a & mask] = above[b & mask] = k
-            heapq.heapreplace(heap, ((a >> 12) + (b >> 12)) << 12 | k)
-        depth = [0] * (2 * n - 1)
-        for k in range(2 * n - 3, -1, -1):
+            a, b = leaves[leaf], nodes[node]
+            if a < b:
+                leaf += 1
+            else:
+                a = b
+                node += 1
+            c, b = leaves[leaf], nodes[node]
+            if c < b:
+                leaf += 1
+            else:
+                c = b
+                node += 1
+            above[a & mask] = above[c & mask] = k
+            nodes[-1] = ((a >> 12) + (c >> 12)) << 12 | k
+            nodes.append(FAR << 12)
+        depth = [1] * (2 * n - 1)  # of what is below a node
+        for k in range(2 * n - 3, n - 1, -1):
             depth[k] = depth[above[k]] + 1
-        if max(depth) <= most:
-            return depth[:n]
+        sizes = [depth[k] for k in above[:n]]
+        if max(sizes) <= most:
+            return sizes
         counts = [(c + 1) // 2 for c in counts]
 
 
@@ -530,6 +581,29 @@ TOKENS = canonical(TOKEN_LENGTHS)
 TOKEN_HEADER = sum(TOKEN_LENGTHS.get(s, 0) << 3 * k for k, s in enumerate(LENGTH_ORDER))
 
 
+@lru_cache(maxsize=1024)
+def _zeros(gap: int) -> tuple[int, int, int]:
+    """(bits as they are written, their number, tokens) of a run of unused symbols."""
+    value, n, tokens = 0, 0, 0
+    while gap:
+        run = min(gap, 138) if gap >= 11 else gap if gap >= 3 else 1
+        token, extra, bits = (18, run - 11, 7) if run >= 11 else (17, run - 3, 3) if run >= 3 else (0, 0, 0)
+        code, size = TOKENS[token]
+        value |= (code | extra << size) << n
+        n += size + bits
+        tokens += 1
+        gap -= run
+    return value, n, tokens
+
+
+@lru_cache(maxsize=4096)
+def _after_gap(gap: int, length: int) -> tuple[int, int, int]:
+    """The same of a run of unused symbols and the ``length`` of a used one."""
+    value, n, tokens = _zeros(gap)
+    code, size = TOKENS[length]
+    return value | code << n, n + size, tokens + 1
+
+
 def write_code(w: BitWriter, lengths: dict[int, int], alphabet: int = 0) -> None:
     """The description of a prefix code; ``alphabet`` is needed if more than 257 tokens describe it."""
     used = {s: n for s, n in lengths.items() if n}
@@ -539,52 +613,46 @@ def write_code(w: BitWriter, lengths: dict[int, int], alphabet: int = 0) -> None
         return
     if len(used) == 1:  # a code needs two symbols, or a simple description
         used = used | {0: 1}
-    value, n, tokens, last = 0, 0, 0, -1
+    _describe(w, sorted(used.items()), alphabet)
 
-    def zeros(gap: int) -> None:
-        nonlocal value, n, tokens
-        while gap:
-            run = min(gap, 138) if gap >= 11 else gap if gap >= 3 else 1
-            token, extra, bits = (18, run - 11, 7) if run >= 11 else (17, run - 3, 3) if run >= 3 else (0, 0, 0)
-            code, size = TOKENS[token]
-            value |= (code | extra << size) << n
-            n += size + bits
-            tokens += 1
-            gap -= run
-
-    for s in sorted(used):
-        if s > last + 1:
-            zeros(s - last - 1)
-        code, size = TOKENS[used[s]]
+
+def _describe(w: BitWriter, used: Iterable[tuple[int, int]], alphabet: int) -> None:
+    """The normal description of the code of ``used`` symbols, in their order, with lengths above 0."""
+    value, n, tokens, last = 0, 0, 0, -1
+    for s, length in used:
+        code, size, more = _after_gap(s - last - 1, length)
         value |= code << n
         n += size
-        tokens += 1
+        tokens += more
         last = s
     if tokens < 2:
-        zeros(1)
-    w.put(0, 1)
-    w.put(len(LENGTH_ORDER) - 4, 4)
-    w.put(TOKEN_HEADER, 3 * len(LENGTH_ORDER))
+        code, size, more = _zeros(1)
+        value, n, tokens = value | code << n, n + size, tokens + more
     if tokens > 257:
-        zeros(alphabet - last - 1)
-        w.put(0, 1)
+        code, size, _ = _zeros(alphabet - last - 1)
+        value, n = value | code << n, n + size
+        tail, bits = 0, 1
     else:
-        w.put(0b0111 | (tokens - 2) << 4, 12)  # a number of eight bits follows: 1, then 3 in three bits
-    w.put(value, n)
+        tail, bits = 0b0111 | (tokens - 2) << 4, 12  # a number of eight bits follows: 1, then 3 in three bits
+    w.put((len(LENGTH_ORDER) - 4) << 1 | TOKEN_HEADER << 5 | (tail | value << bits) << 5 + 3 * len(LENGTH_ORDER), 5 + 3 * len(LENGTH_ORDER) + bits + n)
 
 
 def pack_bits(head: BitWriter, codes: np.ndarray, lengths: np.ndarray) -> bytes:
     """``head`` and then the codes, of 31 bits at most, bit by bit."""
+    first, whole = head.value.to_bytes(head.n // 8 + 1, "little"), head.n // 8
+    if not len(codes):
+        return first
     ends = np.cumsum(lengths, dtype=np.int64) + head.n % 8
     start = ends - lengths
-    code = codes.astype(np.uint64) << (start & 31).astype(np.uint64)
-    n = (int(ends[-1]) if len(ends) else head.n % 8) // 32 + 2
-    # no two codes share a bit: sums within a word of 32 bits are exact
-    words = np.bincount(start >> 5, (code & np.uint64(0xFFFFFFFF)).astype(np.float64), n) + np.bincount((start >> 5) + 1, (code >> np.uint64(32)).astype(np.float64), n)
-    first, whole = head.value.to_bytes(head.n // 8 + 1, "little"), head.n // 8
+    code, word = codes.astype(np.uint64) << (start & 31).astype(np.uint64), start >> 5
+    # codes begin in each word of 32 bits up to the last one; no two share a bit, so that sums are exact
+    begins = np.concatenate(([0], (word[1:] > word[:-1]).nonzero()[0] + 1))
+    words = np.zeros(len(begins) + 1, np.uint64)
+    words[:-1] = np.add.reduceat(code, begins)
+    words[1:] += words[:-1] >> np.uint64(32)
     body = words.astype("<u4").view(np.uint8)
     body[0] |= first[whole]
-    return first[:whole] + body.tobytes()[: (int(ends[-1]) if len(ends) else head.n % 8) // 8 + 1]
+    return first[:whole] + body.tobytes()[: int(ends[-1]) // 8 + 1]
 
 
 def riff(stream: bytes) -> bytes:
@@ -608,19 +676,20 @@ def _prefix(value: int) -> tuple[int, int, int]:
 
 def _before(pixels: np.ndarray) -> np.ndarray:
     """The place at which each pixel was last seen, -1 if it is new."""
-    order = np.argsort(pixels, kind="stable")
-    same = np.flatnonzero(pixels[order[1:]] == pixels[order[:-1]])
+    key = pixels.astype(np.uint64) << np.uint64(32) | np.arange(len(pixels), dtype=np.uint64)
+    key.sort()
+    order, pixel = (key & np.uint64(0xFFFFFFFF)).astype(np.int64), key >> np.uint64(32)
     out = np.full(len(pixels), -1, np.int64)
-    out[order[same + 1]] = order[same]
+    out[order[1:]] = np.where(pixel[1:] == pixel[:-1], order[:-1], -1)
     return out
 
 
 def _copies(pixels: np.ndarray, before: np.ndarray) -> list[tuple[int, int, int]]:
     """(place, length, how far back) of the back-references, greedily: where pixels were last seen in a row."""
-    step = np.diff(before) == 1
-    starts = np.flatnonzero((before[:-2] >= 0) & step[:-1] & step[1:]) if len(before) > SHORTEST else ()
+    step = before[1:] - before[:-1] == 1
+    starts = np.flatnonzero((before[:-2] >= 0) & step[:-1] & step[1:]).tolist() if len(before) > SHORTEST else ()
     out, at, plain = [], 0, pixels.tolist() if len(starts) else []
-    for i in map(int, starts):
+    for i in starts:
         if i < at:
             continue
         p, k, most = int(before[i]), SHORTEST, min(LONGEST, len(plain) - i)
@@ -633,10 +702,10 @@ def _copies(pixels: np.ndarray, before: np.ndarray) -> list[tuple[int, int, int]
 
 def _hits(pixels: np.ndarray, slots: np.ndarray) -> np.ndarray:
     """Whether each pixel is what the colour cache holds in its slot."""
-    order = np.argsort(slots, kind="stable")
-    same = (slots[order[1:]] == slots[order[:-1]]) & (pixels[order[1:]] == pixels[order[:-1]])
+    order = np.argsort(slots.astype(np.uint16), kind="stable")
+    held = pixels[order]
     out = np.zeros(len(pixels), bool)
-    out[order[1:][same]] = True
+    out[order[1:]] = held[1:] == held[:-1]  # equal pixels have equal slots
     return out
 
 
@@ -646,16 +715,17 @@ SIZE_AT = 24
 
 def _written_code(w: BitWriter, seen: np.ndarray, alphabet: int) -> np.ndarray:
     """Write the description of the code for symbols that were ``seen`` so often; the codes, with their sizes, by symbol."""
-    found = np.flatnonzero(seen)
+    found = seen.nonzero()[0]
     if len(found) == 1 and found[0] > 255:
         found = np.array([0, found[0]])
-    sizes = _code_sizes(seen[found].tolist()) if len(found) > 1 else [0]
-    symbols = found.tolist() or [0]
-    write_code(w, dict(zip(symbols, sizes, strict=True)), alphabet)
     out = np.zeros(alphabet, np.uint32)
-    if len(found) > 1:
-        at, bits, n = canonical_codes(found, np.array(sizes, np.int32))
-        out[at] = bits | n << SIZE_AT
+    if len(found) < 2:
+        write_code(w, {(found.tolist() or [0])[0]: 0})
+        return out
+    sizes = _code_sizes(seen[found].tolist())
+    _describe(w, zip(found.tolist(), sizes, strict=True), alphabet)
+    at, bits, n = canonical_codes(found, np.array(sizes, np.int32))
+    out[at] = bits | n << SIZE_AT
     return out
 
 
@@ -667,14 +737,14 @@ def _near_codes(width: int) -> dict[int, int]:
 
 def put_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Write the header of an entropy-coded picture; the (codes, lengths) that follow it. ``before``: where each pixel was last seen."""
-    n, c = len(pixels), _channels(pixels)
+    n = len(pixels)
     before = _before(pixels) if before is None else before
     again = main and 16 * np.count_nonzero(before >= 0) > n
     copies = _copies(pixels, before) if again else []
     alone = np.ones(n, bool)
     for at, length, _ in copies:
         alone[at : at + length] = False
-    bits, token, literal = 0, c[:, 1].astype(np.int64), alone
+    bits, token, literal = 0, (pixels >> np.uint32(8) & np.uint32(255)).astype(np.int64), alone
     if again and n > 16:
         bits = min(CACHE_BITS, n.bit_length() - 2)
         slots = _cache_slots(pixels, bits)
@@ -684,43 +754,48 @@ def put_pixels(w: BitWriter, pixels: np.ndarray, width: int, main: bool, before:
             token, literal = np.where(hit, 280 + slots, token), alone & ~hit
         else:
             bits = 0
-    use = alone
-    if copies:
-        near, use, more = _near_codes(width), alone.copy(), np.zeros((n, 3), np.uint32)
-        far = np.zeros(n, np.int64)
-        for at, length, back in copies:
-            use[at] = True
-            symbol, extra, size = _prefix(length)
-            token[at], more[at, 0] = 256 + symbol, extra | size << SIZE_AT
-            far[at], extra, size = _prefix(near.get(back, back + 120))
-            more[at, 2] = extra | size << SIZE_AT
-        copied = use & ~alone
+    if copies:  # each is one token, in place of its first pixel
+        near, use = _near_codes(width), alone.copy()
+        at = np.array([i for i, _, _ in copies])
+        use[at] = True
+        kept = use.nonzero()[0]
+        pixels, token, literal, at = pixels.take(kept), token.take(kept), literal.take(kept), kept.searchsorted(at)
+        lengths, backs = (np.array([_prefix(v) for v in values]).T for values in ([k for _, k, _ in copies], [near.get(back, back + 120) for _, _, back in copies]))
+        token[at] = 256 + lengths[0]
     w.put(bits << 1 | 1 if bits else 0, 5 if bits else 1)
     if main:
         w.put(0, 1)  # one group of codes
-    own = c[literal]
-    opaque = not len(own) or int(own[:, 3].min()) == 255
-    columns = np.zeros((n, 7 if copies else 3 if opaque else 4), np.uint32)
-    columns[:, 0] = _written_code(w, np.bincount(token[use]), 280 + (1 << bits if bits else 0))[token]
-    one = BitWriter()
-    shared = _written_code(one, np.bincount(own[:, 2], minlength=256) + np.bincount(own[:, 0], minlength=256), 256)  # for red and blue
-    w.put(one.value, one.n)
-    w.put(one.value, one.n)
-    columns[literal, 1], columns[literal, 2] = shared[own[:, 2]], shared[own[:, 0]]
+    own = pixels[literal]
+    opaque = not len(own) or int(own.min()) >= BLACK
+    columns = np.zeros((3 if opaque else 4, len(pixels)), np.uint32)
+    columns[0] = _written_code(w, np.bincount(token), 280 + (1 << bits if bits else 0)).take(token)
+    one, red, blue = BitWriter(), pixels >> np.uint32(16) & np.uint32(255), pixels & np.uint32(255)
+    own_red, own_blue = (red, blue) if len(own) == len(pixels) else (red[literal], blue[literal])
+    shared = _written_code(one, np.bincount(np.concatenate((own_red, own_blue)), minlength=256), 256)  # for red and blue
+    w.put(one.value | one.value << one.n, 2 * one.n)
+    shown = literal.astype(np.uint32)
+    columns[1], columns[2] = shared.take(red) * shown, shared.take(blue) * shown
     if opaque:
         write_code(w, {255: 0})
     else:
-        columns[literal, 3] = _written_code(w, np.bincount(own[:, 3]), 256)[own[:, 3]]
+        alpha = pixels >> np.uint32(24)
+        columns[3] = _written_code(w, np.bincount(alpha[literal]), 256).take(alpha) * shown
     if copies:
-        far_code = _written_code(w, np.bincount(far[copied]), 40)
-        columns[:, 4], columns[copied, 5], columns[:, 6] = more[:, 0], far_code[far[copied]], more[:, 2]
+        far_code = _written_code(w, np.bincount(backs[0]), 40)
+        columns[0, at], columns[1, at], columns[2, at] = _joined(columns[0, at], *lengths[1:]), far_code.take(backs[0]), _joined(np.zeros(len(at), np.uint32), *backs[1:])
     else:
         write_code(w, {0: 0})
-    flat = (columns if use.all() else columns[use]).ravel()
+    flat = columns.T.ravel()
     flat = flat[flat > 0]
     return flat & np.uint32((1 << SIZE_AT) - 1), flat >> np.uint32(SIZE_AT)
 
 
+def _joined(codes: np.ndarray, extra: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """The codes, each with extra ``bits`` behind it."""
+    sizes = codes >> np.uint32(SIZE_AT)
+    return codes + (extra.astype(np.uint32) << sizes) + (bits.astype(np.uint32) << np.uint32(SIZE_AT))
+
+
 def _bits_of(channels: np.ndarray) -> float:
     """Bits of the channels of pixels, each by its own entropy."""
     total = 0.0
@@ -772,12 +847,12 @@ def _factor(value: np.ndarray, by: np.ndarray) -> int:
 def encode(pixels: np.ndarray, width: int) -> bytes:
     """A WebP file of ARGB ``pixels``, rows of ``width``; the transforms are those that make its channels' entropy least."""
     pixels = np.ascontiguousarray(pixels, np.uint32)
-    height, c = len(pixels) // width, _channels(np.ascontiguousarray(pixels, np.uint32))
+    height, c = len(pixels) // width, _channels(pixels)
     w = BitWriter()
     w.put(SIGNATURE, 8)
     w.put(width - 1, SIDE_BITS)
     w.put(height - 1, SIDE_BITS)
-    w.put(int(c[:, 3].min() < 255), 1)
+    w.put(int(int(pixels.min()) < BLACK), 1)
     w.put(0, 3)  # version
     parts: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -795,8 +870,9 @@ def encode(pixels: np.ndarray, width: int) -> bytes:
 
     before = _before(pixels)
     distinct = np.count_nonzero(before < 0)
-    steps = np.abs(np.diff(c[:, 1].astype(np.int16)))
-    smooth = len(steps) > 0 and np.minimum(steps, 256 - steps).mean() < 12  # text is not; then no predictor is tried
+    green = c[:, 1].astype(np.int16)
+    steps = np.abs(green[1:] - green[:-1])
+    smooth = len(steps) > 0 and int(np.minimum(steps, 256 - steps).sum()) < 12 * len(steps)  # text is not; then no predictor is tried
     few = distinct <= 256 and 2 * distinct <= len(pixels)
     plain = _bits_of(c) if few or smooth else 0.0
     listed = math.inf
@@ -852,5 +928,7 @@ def encode(pixels: np.ndarray, width: int) -> bytes:
 
 def encode_rgb(samples: bytes, width: int) -> bytes:
     """A WebP file of 8-bit samples: red, green, blue of each pixel."""
-    rgb = np.frombuffer(samples, np.uint8).reshape(-1, 3).astype(np.uint32)
-    return encode(np.uint32(BLACK) | rgb[:, 0] << np.uint32(16) | rgb[:, 1] << np.uint32(8) | rgb[:, 2], width)
+    rgb = np.frombuffer(samples, np.uint8).reshape(-1, 3)
+    bgra = np.full((len(rgb), 4), 255, np.uint8)
+    bgra[:, 2::-1] = rgb
+    return encode(bgra.view("<u4").ravel(), width)

@@ -3,8 +3,10 @@
 import base64
 import gzip
 import hashlib
+import heapq
 import random
 import struct
+import sys
 import zlib
 
 import numpy as np
@@ -403,3 +405,95 @@ def test_decode_gives_pixels_or_the_reason(spark):
     assert got[1]["pixels"][0] == 0xFF000000 | ord("a") << 16 | ord("b") << 8 | ord("c")
     assert got[2]["pixels"] is None and got[2]["error"] and got[3]["error"] == "no media"
     assert np.array_equal(op10.load(media)[2].tobytes()[:4], np.frombuffer(b"abc ", np.uint8)) or op10.load(media)[2].tobytes()[:4] == b"abc "
+
+
+@pytest.mark.parametrize("seed", range(16))
+def test_reader_follows_any_tokens(seed, monkeypatch):
+    """Literals, copies and cache hits at random, also of slots that nothing has filled, over several stretches and by both of the reader's ways."""
+    rnd = random.Random(seed)
+    width, height, cache = rnd.choice([1, 7, 64]), rnd.choice([5, 90]), (0, 1, 4, 7)[seed % 4]
+    pool, total = [rnd.getrandbits(32) for _ in range(40)], width * height
+    slot = lambda p: (0x1E35A7BD * p & 0xFFFFFFFF) >> (32 - cache)
+    out, seen, tokens = [], [0] * (1 << cache), []
+    unfilled = 0.02 if seed % 3 else 0
+    while len(out) < total:
+        draw, filled = rnd.random(), [k for k, p in enumerate(seen) if p]
+        begin = len(out)
+        if cache and (draw < unfilled or filled and draw < 0.4):
+            k = rnd.randrange(1 << cache) if draw < unfilled else rnd.choice(filled)
+            out.append(seen[k])
+            tokens.append([(0, 280 + k, 0, 0)])
+        elif out and draw > 0.9:
+            code = rnd.choice([120 + rnd.randint(1, begin), 1 + rnd.randrange(120)])
+            x, y = webp.NEAR[code - 1] if code <= 120 else (code - 120, 0)
+            back, length = max(1, x + y * width), min(rnd.choice([1, 2, 3, 9, 70]), total - begin)
+            if back > begin:
+                continue
+            for _ in range(length):
+                out.append(out[-back])
+            (a, ae, an), (b, be, bn) = prefix_value(length), prefix_value(code)
+            tokens.append([(0, 256 + a, ae, an), (4, b, be, bn)])
+        else:
+            p = rnd.choice(pool) if rnd.random() < 0.7 else rnd.getrandbits(32)
+            out.append(p)
+            tokens.append([(0, p >> 8 & 255, 0, 0), (1, p >> 16 & 255, 0, 0), (2, p & 255, 0, 0), (3, p >> 24, 0, 0)])
+        for p in out[begin:] if cache else ():
+            seen[slot(p)] = p
+    counts = [{} for _ in range(5)]
+    for c, s, _, _ in (t for token in tokens for t in token):
+        counts[c][s] = counts[c].get(s, 0) + 1
+    w, codes = head(width, height), []
+    w.put(0, 1)
+    w.put(1 | cache << 1 if cache else 0, 5 if cache else 1)
+    w.put(0, 1)
+    for n, alphabet in zip(counts, (280 + (1 << cache), 256, 256, 256, 40), strict=True):
+        n = n or {0: 1}
+        if len(n) == 1 and max(n) > 255:
+            n = n | {0: 1}
+        lengths = webp.code_lengths(n)
+        webp.write_code(w, lengths, alphabet)
+        codes.append(webp.canonical(lengths) if len(n) > 1 else {s: (0, 0) for s in n})
+    for c, s, extra, bits in (t for token in tokens for t in token):
+        w.put(*codes[c][s])
+        w.put(extra, bits)
+    assert webp.decode_vp8l(stream(w))[2].tolist() == out
+    monkeypatch.setattr(webp, "_follow", lambda *_: None)
+    assert webp.decode_vp8l(stream(w))[2].tolist() == out
+
+
+def test_code_lengths_are_optimal_and_bounded():
+    rnd = random.Random(8)
+    for k in range(200):
+        counts = {s: rnd.choice([1, 2, 3, rnd.randint(1, 1000), 2 ** rnd.randint(0, 24)]) for s in rnd.sample(range(300), rnd.randint(2, 200))}
+        free, bounded = webp.code_lengths(counts, 64), webp.code_lengths(counts)
+        heap = sorted(counts.values())
+        cost = 0
+        while len(heap) > 1:
+            a, b = heapq.heappop(heap), heapq.heappop(heap)
+            cost += a + b
+            heapq.heappush(heap, a + b)
+        assert sum(counts[s] * n for s, n in free.items()) == cost, k
+        assert max(bounded.values()) <= webp.MOST_BITS and sum(2.0**-n for n in bounded.values()) == 1
+
+
+def test_pictures_are_read_in_few_steps():
+    """The lines that run to read a text's picture, a measure of its cost that does not vary: four for a literal or a cache hit, more for a copy, and those for its codes."""
+    rnd = random.Random(1)
+    words = ["".join(rnd.choices("etaoinshrdlucmfw", k=rnd.randint(2, 9))) for _ in range(60)]
+    raw = op10.payload(" ".join(rnd.choices(words, k=4000)))[1]
+    media, lines = op10.store(raw), 0
+
+    def count(frame, event, arg):
+        nonlocal lines
+        lines += event == "line"
+        return count
+
+    before = sys.gettrace()
+    op10.load(media)  # what is kept for later is not counted
+    sys.settrace(count)
+    try:
+        rgb = op10.load(media)[2]
+    finally:
+        sys.settrace(before)
+    assert rgb.tobytes() == raw
+    assert lines < 8.5 * len(rgb), (len(rgb), lines)
